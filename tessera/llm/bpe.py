@@ -13,7 +13,9 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,34 +26,67 @@ from .batches import slices
 
 #: White space as the vocabulary file's patterns mean it; str.split() also takes U+001C to U+001F.
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+#: Chunks whose letters are the same in all Unicode versions.
+FAMILIAR = regex.compile(r"\A[!-~¡-ɏ]*+\Z")
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
-#: Chunks between white space that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Chunks between white space that a worker remembers in each of two generations; when the younger is full, the older goes.
+REMEMBERED = 500_000
+#: Texts coded together.
+BATCH_BYTES = 6 << 20
 
 OUTPUTS = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_text": pa.string(), "decoded": pa.string()}
 _TYPES = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ids_text": T.StringType(), "decoded": T.StringType()}
 
 
-def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Applies the merge of least rank, the leftmost first, until none is left."""
-    n = len(symbols)
-    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = [(ranks[pair], i, pair) for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if pair in ranks]
-    heapq.heapify(heap)
-    while heap:
-        _, i, pair = heapq.heappop(heap)
-        j = after[i]
-        if j < 0 or (symbols[i], symbols[j]) != pair:
-            continue  # stale: one of the two has been merged since
-        symbols[i] += symbols[j]
-        symbols[j] = ""
-        after[i] = after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        for k in (before[i], i):
-            if k >= 0 and after[k] >= 0 and (pair := (symbols[k], symbols[after[k]])) in ranks:
-                heapq.heappush(heap, (ranks[pair], k, pair))
-    return [s for s in symbols if s]
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself where it prints, else one of those from U+0100 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
+class Merges:
+    """The merges by rank. A pair of ids is one number, and so is a heap's entry: its rank, then its place."""
+
+    def __init__(self, merges: list, vocabulary: dict[str, int]):
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        self.pair = [vocabulary[a] << 32 | vocabulary[b] for a, b in pairs]
+        self.whole = [vocabulary[a + b] for a, b in pairs]
+        self.rank = {p: r for r, p in enumerate(self.pair)}
+
+    def apply(self, symbols: list[int]) -> list[int]:
+        """Applies the merge of least rank, the leftmost first, until none is left. Changes ``symbols``."""
+        n = len(symbols)
+        rank, pair_of = self.rank.get, self.pair
+        heap = []
+        for i in range(n - 1):
+            r = rank(symbols[i] << 32 | symbols[i + 1])
+            if r is not None:
+                heap.append(r << 32 | i)
+        if not heap:
+            return symbols
+        heapq.heapify(heap)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        while heap:
+            entry = heapq.heappop(heap)
+            r, i = entry >> 32, entry & 0xFFFFFFFF
+            j = after[i]
+            if j == n or symbols[i] << 32 | symbols[j] != pair_of[r]:
+                continue  # stale: one of the two has been merged since
+            symbols[i] = whole = self.whole[r]
+            symbols[j] = -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                r = rank(whole << 32 | symbols[k])
+                if r is not None:
+                    heapq.heappush(heap, r << 32 | i)
+            k = before[i]
+            if k >= 0:
+                r = rank(symbols[k] << 32 | whole)
+                if r is not None:
+                    heapq.heappush(heap, r << 32 | k)
+        return [s for s in symbols if s >= 0]
 
 
 class Tokenizer:
@@ -61,23 +96,38 @@ class Tokenizer:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]
-        self.vocabulary = model["vocab"]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
-        self.end = model["end_of_word_suffix"] or ""
-        self.pieces = Library.from_file(path).pre_tokenizer.pre_tokenize_str  # its letters are those of its own Unicode version
+        vocabulary = model["vocab"]
+        end = model["end_of_word_suffix"] or ""
+        self.merges = Merges(model["merges"], vocabulary)
+        self.strings = {i: s for s, i in vocabulary.items()}
+        letters = byte_letters()
+        self.inner, self.last = [vocabulary[x] for x in letters], [vocabulary[x + end] for x in letters]
+        split = next(p for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.plain = regex.compile(split["pattern"]["Regex"]).findall
+        self.pieces = Library.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.byte_of = {x: b for b, x in enumerate(letters)}
+        self.merged: dict[bytes, list[int]] = {}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         longest = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, longest))) if longest else None
-        self.ids_of, self.text_of = _Memo(self), _Memo(self)
-        self.ids_of.other, self.text_of.other = self.text_of, self.ids_of
-
-    def chunk(self, chunk: str) -> list[str]:
-        """The vocabulary strings of a normalized chunk without white space."""
-        out = []
-        for piece, _ in self.pieces(chunk):
-            symbols = [*piece]
-            symbols[-1] += self.end
-            out += merge(symbols, self.ranks)
+        self.young: dict[str, tuple[str, str, int]] = {}
+        self.old: dict[str, tuple[str, str, int]] = {}
+
+    def chunk(self, chunk: str) -> list[int]:
+        """The ids of a normalized chunk without white space."""
+        if FAMILIAR.search(chunk):
+            pieces = [p.encode() for p in self.plain(chunk)]
+        else:  # which letters there are depends on the Unicode version; the library's own decides
+            pieces = [bytes(map(self.byte_of.__getitem__, p)) for p, _ in self.pieces(chunk)]
+        out: list[int] = []
+        for piece in pieces:
+            if (ids := self.merged.get(piece)) is None:
+                symbols = [*map(self.inner.__getitem__, piece)]
+                symbols[-1] = self.last[piece[-1]]
+                if len(self.merged) > REMEMBERED:
+                    self.merged.clear()
+                ids = self.merged[piece] = self.merges.apply(symbols)
+            out += ids
         return out
 
     def normalized(self, text: str) -> str:
@@ -89,41 +139,48 @@ class Tokenizer:
         text = self.normalized(text)
         return [c for c in SPACE.split(text) if c] if ODD_SPACE.search(text) else text.split()
 
+    def chunk_codes(self, chunk: str) -> tuple[str, str, int]:
+        """A chunk's ids in decimal, its vocabulary strings, both joined with one space, and their number."""
+        if (found := self.young.get(chunk)) is None:
+            if (found := self.old.get(chunk)) is None:
+                ids = self.chunk(chunk)
+                found = " ".join(map(str, ids)), " ".join(map(self.strings.__getitem__, ids)), len(ids)
+            if len(self.young) >= REMEMBERED:
+                self.young, self.old = {}, self.young
+            self.young[chunk] = found
+        return found
+
     def encode(self, text: str) -> tuple[str, str]:
         """Ids in decimal and vocabulary strings, both joined with one space."""
-        if len(self.ids_of) > REMEMBERED:
-            self.ids_of.clear()
-            self.text_of.clear()
-        if self.specials is None or "<" not in text or not self.specials.search(text):
-            chunks = self.chunks(text)
-            return " ".join(map(self.ids_of.__getitem__, chunks)), " ".join(map(self.text_of.__getitem__, chunks))
         ids, strings, at = [], [], 0
-        for m in [*self.specials.finditer(text), None]:
-            chunks = self.chunks(text[at : m.start() if m else len(text)])
-            ids += map(self.ids_of.__getitem__, chunks)
-            strings += map(self.text_of.__getitem__, chunks)
+        for m in [*(self.specials.finditer(text) if self.specials else ()), None]:
+            for chunk in self.chunks(text[at : m.start() if m else len(text)]):
+                found = self.chunk_codes(chunk)
+                ids.append(found[0])
+                strings.append(found[1])
             if m:
                 ids.append(str(self.special[m[0]]))
                 strings.append(m[0])
                 at = m.end()
         return " ".join(ids), " ".join(strings)
 
-
-class _Memo(dict):
-    """What a chunk becomes; a miss fills both memos."""
-
-    other: _Memo
-
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, chunk: str) -> str:
-        strings = self.tokenizer.chunk(chunk)
-        both = " ".join(str(self.tokenizer.vocabulary[s]) for s in strings), " ".join(strings)
-        ids, text = (self, self.other) if self is self.tokenizer.ids_of else (self.other, self)
-        ids[chunk], text[chunk] = both
-        return both[0] if self is ids else both[1]
+    def encode_batch(self, texts: list[str | None]) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Ids, vocabulary strings and numbers of tokens of many texts; each distinct chunk is looked up once."""
+        special = {i for i, t in enumerate(texts) if t and self.specials and "<" in t and self.specials.search(t)}
+        spaced = pa.array([" ".join(self.chunks(t)) if t and i not in special else "" for i, t in enumerate(texts)], pa.large_string())
+        lists = pc.split_pattern(spaced, " ")
+        coded = lists.values.dictionary_encode()
+        ids, strings, counts = zip(*[self.chunk_codes(c) if c else ("", "", 0) for c in coded.dictionary.to_pylist()], strict=True) if len(coded.dictionary) else ((), (), ())
+        join = lambda parts: pc.binary_join(pa.ListArray.from_arrays(lists.offsets.cast(pa.int32()), pa.array(parts, pa.string()).take(coded.indices)), " ")
+        sums = np.concatenate([[0], np.cumsum(np.array(counts, np.int64)[coded.indices.to_numpy()])])
+        offsets = lists.offsets.to_numpy()
+        out = [join(ids), join(strings), pa.array(sums[offsets[1:]] - sums[offsets[:-1]])]
+        if special:
+            own = {i: self.encode(texts[i]) for i in special}
+            for k in (0, 1):
+                out[k] = pa.array([own[i][k] if i in own else v for i, v in enumerate(out[k].to_pylist())], pa.string())
+            out[2] = pa.array([own[i][0].count(" ") + 1 if i in own else v for i, v in enumerate(out[2].to_pylist())])
+        return tuple(out)
 
 
 @lru_cache(maxsize=2)
@@ -147,15 +204,15 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", outputs: tuple[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for batch in slices(batches, "__text"):
-            rows = [bpe.encode(t) if t else ("", "") for t in batch.column("__text").to_pylist()]
+        for batch in slices(batches, "__text", BATCH_BYTES):
+            ids, decoded, counts = bpe.encode_batch(batch.column("__text").to_pylist())
             made = {
-                "n_tokens": lambda: [ids.count(" ") + 1 if ids else 0 for ids, _ in rows],
-                "ids": lambda: [[*map(int, ids.split())] for ids, _ in rows],
-                "ids_text": lambda: [ids for ids, _ in rows],
-                "decoded": lambda: [decoded for _, decoded in rows],
+                "n_tokens": lambda: counts,
+                "ids": lambda: pa.array([[*map(int, row.split())] for row in ids.to_pylist()], OUTPUTS["ids"]),
+                "ids_text": lambda: ids,
+                "decoded": lambda: decoded,
             }
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *(pa.array(made[c](), OUTPUTS[c]) for c in outputs)], names=[*names, *outputs])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *(made[c]() for c in outputs)], names=[*names, *outputs])
 
     return both.mapInArrow(run, schema)
 
