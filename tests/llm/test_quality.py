@@ -49,8 +49,8 @@ def test_rules_on_rows_not_learned_from(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     rules = quality.fit(docs, labels, sample=1500)
     learned = labels.orderBy("doc_id").join(docs.select("doc_id", "text"), "doc_id")
-    rows = quality.statistics(learned).withColumn("kept", quality.verdict(rules)).select("quality", "kept").collect()
-    assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.97
+    rows = quality.statistics(learned).withColumn("kept", ~quality.base_failed() & quality.verdict(rules)).select("quality", "kept").collect()
+    assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.9
     assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.25
 
 
