@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, quality, secrets
+from . import bpe, chat, decontaminate, html_text, quality, secrets, sentences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +96,8 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
