@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, quality, secrets, sentences
+from . import bpe, chat, decontaminate, html_text, quality, secrets, sentences, setjoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +101,8 @@ FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 @query
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.linked(read(spark, sf_dir, "documents"), n=4, percent=85)
