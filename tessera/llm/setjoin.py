@@ -136,7 +136,7 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
         yield held
 
 
-def _lists(entries: DataFrame) -> DataFrame:
+def lists_of(entries: DataFrame) -> DataFrame:
     """The entries of tokens that two classes or more list; copies of a class in other slices go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,14 +159,14 @@ def _matches(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], percent: int)
     return (ra != rb) & (100 * low >= percent * high) & ((100 + percent) * overlap >= percent * (na + nb)) & (da != db)
 
 
-def _pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b, need: a row for each shared prefix shingle of two classes that may be linked, and how many they need."""
+def pairs_of(lists: DataFrame, percent: int, share: int | None = 20) -> DataFrame:
+    """a, b, need: a row for each shared token of two classes that may be linked and aren't in one component, and how many they need: 1 and, if ``share`` is given, a ``share``-th of the smaller set."""
 
     def emit(i: np.ndarray, j: np.ndarray, x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         ok = _matches(tuple(v[i] for v in x), tuple(v[j] for v in x), percent)
         i, j = i[ok], j[ok]
         digest, size = x[0], x[1]
-        need = 1 + np.minimum(size[i], size[j]) // 20
+        need = 1 + np.minimum(size[i], size[j]) // share if share else np.ones(len(i), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(digest[i], digest[j])), pa.array(np.maximum(digest[i], digest[j])), pa.array(need.astype(np.int32))], names=["a", "b", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ def _pairs(lists: DataFrame, percent: int) -> DataFrame:
     return lists.repartition("token").sortWithinPartitions("token", "root", "digest").mapInArrow(run, "a long, b long, need int")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     left = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"))
@@ -261,13 +261,13 @@ def linked(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
     least = band.groupBy("band", "hash").agg(F.min("digest").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     stars = tables.keep(band.join(least, ["band", "hash"]).where("digest > b").select(F.col("digest").alias("a"), "b").distinct())
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    links = tables.keep(_verified(stars, tables.keep(_fetch(docs, known, ends(stars), n)), percent))
+    links = tables.keep(verified(stars, tables.keep(_fetch(docs, known, ends(stars), n)), percent))
     roots = components(links, tables)
 
-    lists = tables.keep(_lists(_prefixes(docs, n, percent, frequent)))
+    lists = tables.keep(lists_of(_prefixes(docs, n, percent, frequent)))
     rooted = lists.join(roots.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    pairs = tables.keep(_pairs(rooted, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-    more = tables.keep(_verified(pairs, tables.keep(_fetch(docs, known, ends(pairs), n)), percent))
+    pairs = tables.keep(pairs_of(rooted, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    more = tables.keep(verified(pairs, tables.keep(_fetch(docs, known, ends(pairs), n)), percent))
     roots = components(links.union(more), tables)
 
     rooted = classes.join(roots.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
