@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, lines, quality, secrets, sentences, setjoin
+from . import bpe, chat, decontaminate, html_text, lines, lm, quality, secrets, sentences, setjoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -111,3 +111,8 @@ def op3_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
