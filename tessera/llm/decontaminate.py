@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .batches import slices, text_bytes
 from .words import LETTERS, words
@@ -223,6 +224,15 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
     return out
 
 
+def cut(found: DataFrame, text: str = "text") -> DataFrame:
+    """The text without the cut_spans that find() has given it; null stays null."""
+    t = F.col(f"`{text}`")
+    end = lambda i: F.when(i > 0, F.get("cut_spans", i - 1)["end"]).otherwise(F.lit(0))
+    kept = F.array_join(F.transform("cut_spans", lambda s, i: F.substr(t, (end(i) + 1).cast("int"), (s["start"] - end(i)).cast("int"))), "")
+    last = F.substr(t, (end(F.size("cut_spans")) + 1).cast("int"))
+    return found.withColumn(text, F.when(F.size("cut_spans") > 0, F.concat(kept, last)).otherwise(t))
+
+
 def _pass(df: DataFrame, phrases: Phrases, text: str, added: tuple[str, ...], first: bool) -> DataFrame:
     names = [c for c in df.columns if c not in added]
     schema = df.select(*(f"`{c}`" for c in names)).schema.add("n_words", "long")
