@@ -1,15 +1,17 @@
 """Exact similarity self-join of the word-shingle sets of documents, as connected components.
 
 1. One pass over the texts gives every document its set's size, a 64-bit digest (documents with one set are
-   one class), four pairs of min-hashes, and the shingles that many sets of a slice share.
-2. Classes that share a pair of min-hashes are compared with the least class there; the components of
-   the links found settle, for every set, its answers among the sets highly similar to it.
-3. An index lists, under every shingle of a set's prefix, the classes by position. Prefixes begin with rare
+   one class), and the shingles that many sets of a slice share.
+2. An index lists, under every shingle of a set's prefix, the classes by position. Prefixes begin with rare
    shingles and are long enough that linked sets share several: a set of n shingles lists
-   n - ceil(t n) + 1 + n div 20 of them, and sets below the threshold in 1 + n div 20 of them are no match.
-   Lists are walked in blocks, and a block is skipped if the positions in it leave too little overlap, or
-   if the answers are already known because both classes are in one component.
-4. What is left is verified on the whole sets, and all links together give the components.
+   n - ceil(t n) + 1 + n div 20 of them, and sets that share fewer than 1 + n div 20 of them are no match. Of a
+   prefix shingle that no other class lists, and that comes before a shared one, both sets can't have a copy.
+3. In every list the class with the smallest part of such shingles, the heart of a family of near copies, is
+   compared with the others. The components of the links found settle, for every set, its answers among the
+   sets highly similar to it.
+4. Lists are walked in blocks, and a block is skipped if the positions in it leave too little overlap, or if
+   the answers are already known because both classes are in one component.
+5. What is left is verified on the whole sets, and all links together give the components.
 
 No step collects more than the fixed number of frequent shingles whose order decides nothing but cost.
 """
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import slices, text_bytes
@@ -33,9 +35,9 @@ SLICE_BYTES = 4 << 20
 FREQUENT = 500_000
 #: A shingle is frequent from this many sets on, counted where a slice has two or more.
 RARE = 16
-BANDS, ROWS = 4, 2
 BLOCK = 256
-_SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: Pairs that a task holds to add them up before it passes them on.
+HELD = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,26 +69,19 @@ def _docs(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: a document (id, size, digest, bands); kind 1: a shingle (size: sets of the slice, digest: its hash)."""
+    """kind 0: a document (id, size, digest); kind 1: a shingle (size: sets of the slice, digest: its hash)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", SLICE_BYTES):
             h, rows, digest = _sets(batch, n)
-            full = np.flatnonzero(np.diff(rows))
-            bands = np.zeros((len(digest), BANDS), np.uint64)
-            if len(full):
-                for k, seed in enumerate(_SEEDS):
-                    least = np.minimum.reduceat(mix(h ^ seed), rows[:-1][full])
-                    bands[full, k // ROWS] = mix(bands[full, k // ROWS] * np.uint64(31) + least)
             own, _ = _gather(h, rows, _one_each(digest))
             shared, count = np.unique(own, return_counts=True)
             shared, count = shared[count > 1], count[count > 1]
-            m = len(digest)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m * BANDS + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), batch.column("__key"), pa.array(np.diff(rows)), pa.array(digest.view(np.int64)), lists], names=["kind", "doc", "size", "digest", "bands"])
-            none_at_all = pa.nulls(len(shared), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(shared), np.int8)), pa.nulls(len(shared), pa.int64()), pa.array(count.astype(np.int64)), pa.array(shared.view(np.int64)), none_at_all], names=["kind", "doc", "size", "digest", "bands"])
+            names = ["kind", "doc", "size", "digest"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(digest), np.int8)), batch.column("__key"), pa.array(np.diff(rows)), pa.array(digest.view(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(shared), np.int8)), pa.nulls(len(shared), pa.int64()), pa.array(count.astype(np.int64)), pa.array(shared.view(np.int64))], names=names)
 
-    return docs.mapInArrow(run, "kind byte, doc long, size long, digest long, bands array<long>")
+    return docs.mapInArrow(run, "kind byte, doc long, size long, digest long")
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -137,40 +132,73 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
 
 
 def lists_of(entries: DataFrame) -> DataFrame:
-    """The entries of tokens that two classes or more list; copies of a class in other slices go."""
+    """The entries of tokens that two classes or more list, and how many do (n); copies of a class in other slices go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, digest, size, at in _groups(batches, ("token", "digest", "size", "at")):
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])
             token, digest, size, at = token[new], digest[new], size[new], at[new]
-            same = np.concatenate([[False], token[1:] == token[:-1], [False]])
-            keep = same[1:] | same[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, digest, size, at)], names=["token", "digest", "size", "at"])
+            edges = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
+            n = np.repeat(np.diff(edges), np.diff(edges)).astype(np.int32)
+            keep = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, digest, size, at, n)], names=["token", "digest", "size", "at", "n"])
+
+    return entries.repartition("token").sortWithinPartitions("token", "digest").mapInArrow(run, "token long, digest long, size int, at int, n int")
+
 
-    return entries.repartition("token").sortWithinPartitions("token", "digest").mapInArrow(run, "token long, digest long, size int, at int")
+#: Columns of the index's lists. ``before``: how many shingles before this one in the prefix no other class lists.
+LISTED = ("token", "digest", "size", "at", "before", "root")
 
 
 def _matches(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], percent: int) -> np.ndarray:
-    """Whether pairs of entries (digest, size, at, root) can still be linked and aren't settled."""
-    (da, na, pa_, ra), (db, nb, pb, rb) = a, b
-    low, high = np.minimum(na, nb), np.maximum(na, nb)
-    overlap = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_, nb - pb) - 1
-    return (ra != rb) & (100 * low >= percent * high) & ((100 + percent) * overlap >= percent * (na + nb)) & (da != db)
+    """Whether pairs of entries (digest, size, at, before, root) can still be linked and aren't settled."""
+    (da, na, pa_, ua, ra), (db, nb, pb, ub, rb) = a, b
+    overlap = np.minimum(pa_ - ua, pb - ub) + np.minimum(na - pa_, nb - pb)
+    return (ra != rb) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * overlap >= percent * (na + nb)) & (da != db)
 
 
-def pairs_of(lists: DataFrame, percent: int, share: int | None = 20) -> DataFrame:
-    """a, b, need: a row for each shared token of two classes that may be linked and aren't in one component, and how many they need: 1 and, if ``share`` is given, a ``share``-th of the smaller set."""
+def pairs_of(lists: DataFrame, percent: int) -> DataFrame:
+    """Classes (a, b) that share tokens, may be linked and aren't in one component: sizes (na, nb), last shared positions (pa, pb), shared tokens c.
 
-    def emit(i: np.ndarray, j: np.ndarray, x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    Lists lie by their heart, so the lists of one family are walked together and a pair comes once from each
+    family, not from each token; a pair may still have several rows, to be added up.
+    """
+    names = ["a", "b", "na", "nb", "pa", "pb", "c"]
+
+    def emit(i: np.ndarray, j: np.ndarray, x: tuple[np.ndarray, ...]) -> list[np.ndarray]:
         ok = _matches(tuple(v[i] for v in x), tuple(v[j] for v in x), percent)
         i, j = i[ok], j[ok]
-        digest, size = x[0], x[1]
-        need = 1 + np.minimum(size[i], size[j]) // share if share else np.ones(len(i), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(digest[i], digest[j])), pa.array(np.maximum(digest[i], digest[j])), pa.array(need.astype(np.int32))], names=["a", "b", "need"])
+        digest, size, at = x[0], x[1].astype(np.int32), x[2].astype(np.int32)
+        i, j = np.where(digest[i] < digest[j], i, j), np.where(digest[i] < digest[j], j, i)
+        return [digest[i], digest[j], size[i], size[j], at[i], at[j], np.ones(len(i), np.int32)]
+
+    def added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        a, b, na, nb, at, bt, c = (np.concatenate(v) for v in zip(*parts, strict=True))
+        order = np.lexsort((b, a))
+        a, b, na, nb, at, bt, c = (v[order] for v in (a, b, na, nb, at, bt, c))
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
+        if not len(new):
+            return [a, b, na, nb, at, bt, c]
+        return [a[new], b[new], na[new], nb[new], np.maximum.reduceat(at, new), np.maximum.reduceat(bt, new), np.add.reduceat(c, new).astype(np.int32)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, *rest in _groups(batches, ("token", "digest", "size", "at", "root")):
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for part in walk(batches):
+            held.append(part)
+            size += len(part[0])
+            if size > HELD:
+                held = [added(held)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), names=names)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, added(held))), names=names)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for token, *rest in _groups(batches, LISTED):
             x = tuple(v.astype(np.int64) for v in rest)
             edges = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
             size = np.diff(edges)
@@ -182,26 +210,24 @@ def pairs_of(lists: DataFrame, percent: int, share: int | None = 20) -> DataFram
                 n = after[part]
                 i = np.repeat(part, n)
                 yield emit(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n), x)
-            for g in np.flatnonzero(size > BLOCK):  # long lists: by position, block against block
+            for g in np.flatnonzero(size > BLOCK):  # long lists: block against block
                 own = np.arange(edges[g], edges[g + 1])
-                if (x[3][own] == x[3][own[0]]).all():
-                    continue
-                own = own[np.lexsort((x[1][own], x[2][own], x[3][own]))]
+                own = own[np.lexsort((x[3][own], x[1][own], x[4][own]))]
                 blocks = [own[k : k + BLOCK] for k in range(0, len(own), BLOCK)]
-                first, small, large = ([int(f(x[c][b])) for b in blocks] for f, c in ((np.min, 2), (np.min, 1), (np.max, 1)))
+                small, large = ([int(f(x[1][b])) for b in blocks] for f in (np.min, np.max))
+                left = [int((x[1][b] - x[3][b]).max()) for b in blocks]  # what a set of the block can share at most
+                root = [int(x[4][b[0]]) if x[4][b[0]] == x[4][b[-1]] else None for b in blocks]
                 for p, a in enumerate(blocks):
                     for q in range(p, len(blocks)):
-                        b = blocks[q]
-                        if x[3][a[0]] == x[3][a[-1]] == x[3][b[0]] == x[3][b[-1]] and len({*x[3][a], *x[3][b]}) == 1:
-                            continue  # one component: settled
-                        # the most that sets of these blocks can share, from the first positions and the sizes in them
-                        if 100 * large[p] < percent * small[q] or 100 * large[q] < percent * small[p]:
+                        if root[p] is not None and root[p] == root[q] or 100 * large[p] < percent * small[q] or 100 * large[q] < percent * small[p]:
                             continue
-                        i, j = (v.ravel() for v in np.meshgrid(a, b, indexing="ij"))
-                        ok = i < j if p == q else slice(None)
+                        if (100 + percent) * min(left[p], left[q]) < percent * (small[p] + small[q]):
+                            continue
+                        i, j = (v.ravel() for v in np.meshgrid(a, blocks[q], indexing="ij"))
+                        ok = np.triu(np.ones((len(a), len(a)), bool), 1).ravel() if p == q else slice(None)
                         yield emit(i[ok], j[ok], x)
 
-    return lists.repartition("token").sortWithinPartitions("token", "root", "digest").mapInArrow(run, "a long, b long, need int")
+    return lists.repartition("heart").sortWithinPartitions("heart", "token", "root", "digest").mapInArrow(run, "a long, b long, na int, nb int, pa int, pb int, c int")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,7 +275,7 @@ def linked(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
     tables = Tables(df.sparkSession)
     docs = _docs(df, key, text)
     first = tables.keep(_first_pass(docs, n))
-    classes = first.where("kind = 0").select("doc", "size", "digest", "bands")
+    classes = first.where("kind = 0").select("doc", "size", "digest")
     known = classes.where("doc is not null and size > 0")
     counted = first.where("kind = 1").groupBy("digest").agg(F.sum("size").alias("count")).where(F.col("count") >= RARE)
     top = counted.orderBy(F.desc("count"), "digest").limit(FREQUENT).collect()
@@ -257,16 +283,24 @@ def linked(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
     order = np.argsort(tokens)
     frequent = (tokens[order], np.array([r["count"] for r in top], np.int64)[order])
 
-    band = known.select("digest", F.posexplode("bands").alias("band", "hash")).distinct()
-    least = band.groupBy("band", "hash").agg(F.min("digest").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    stars = tables.keep(band.join(least, ["band", "hash"]).where("digest > b").select(F.col("digest").alias("a"), "b").distinct())
+    lists = lists_of(_prefixes(docs, n, percent, frequent))
+    lists = lists.withColumn("before", F.col("at") - F.row_number().over(Window.partitionBy("digest").orderBy("at")) + 1)
+    least = F.min(F.struct((F.col("before") / F.col("size")).alias("part"), "digest", "size", "at", "before"))
+    lists = tables.keep(lists.join(lists.groupBy("token").agg(least.alias("h")), "token"))
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+
+    met = lists.where("digest <> h.digest")
+    overlap = F.least(F.col("at") - F.col("before"), F.col("h.at") - F.col("h.before")) + F.least(F.col("size") - F.col("at"), F.col("h.size") - F.col("h.at"))
+    likely = ((100 + percent) * overlap >= percent * (F.col("size") + F.col("h.size"))) & (100 * F.least("size", "h.size") >= percent * F.greatest("size", "h.size"))
+    met = met.where(likely).groupBy(F.greatest("digest", "h.digest").alias("a"), F.least("digest", "h.digest").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("size", "h.size")).alias("n"))
+    stars = tables.keep(met.where("2 * c > n div 20").select("a", "b"))
     links = tables.keep(verified(stars, tables.keep(_fetch(docs, known, ends(stars), n)), percent))
     roots = components(links, tables)
 
-    lists = tables.keep(lists_of(_prefixes(docs, n, percent, frequent)))
-    rooted = lists.join(roots.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    pairs = tables.keep(pairs_of(rooted, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    rooted = lists.join(roots.withColumnRenamed("id", "digest"), "digest", "left").withColumns({"root": F.coalesce("root", "digest"), "heart": F.col("h.digest")}).drop("h")
+    shared = pairs_of(rooted, percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    enough = (F.col("c") >= 1 + F.floor(F.least("na", "nb") / 20)) & ((100 + percent) * (F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1) >= percent * (F.col("na") + F.col("nb")))
+    pairs = tables.keep(shared.where(enough).select("a", "b").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
     more = tables.keep(verified(pairs, tables.keep(_fetch(docs, known, ends(pairs), n)), percent))
     roots = components(links.union(more), tables)
 
