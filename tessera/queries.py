@@ -1,6 +1,317 @@
-"""Registry of the raster queries and their DuckDB oracles."""
+"""The raster queries: each operator over rasters made of the driver's tables, with its SQL for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera import core
+from tessera.core import SQL, column, doubles, embedding_raster, formula, frame_raster, order_raster, pair_raster
+from tessera.functions import colors, compose, escapes, fx, pointwise
+from tessera.operators import geometry, layers, metrics, regions, resample, stats, transfer, windows
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def add(name: str, build: Query, sql: str | None = None, digits: int = 4) -> None:
+    """Registers a query; its doubles are rounded, so that both engines' last bits don't count."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = build(spark, sf_dir)
+        return df.select(*((F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLE[name] = sql
+
+
+def r4(expr: str, name: str, digits: int = 4) -> str:
+    return f"round({expr}, {digits}) + 0e0 AS {name}"
+
+
+def over_emb(name: str, spark_column, sql: str) -> None:
+    """A function of one sample over the embedding rasters."""
+    add(name, lambda s, d: embedding_raster(s, d).withColumn("v", spark_column()), f"SELECT image_id, y, x, {r4(sql, 'v')} FROM {SQL['emb']}")
+
+
+# ---- samples -----------------------------------------------------------------------------------------------------
+CONSTANTS = {"abs": -40000.0, "add_modulus": 30000.0, "and": 30000.0, "cosine": 3.0, "divide": 1.7, "exponential": 0.5, "inverse_log": 10.0, "left_shift": 2.0, "log": 20.0, "multiply": 1.3, "pow": 1.4, "right_shift": 3.0, "root_mean_square": 10.0, "set": 12345.0, "sine": 2.5, "or": 4096.0, "xor": 21845.0}
+for _op, _template in pointwise.EVALUATE.items():
+    _c = CONSTANTS.get(_op, 33000.0)
+    over_emb(f"evaluate_{_op}", lambda o=_op, c=_c: pointwise.evaluate("v", o, c), formula(_template, v="v", c=_c))
+CURVES = {
+    "sinusoid": {"freq": 3.0, "phase": 90.0, "amp": 0.4, "bias": 0.5}, "arcsin": {"width": 0.5, "center": 0.5, "range": 1.0, "bias": 0.5}, "arctan": {"slope": 5.0, "center": 0.5, "range": 1.0, "bias": 0.5},
+    "level": {"black": 10000.0, "white": 50000.0, "gamma": 1.5}, "levelize": {"black": 10000.0, "white": 50000.0, "gamma": 1.5}, "gamma": {"gamma": 2.2}, "sigmoidal": {"contrast": 5.0, "mid": 0.4}, "negate": {}, "solarize": {"at": 40000.0}, "clamp": {}, "perceptible": {"eps": 35000.0},
+    "bilevel": {"at": 33000.0}, "black_threshold": {"at": 30000.0}, "white_threshold": {"at": 36000.0}, "range_threshold": {"lb": 20000.0, "lw": 30000.0, "hw": 36000.0, "hb": 45000.0}, "posterize": {"levels": 5.0}, "depth": {"bits": 6.0}, "colorize": {"blend": 30.0, "fill": 50000.0}, "tint": {"fill": 9000.0},
+}
+for _op, _k in CURVES.items():
+    over_emb(f"curve_{_op}", lambda o=_op, k=_k: pointwise.curve("v", o, **k), formula(pointwise.CURVES[_op], v="v", **_k))
+over_emb("function_polynomial", lambda: F.expr(doubles(pointwise.polynomial("v", [2.0, -3.0, 1.5, 0.25]))), "65535e0 * (((2e0 * v / 65535e0 - 3e0) * v / 65535e0 + 1.5e0) * v / 65535e0 + 0.25e0)")
+over_emb("brightness_contrast", lambda: F.expr(doubles(pointwise.brightness_contrast("v", 10.0, 20.0))), "65535e0 * (100e0 / 80e0 * v / 65535e0 + (0.1e0 - 0.5e0) * 100e0 / 80e0 + 0.5e0)")
+
+def _u() -> dict:
+    return {"u": F.col("v") / 65535.0, "i": F.col("x").cast("double"), "j": F.col("y").cast("double")}
+
+
+FX = {
+    "arithmetic": ("u*0.5 + (i-j)/8 - 2^-3", "v / 65535e0 * 0.5e0 + (x - y) / 8e0 - pow(2e0, -3e0)"),
+    "ternary": ("u > 0.5 && i%2 == 0 ? 1-u : u/2", "CASE WHEN v / 65535e0 > 0.5e0 AND x % 2 = 0 THEN 1 - v / 65535e0 ELSE v / 65535e0 / 2 END"),
+    "functions": ("hypot(sin(u*pi), cos(u)) + ln(u+1) + logtwo(u+2) + log(u+1)", "sqrt(pow(sin(v / 65535e0 * pi()), 2) + pow(cos(v / 65535e0), 2)) + ln(v / 65535e0 + 1) + log2(v / 65535e0 + 2) + log10(v / 65535e0 + 1)"),
+    "rounding": ("floor(u*10)+ceil(u*10)+round(u*10)+trunc(0-u*10)+int(u*7)+alt(i)+sign(u-0.5)", "floor(v / 65535e0 * 10) + ceil(v / 65535e0 * 10) + floor(v / 65535e0 * 10 + 0.5e0) + ceil(-v / 65535e0 * 10) + floor(v / 65535e0 * 7) + CASE WHEN x % 2 = 1 THEN -1 ELSE 1 END + CASE WHEN v / 65535e0 < 0.5e0 THEN -1 ELSE 1 END"),
+    "statements": ("t = u*2; t -= 0.25; s = mod(t, 0.3); s + drc(u, 0.5) + squish(t) + clamp(t)", "(v / 65535e0 * 2 - 0.25e0) - floor((v / 65535e0 * 2 - 0.25e0) / 0.3e0) * 0.3e0 + v / 65535e0 / (0.5e0 * (v / 65535e0 - 1) + 1) + 1 / (1 + exp(-(v / 65535e0 * 2 - 0.25e0))) + least(greatest(v / 65535e0 * 2 - 0.25e0, 0), 1)"),
+    "bits": ("(i << 2 | j & 3) + gcd(i+4, j+6) + !(i-j) + max(i, j) + min(u, 0.4)", "((CAST(x AS BIGINT) << 2) | (CAST(y AS BIGINT) & 3)) + gcd(x + 4, y + 6) + CASE WHEN x = y THEN 1 ELSE 0 END + greatest(x, y) + least(v / 65535e0, 0.4e0)"),
+    "curves": ("gauss(u) + sinc(u) + tanh(u) + atan2(u, 0.5) + exp(0-u) + sqrt(u) + pow(u, 3) + if(i>3, 1, 0)", "exp(-pow(v / 65535e0, 2) / 2) / sqrt(2 * pi()) + CASE WHEN v = 0 THEN 1 ELSE sin(pi() * v / 65535e0) / (pi() * v / 65535e0) END + tanh(v / 65535e0) + atan2(v / 65535e0, 0.5e0) + exp(-v / 65535e0) + sqrt(v / 65535e0) + pow(v / 65535e0, 3) + CASE WHEN x > 3 THEN 1 ELSE 0 END"),
+}
+for _op, (_text, _sql) in FX.items():
+    over_emb(f"fx_{_op}", lambda t=_text: 65535.0 * fx.compile_fx(t, _u()), f"65535e0 * ({_sql})")
+
+# ---- colours -----------------------------------------------------------------------------------------------------
+_unit = "(SELECT image_id, y, x, r / 65535e0 AS r, g / 65535e0 AS g, b / 65535e0 AS b FROM " + SQL["ord"] + ")"
+
+
+def unit_colours(s: SparkSession, d: str) -> DataFrame:
+    return order_raster(s, d).withColumns({c: F.col(c) / 65535.0 for c in "rgb"})
+
+
+for _space in colors.SPACES:
+    _parts = colors.forward(_space)
+    add(
+        f"colorspace_{_space}", lambda s, d, p=_parts: unit_colours(s, d).select("image_id", "y", "x", *(F.expr(e).alias(f"c{i}") for i, e in enumerate(p))),
+        f"SELECT image_id, y, x, {', '.join(r4(e, f'c{i}', 9) for i, e in enumerate(_parts))} FROM {_unit}", 9,
+    )
+for _space in (*colors.LINEAR, "rgb", "hsv", "hsl", "hwb", "xyz", "lab"):  # there and back again
+    add(
+        f"colorspace_inverse_{_space}",
+        lambda s, d, p=_space: unit_colours(s, d).select("image_id", "y", "x", *(F.expr(e).alias(f"c{i}") for i, e in enumerate(colors.forward(p)))).select("image_id", "y", "x", *(F.expr(e).alias(c) for c, e in zip("rgb", colors.inverse(p), strict=True))),
+        f"SELECT image_id, y, x, {', '.join(r4(c, c, 3) for c in 'rgb')} FROM {_unit}", 3,
+    )
+for _name, _e in colors.INTENSITY.items():
+    add(f"grayscale_{_name}", lambda s, d, e=_e: unit_colours(s, d).select("image_id", "y", "x", F.expr(doubles(e)).alias("v")), f"SELECT image_id, y, x, {r4(doubles(_e), 'v', 9)} FROM {_unit}", 9)
+_M = ((0.9, 0.1, 0.0, 0.05), (0.2, 0.7, 0.1, 0.0), (0.0, 0.3, 0.6, -0.1))
+add(
+    "color_matrix", lambda s, d: unit_colours(s, d).select("image_id", "y", "x", *((F.col("r") * m[0] + F.col("g") * m[1] + F.col("b") * m[2] + m[3]).alias(c) for c, m in zip("rgb", _M, strict=True))),
+    f"SELECT image_id, y, x, {', '.join(r4(f'r * {m[0]!r}e0 + g * {m[1]!r}e0 + b * {m[2]!r}e0 + ({m[3]!r}e0)', c) for c, m in zip('rgb', _M, strict=True))} FROM {_unit}",
+)
+add("channel_separate", lambda s, d: order_raster(s, d).unpivot(["image_id", "y", "x"], ["r", "g", "b"], "channel", "v"), f"SELECT image_id, y, x, channel, {r4('v', 'v')} FROM (UNPIVOT {SQL['ord']} ON r, g, b INTO NAME channel VALUE v)")
+add("channel_combine", lambda s, d: frame_raster(s, d).where("scene < 3").groupBy("image_id", "y", "x").pivot("scene", [0, 1, 2]).agg(F.first("v")).toDF("image_id", "y", "x", "r", "g", "b"), f"SELECT image_id, y, x, {', '.join(r4(f'max(CASE WHEN scene = {i} THEN v END)', c) for i, c in enumerate('rgb'))} FROM {SQL['frames']} WHERE scene < 3 GROUP BY ALL")
+add("opaque_paint", lambda s, d: unit_colours(s, d).withColumn("r", F.when(F.expr("(r - 0.5D) * (r - 0.5D) + (g - 0.5D) * (g - 0.5D) + (b - 0.5D) * (b - 0.5D) <= 0.12D"), 1.0).otherwise(F.col("r"))), f"SELECT image_id, y, x, {r4('CASE WHEN (r - 0.5e0) * (r - 0.5e0) + (g - 0.5e0) * (g - 0.5e0) + (b - 0.5e0) * (b - 0.5e0) <= 0.12e0 THEN 1e0 ELSE r END', 'r')}, {r4('g', 'g')}, {r4('b', 'b')} FROM {_unit}")
+add("color_threshold", lambda s, d: unit_colours(s, d).select("image_id", "y", "x", F.when(F.col("r").between(0.2, 0.8) & F.col("g").between(0.1, 0.9) & F.col("b").between(0.0, 0.7), 65535.0).otherwise(0.0).alias("v")), f"SELECT image_id, y, x, CASE WHEN r BETWEEN 0.2e0 AND 0.8e0 AND g BETWEEN 0.1e0 AND 0.9e0 AND b BETWEEN 0e0 AND 0.7e0 THEN 65535e0 ELSE 0e0 END AS v FROM {_unit}")
+_PALETTE = [(0.0, 0.0, 0.0), (65535.0, 0.0, 0.0), (0.0, 65535.0, 32768.0), (40000.0, 40000.0, 40000.0), (65535.0, 65535.0, 65535.0)]
+_far = lambda i: f"round((r - {_PALETTE[i][0]}e0) * (r - {_PALETTE[i][0]}e0) + (g - {_PALETTE[i][1]}e0) * (g - {_PALETTE[i][1]}e0) + (b - {_PALETTE[i][2]}e0) * (b - {_PALETTE[i][2]}e0), 6)"
+_index = f"CAST(list_position([{', '.join(map(_far, range(5)))}], list_min([{', '.join(map(_far, range(5)))}])) - 1 AS INT)"
+add("remap_nearest", lambda s, d: regions.remap(order_raster(s, d), _PALETTE).select("image_id", "y", "x", "index"), f"SELECT image_id, y, x, {_index} AS index FROM {SQL['ord']}")
+add("quantize_cube", lambda s, d: regions.quantize(order_raster(s, d), 2), f"WITH q AS (SELECT *, least(floor(r / 65536e0 * 4), 3) AS qr, least(floor(g / 65536e0 * 4), 3) AS qg, least(floor(b / 65536e0 * 4), 3) AS qb FROM {SQL['ord']}) SELECT image_id, y, x, {', '.join(r4(f'avg({c}) OVER (PARTITION BY image_id, qr, qg, qb)', c) for c in 'rgb')} FROM q")
+add("kmeans_round", lambda s, d: s.createDataFrame([(i, *c) for i, c in enumerate(regions.kmeans(order_raster(s, d), _PALETTE, 1))], "index int, r double, g double, b double"), f"WITH a AS (SELECT {_index} AS index, r, g, b FROM {SQL['ord']}), m AS (SELECT index, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM a GROUP BY index), p(index, r, g, b) AS (VALUES {', '.join(f'({i}, {c[0]}e0, {c[1]}e0, {c[2]}e0)' for i, c in enumerate(_PALETTE))}) SELECT CAST(p.index AS INT) AS index, {', '.join(r4(f'coalesce(m.{c}, p.{c})', c, 3) for c in 'rgb')} FROM p LEFT JOIN m USING (index)", 3)
+
+# ---- statistics --------------------------------------------------------------------------------------------------
+_moments = "count(*) AS n, avg(v) AS m, sum(v) AS s1, sum(v * v) AS s2"
+_STATS = f"""
+WITH e AS (SELECT * FROM {SQL['emb']}),
+b AS (SELECT image_id, count(*) AS n, avg(v) AS m, min(v) AS lo, max(v) AS hi, quantile_disc(v, 0.5) AS med FROM e GROUP BY image_id),
+c AS (SELECT image_id, sum(pow(v - m, 2)) / any_value(n) AS m2, sum(pow(v - m, 3)) / any_value(n) AS m3, sum(pow(v - m, 4)) / any_value(n) AS m4 FROM e JOIN b USING (image_id) GROUP BY image_id),
+h AS (SELECT image_id, floor(least(greatest(v, 0e0), 65535e0) + 0.5e0) AS bin, count(*) AS k FROM e GROUP BY ALL),
+t AS (SELECT image_id, sum(k) AS n, count(*) AS bins FROM h GROUP BY image_id),
+p AS (SELECT image_id, CASE WHEN any_value(bins) > 1 THEN -sum(h.k / t.n * log2(h.k / t.n)) / log2(any_value(bins)) ELSE 0 END AS entropy FROM h JOIN t USING (image_id) GROUP BY image_id)
+"""
+add(
+    "image_statistics", lambda s, d: stats.statistics(embedding_raster(s, d)),
+    _STATS + f"""SELECT image_id, n AS area, {r4('lo', 'minima')}, {r4('hi', 'maxima')}, {r4('m', 'mean')}, {r4('m2 * n / (n - 1)', 'variance', 2)}, {r4('sqrt(m2 * n / (n - 1))', 'standard_deviation')},
+    {r4('m3 / pow(m2 * n / (n - 1), 1.5e0)', 'skewness')}, {r4('m4 / pow(m2 * n / (n - 1), 2) - 3', 'kurtosis')}, {r4('med', 'median')}, {r4('entropy', 'entropy')} FROM b JOIN c USING (image_id) JOIN p USING (image_id)""",
+)
+QUERIES["image_statistics"] = lambda s, d: (lambda df: df.select(*((F.round(F.col(c), 2 if c == "variance" else 4) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes)))(stats.statistics(embedding_raster(s, d)))
+add("image_entropy", lambda s, d: stats.entropy(embedding_raster(s, d)), _STATS + f"SELECT image_id, {r4('entropy', 'entropy')} FROM p")
+add("image_extrema", lambda s, d: stats.extrema(embedding_raster(s, d)), f"SELECT image_id, CAST(ceil(min(v) - 0.5e0) AS BIGINT) AS minima, CAST(floor(max(v) + 0.5e0) AS BIGINT) AS maxima, (list(y ORDER BY v, y, x))[1] AS min_y, (list(x ORDER BY v, y, x))[1] AS min_x, (list(y ORDER BY v DESC, y, x))[1] AS max_y, (list(x ORDER BY v DESC, y, x))[1] AS max_x FROM {SQL['emb']} GROUP BY image_id")
+add(
+    "image_moments", lambda s, d: stats.moments(embedding_raster(s, d)).select("image_id", "centroid_x", "centroid_y", "major", "minor", "eccentricity"),
+    f"""WITH c AS (SELECT image_id, sum(v) AS s, sum(v * x) / sum(v) AS cx, sum(v * y) / sum(v) AS cy FROM {SQL['emb']} GROUP BY image_id),
+    m AS (SELECT image_id, any_value(cx) AS cx, any_value(cy) AS cy, sum(v * pow(x - cx, 2)) / any_value(s) AS a, sum(v * pow(y - cy, 2)) / any_value(s) AS b, sum(v * (x - cx) * (y - cy)) / any_value(s) AS c FROM {SQL['emb']} JOIN c USING (image_id) GROUP BY image_id),
+    q AS (SELECT *, sqrt(2 * (a + b + sqrt(4 * c * c + (a - b) * (a - b)))) AS major, sqrt(2 * (a + b - sqrt(4 * c * c + (a - b) * (a - b)))) AS minor FROM m)
+    SELECT image_id, {r4('cx', 'centroid_x')}, {r4('cy', 'centroid_y')}, {r4('major', 'major')}, {r4('minor', 'minor')}, {r4('sqrt(1 - minor * minor / (major * major))', 'eccentricity')} FROM q""",
+)
+add("histogram", lambda s, d: stats.histogram(order_raster(s, d)), f"SELECT image_id, {r4('r', 'r')}, {r4('g', 'g')}, {r4('b', 'b')}, count(*) AS count FROM {SQL['ord']} GROUP BY image_id, {SQL['ord'] and 'r, g, b'}")
+add("unique_colors", lambda s, d: stats.unique_colors(order_raster(s, d)), f"SELECT image_id, {r4('r', 'r')}, {r4('g', 'g')}, {r4('b', 'b')}, CAST(row_number() OVER (PARTITION BY image_id ORDER BY r, g, b) - 1 AS INT) AS x FROM (SELECT DISTINCT image_id, r, g, b FROM {SQL['ord']})")
+add("number_colors", lambda s, d: stats.number_colors(order_raster(s, d)), f"SELECT image_id, count(*) AS colors, count(*) <= 256 AS palette, count(*) <= 1024 AS histogram FROM (SELECT DISTINCT image_id, r, g, b FROM {SQL['ord']}) GROUP BY image_id")
+add("image_kinds", lambda s, d: stats.kinds(order_raster(s, d)), f"SELECT image_id, bool_and(abs(r - g) < 1e-12 AND abs(g - b) < 1e-12) AS gray, bool_and(r IN (0, 65535) AND r = g AND g = b) AS monochrome, bool_or(r < 0 OR r > 65535 OR r <> round_even(r, 0)) AS high_dynamic_range FROM {SQL['ord']} GROUP BY image_id")
+add("ink_density", lambda s, d: stats.ink_density(order_raster(s, d), ("r", "g", "b")), f"SELECT image_id, {r4('max(r + g + b)', 'density')} FROM {SQL['ord']} GROUP BY image_id")
+add("bounding_box", lambda s, d: stats.bounding_box(embedding_raster(s, d).withColumn("v", F.when(F.col("v") > 38000, F.col("v")).otherwise(0.0)), "0D"), f"SELECT image_id, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM {SQL['emb']} WHERE v > 38000 GROUP BY image_id")
+add(
+    "texture_features", lambda s, d: stats.texture(embedding_raster(s, d)),
+    f"""WITH q AS (SELECT image_id, y, x, CAST(floor(least(v / 65535e0 * 8, 7e0)) AS INT) AS i FROM {SQL['emb']}),
+    o AS (SELECT a.image_id, a.i, b.i AS j FROM q a JOIN q b ON a.image_id = b.image_id AND a.y = b.y AND b.x = a.x + 1),
+    w AS (SELECT * FROM o UNION ALL SELECT image_id, j, i FROM o), k AS (SELECT image_id, i, j, count(*) AS c FROM w GROUP BY ALL),
+    p AS (SELECT *, c / sum(c) OVER (PARTITION BY image_id) AS p FROM k)
+    SELECT image_id, {r4('sum(p * p)', 'angular_second_moment')}, {r4('sum(p * (i - j) * (i - j))', 'contrast')}, {r4('sum(p / (1 + (i - j) * (i - j)))', 'inverse_difference')}, {r4('-sum(p * log2(p))', 'entropy')}, {r4('sum(p * (i + j))', 'sum_average')} FROM p GROUP BY image_id""",
+)
+
+# ---- two images --------------------------------------------------------------------------------------------------
+_ab = f"(SELECT image_id, y, x, sc AS a, dc AS b FROM {SQL['pair']})"
+
+
+def ab(s: SparkSession, d: str) -> DataFrame:
+    return pair_raster(s, d).select("image_id", "y", "x", F.col("sc").alias("a"), F.col("dc").alias("b"))
+
+
+for _name in metrics.METRICS:
+    add(f"metric_{_name}", lambda s, d, n=_name: metrics.compare(ab(s, d), (n,)), f"SELECT image_id, {r4(metrics.metric(_name), _name)} FROM {_ab} GROUP BY image_id")
+add("compare_highlight", lambda s, d: metrics.highlight(ab(s, d)), f"SELECT image_id, y, x, {r4('a', 'a')}, {r4('b', 'b')}, (a - b) * (a - b) > {0.01 * 0.01!r}e0 AS differs FROM {_ab}".replace("1e-05e0", "1e-05"))
+add("compare_metrics", lambda s, d: metrics.compare(ab(s, d), ("mae", "mse", "rmse", "pae", "ncc")), f"SELECT image_id, {', '.join(r4(metrics.metric(n), n) for n in ('mae', 'mse', 'rmse', 'pae', 'ncc'))} FROM {_ab} GROUP BY image_id")
+for _op in compose.BLENDS:
+    _c, _a = compose.blended(_op)
+    add(f"composite_{_op}", lambda s, d, o=_op: compose.composite(pair_raster(s, d), o).select("image_id", "y", "x", "c", "a"), f"SELECT image_id, y, x, {r4(_c, 'c', 9)}, {r4(_a, 'a', 9)} FROM {SQL['pair']}", 9)
+_cx = "(SELECT image_id, y, x, sc AS ar, sa AS ai, dc AS br, da AS bi FROM " + SQL["pair"] + ")"
+for _op, _re, _im in (
+    ("add", "ar + br", "ai + bi"), ("subtract", "ar - br", "ai - bi"), ("multiply", "ar * br - ai * bi", "ar * bi + ai * br"), ("divide", "(ar * br + ai * bi) / (br * br + bi * bi)", "(ai * br - ar * bi) / (br * br + bi * bi)"),
+    ("conjugate", "ar", "-ai"), ("magnitude_phase", "sqrt(ar * ar + ai * ai)", "atan2(ai, ar) / (2 * pi()) + 0.5e0"), ("real_imaginary", "ar * cos(2 * pi() * (ai - 0.5e0))", "ar * sin(2 * pi() * (ai - 0.5e0))"),
+):
+    add(
+        f"complex_{_op}", lambda s, d, o=_op: layers.complex_pairs(pair_raster(s, d).selectExpr("image_id", "y", "x", "sc as ar", "sa as ai", "dc as br", "da as bi"), o).select("image_id", "y", "x", "real", "imaginary"),
+        f"SELECT image_id, y, x, {r4(_re, 'real')}, {r4(_im, 'imaginary')} FROM {_cx}",
+    )
+
+# ---- histogram transfer ------------------------------------------------------------------------------------------
+_h = f"""WITH e AS (SELECT *, CAST(least(greatest(floor(v / 65535e0 * 255 + 0.5e0), 0), 255) AS INT) AS bin FROM {SQL['emb']}), h0 AS (SELECT image_id, bin, count(*) AS n FROM e GROUP BY ALL),
+h AS (SELECT *, CAST(sum(n) OVER (PARTITION BY image_id ORDER BY bin) AS BIGINT) AS below, CAST(sum(n) OVER (PARTITION BY image_id) AS BIGINT) AS total FROM h0)"""
+add("equalize", lambda s, d: transfer.equalize(embedding_raster(s, d)), _h + f", l AS (SELECT *, min(below) OVER (PARTITION BY image_id) AS first FROM h) SELECT image_id, y, x, {r4('CASE WHEN total > first THEN 65535e0 * (below - first) / (total - first) ELSE v END', 'v')} FROM e JOIN l USING (image_id, bin)")
+for _name, _b, _w in (("contrast_stretch", 0.1, 0.9), ("normalize", 0.02, 0.99)):
+    add(f"{_name}", lambda s, d, b=_b, w=_w: transfer.contrast_stretch(embedding_raster(s, d), b, w), _h + f", k AS (SELECT image_id, min(CASE WHEN below > {_b}e0 * total THEN bin END) AS low, max(CASE WHEN total - below + n > {1 - _w!r}e0 * total THEN bin END) AS high FROM h GROUP BY image_id) SELECT image_id, y, x, {r4('CASE WHEN high > low THEN least(greatest((v - low * 257e0) / ((high - low) * 257e0) * 65535e0, 0), 65535e0) ELSE v END', 'v')} FROM e JOIN k USING (image_id)")
+add("auto_level", lambda s, d: transfer.auto_level(embedding_raster(s, d)), f"SELECT image_id, y, x, {r4('65535e0 * (v - min(v) OVER (PARTITION BY image_id)) / (max(v) OVER (PARTITION BY image_id) - min(v) OVER (PARTITION BY image_id))', 'v')} FROM {SQL['emb']}")
+add("auto_gamma", lambda s, d: transfer.auto_gamma(embedding_raster(s, d)), f"SELECT image_id, y, x, {r4('65535e0 * pow(v / 65535e0, ln(0.5e0) / ln(avg(v) OVER (PARTITION BY image_id) / 65535e0))', 'v')} FROM {SQL['emb']}")
+_best = "SELECT image_id, CAST((list(bin ORDER BY round(worth, 9) DESC, bin))[1] AS INT) AS threshold FROM {t} GROUP BY image_id"
+add("auto_threshold_otsu", lambda s, d: transfer.auto_threshold(embedding_raster(s, d), "otsu"), _h + ", q AS (SELECT image_id, bin, below / total AS w, sum(bin * n) OVER (PARTITION BY image_id ORDER BY bin) / total AS m, sum(bin * n) OVER (PARTITION BY image_id) / total AS mt FROM h), t AS (SELECT *, CASE WHEN w > 0 AND w < 1 THEN pow(mt * w - m, 2) / (w * (1 - w)) ELSE 0 END AS worth FROM q) " + _best.format(t="t"))
+add("auto_threshold_kapur", lambda s, d: transfer.auto_threshold(embedding_raster(s, d), "kapur"), _h + ", q AS (SELECT image_id, bin, below / total AS w, sum(n / total * ln(n / total)) OVER (PARTITION BY image_id ORDER BY bin) AS e, sum(n / total * ln(n / total)) OVER (PARTITION BY image_id) AS et FROM h), t AS (SELECT *, CASE WHEN w > 0 AND w < 1 THEN ln(w) - e / w + ln(1 - w) - (et - e) / (1 - w) ELSE 0 END AS worth FROM q) " + _best.format(t="t"))
+add("auto_threshold_triangle", lambda s, d: transfer.auto_threshold(embedding_raster(s, d), "triangle"), _h + ", q AS (SELECT h.*, max(n) OVER w AS pn, min(bin) OVER w AS first, max(bin) OVER w AS last FROM h WINDOW w AS (PARTITION BY image_id)), r AS (SELECT *, min(CASE WHEN n = pn THEN bin END) OVER (PARTITION BY image_id) AS pb FROM q), f AS (SELECT *, CASE WHEN pb - first > last - pb THEN first ELSE last END AS far FROM r), t AS (SELECT *, CASE WHEN far <> pb AND bin BETWEEN least(pb, far) AND greatest(pb, far) THEN abs(far - bin) * pn / abs(far - pb) - n ELSE 0 END AS worth FROM f) " + _best.format(t="t"))
+
+# ---- geometry ----------------------------------------------------------------------------------------------------
+for _name, _f, _y, _x, _where in (
+    ("flip", geometry.flip, "7 - y", "x", ""), ("flop", geometry.flop, "y", "7 - x", ""), ("transpose", geometry.transpose, "x", "y", ""), ("transverse", geometry.transverse, "7 - x", "7 - y", ""),
+    ("rotate_90", lambda e: geometry.rotate(e, 1), "x", "7 - y", ""), ("rotate_180", lambda e: geometry.rotate(e, 2), "7 - y", "7 - x", ""), ("rotate_270", lambda e: geometry.rotate(e, 3), "7 - x", "y", ""),
+    ("roll", lambda e: geometry.roll(e, 3, -2), "(y + 6) % 8", "(x + 3) % 8", ""), ("crop", lambda e: geometry.crop(e, 2, 1, 4, 5), "y - 1", "x - 2", "WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 5"),
+    ("shave", lambda e: geometry.shave(e, 2, 1), "y - 1", "x - 2", "WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 6"), ("chop", lambda e: geometry.chop(e, 2, 3, 2, 1), "CASE WHEN y >= 4 THEN y - 1 ELSE y END", "CASE WHEN x >= 4 THEN x - 2 ELSE x END", "WHERE x NOT BETWEEN 2 AND 3 AND y <> 3"),
+):
+    add(_name, lambda s, d, f=_f: f(embedding_raster(s, d)), f"SELECT image_id, CAST({_y} AS INT) AS y, CAST({_x} AS INT) AS x, {r4('v', 'v')} FROM {SQL['emb']} {_where}")
+_grid = lambda h, w: f"(SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT DISTINCT vec_id AS image_id FROM embeddings), range(0, {h}) a(y), range(0, {w}) b(x))"
+add("extent", lambda s, d: geometry.extent(embedding_raster(s, d), 10, 9, 1, -2, 500.0), f"SELECT g.image_id, g.y, g.x, {r4('coalesce(v, 500e0)', 'v')} FROM {_grid(9, 10)} g LEFT JOIN {SQL['emb']} e ON e.image_id = g.image_id AND e.x + 1 = g.x AND e.y - 2 = g.y")
+add("border", lambda s, d: geometry.border(embedding_raster(s, d), 2, 1, 700.0), f"SELECT g.image_id, g.y, g.x, {r4('coalesce(v, 700e0)', 'v')} FROM {_grid(10, 12)} g LEFT JOIN {SQL['emb']} e ON e.image_id = g.image_id AND e.x + 2 = g.x AND e.y + 1 = g.y")
+add("splice", lambda s, d: geometry.splice(embedding_raster(s, d), 3, 2, 2, 1, 900.0), f"SELECT g.image_id, g.y, g.x, {r4('coalesce(v, 900e0)', 'v')} FROM {_grid(9, 10)} g LEFT JOIN {SQL['emb']} e ON e.image_id = g.image_id AND e.x + CASE WHEN e.x >= 3 THEN 2 ELSE 0 END = g.x AND e.y + CASE WHEN e.y >= 2 THEN 1 ELSE 0 END = g.y")
+add("tiles", lambda s, d: geometry.tiles(embedding_raster(s, d), 3, 4), f"SELECT image_id, CAST(y % 4 AS INT) AS y, CAST(x % 3 AS INT) AS x, CAST(y // 4 AS INT) AS ty, CAST(x // 3 AS INT) AS tx, {r4('v', 'v')} FROM {SQL['emb']}")
+add("append", lambda s, d: geometry.append(frame_raster(s, d)), f"SELECT image_id, y, CAST(scene * 8 + x AS INT) AS x, {r4('v', 'v')} FROM (SELECT image_id, y, x, v, dense_rank() OVER (PARTITION BY image_id ORDER BY scene) - 1 AS scene FROM {SQL['frames']})")
+add("trim", lambda s, d: (lambda e: geometry.trim(e, stats.bounding_box(e, "0D")))(embedding_raster(s, d).withColumn("v", F.when(F.col("v") > 38000, F.col("v")).otherwise(0.0))), f"WITH e AS (SELECT image_id, y, x, CASE WHEN v > 38000 THEN v ELSE 0e0 END AS v FROM {SQL['emb']}), b AS (SELECT image_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM e WHERE v <> 0 GROUP BY image_id) SELECT image_id, CAST(y - y0 AS INT) AS y, CAST(x - x0 AS INT) AS x, {r4('v', 'v')} FROM e JOIN b USING (image_id) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+add("sort_pixels", lambda s, d: geometry.sort_pixels(embedding_raster(s, d)), f"SELECT image_id, y, CAST(row_number() OVER (PARTITION BY image_id, y ORDER BY v, x) - 1 AS INT) AS x, {r4('v', 'v')} FROM {SQL['emb']}")
+add("montage", lambda s, d: layers.montage(frame_raster(s, d), 3), f"SELECT image_id, CAST((scene // 3) * 8 + y AS INT) AS y, CAST((scene % 3) * 8 + x AS INT) AS x, {r4('v', 'v')} FROM {SQL['frames']}")
+
+# ---- neighbourhoods ----------------------------------------------------------------------------------------------
+_near = lambda offsets: f"(SELECT e.image_id, e.y, e.x, o.k, n.v AS n FROM {SQL['emb']} e, (VALUES {', '.join(f'({a}, {b}, {float(k)!r}e0)' for a, b, k in offsets)}) o(dy, dx, k) JOIN {SQL['emb']} n ON n.image_id = e.image_id AND n.y = greatest(0, least(7, e.y + o.dy)) AND n.x = greatest(0, least(7, e.x + o.dx)))"
+_box = [(a, b, 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+for _name, _sql in (
+    ("mean", "avg(n)"), ("minimum", "min(n)"), ("maximum", "max(n)"), ("gradient", "max(n) - min(n)"), ("contrast", "abs((max(n) - min(n)) / (max(n) + min(n)))"), ("rms", "sqrt(avg(n * n))"), ("standard_deviation", "stddev_pop(n)"), ("median", "(list(n ORDER BY n))[5]"),
+):
+    add(f"statistic_{_name}", lambda s, d, n=_name: windows.statistic(embedding_raster(s, d), n), f"SELECT image_id, y, x, {r4(_sql, 'v', 3)} FROM {_near(_box)} GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY image_id, y, x"), 3)
+add("statistic_mode", lambda s, d: windows.statistic(embedding_raster(s, d).withColumn("v", F.floor(F.col("v") / 8192.0) * 8192.0), "mode"), f"SELECT image_id, y, x, {r4('(list(n ORDER BY c DESC, n))[1]', 'v')} FROM (SELECT image_id, y, x, floor(n / 8192e0) * 8192e0 AS n, count(*) AS c FROM {_near(_box)} GROUP BY 1, 2, 3, 4) GROUP BY image_id, y, x")
+KERNELS = {"sobel": [[1.0, 0.0, -1.0], [2.0, 0.0, -2.0], [1.0, 0.0, -1.0]], "laplacian": [[-1.0, -1.0, -1.0], [-1.0, 8.0, -1.0], [-1.0, -1.0, -1.0]], "sharpen": [[0.0, -1.0, 0.0], [-1.0, 5.0, -1.0], [0.0, -1.0, 0.0]], "emboss": [[-2.0, -1.0, 0.0], [-1.0, 1.0, 1.0], [0.0, 1.0, 2.0]], "prewitt": [[1.0, 0.0, -1.0]] * 3, "binomial": [[0.0625, 0.125, 0.0625], [0.125, 0.25, 0.125], [0.0625, 0.125, 0.0625]], "edge": [[-1.0] * 3, [-1.0, 8.0, -1.0], [-1.0] * 3], "kirsch": [[5.0, -3.0, -3.0], [5.0, 0.0, -3.0], [5.0, -3.0, -3.0]]}
+for _name, _k in KERNELS.items():
+    add(f"convolve_{_name}", lambda s, d, k=_k: windows.convolve(embedding_raster(s, d), k), f"SELECT image_id, y, x, {r4('sum(n * k)', 'v', 3)} FROM {_near([(1 - i, 1 - j, _k[i][j]) for i in range(3) for j in range(3) if _k[i][j]])} GROUP BY image_id, y, x", 3)
+_gk = windows.gaussian(1, 1.0)
+add("blur", lambda s, d: windows.blur(embedding_raster(s, d)), f"SELECT image_id, y, x, {r4('sum(n * k)', 'v', 3)} FROM {_near([(a - 1, b - 1, _gk[a] * _gk[b]) for a in range(3) for b in range(3)])} GROUP BY image_id, y, x", 3)
+add("unsharp", lambda s, d: windows.unsharp(embedding_raster(s, d)), f"SELECT image_id, y, x, {r4('CASE WHEN abs(v - q) * 2 < 3276.75e0 THEN v ELSE v + (v - q) END', 'v', 3)} FROM {SQL['emb']} JOIN (SELECT image_id, y, x, sum(n * k) AS q FROM {_near([(a - 1, b - 1, _gk[a] * _gk[b]) for a in range(3) for b in range(3)])} GROUP BY image_id, y, x) USING (image_id, y, x)", 3)
+
+
+def _morph(source: str, cells: list, agg: str) -> str:
+    """SQL of one erosion or dilation of a table (image_id, y, x, v)."""
+    values = ", ".join(f"({-a if agg == 'max' else a}, {-b if agg == 'max' else b})" for a, b, _ in cells)
+    return f"(SELECT e.image_id, e.y, e.x, {agg}(n.v) AS v FROM {source} e, (VALUES {values}) o(dy, dx) JOIN {source} n ON n.image_id = e.image_id AND n.y = greatest(0, least(7, e.y + o.dy)) AND n.x = greatest(0, least(7, e.x + o.dx)) GROUP BY e.image_id, e.y, e.x)"
+
+
+for _shape in ("square", "plus", "cross", "line"):
+    _cells = windows.SHAPES[_shape]
+    _E = lambda t, c=_cells: _morph(t, c, "min")
+    _D = lambda t, c=_cells: _morph(t, c, "max")
+    _methods = {"dilate": _D("e0"), "erode": _E("e0"), "open": _D(_E("e0")), "close": _E(_D("e0"))} if _shape == "square" else {"dilate": _D("e0"), "erode": _E("e0")}
+    for _m, _sql in _methods.items():
+        add(f"morphology_{_m}_{_shape}", lambda s, d, m=_m, h=_shape: windows.morphology(embedding_raster(s, d), m, h), f"WITH e0 AS (SELECT * FROM {SQL['emb']}) SELECT image_id, y, x, {r4('v', 'v')} FROM {_sql}")
+    if _shape == "square":
+        for _m, (_a, _b) in {"edge_in": ("e0", _E("e0")), "edge_out": (_D("e0"), "e0"), "edge": (_D("e0"), _E("e0")), "top_hat": ("e0", _D(_E("e0"))), "bottom_hat": (_E(_D("e0")), "e0")}.items():
+            add(f"morphology_{_m}", lambda s, d, m=_m: windows.morphology(embedding_raster(s, d), m), f"WITH e0 AS (SELECT * FROM {SQL['emb']}) SELECT image_id, p.y, p.x, {r4('p.v - q.v', 'v')} FROM {_a} p JOIN {_b} q USING (image_id, y, x)".replace("image_id, p.y, p.x", "image_id, y, x"))
+        add("morphology_smooth", lambda s, d: windows.morphology(embedding_raster(s, d), "smooth"), f"WITH e0 AS (SELECT * FROM {SQL['emb']}), e1 AS (SELECT * FROM {_D(_E('e0'))}) SELECT image_id, y, x, {r4('v', 'v')} FROM {_E(_D('e1'))}")
+add("adaptive_threshold", lambda s, d: windows.adaptive_threshold(embedding_raster(s, d).withColumn("v", F.round("v", 2)), bias=100.0), f"WITH e AS (SELECT image_id, y, x, round(v, 2) AS v FROM {SQL['emb']}) SELECT image_id, y, x, CASE WHEN v <= m + 100e0 THEN 0e0 ELSE 65535e0 END AS v FROM e JOIN (SELECT image_id, y, x, avg(round(n, 2)) AS m FROM {_near(_box)} GROUP BY image_id, y, x) USING (image_id, y, x)")
+add("integral_image", lambda s, d: windows.integral(embedding_raster(s, d)), f"SELECT a.image_id, a.y, a.x, {r4('sum(b.v)', 'v', 3)} FROM {SQL['emb']} a JOIN {SQL['emb']} b ON a.image_id = b.image_id AND b.y <= a.y AND b.x <= a.x GROUP BY a.image_id, a.y, a.x", 3)
+add("shade", lambda s, d: windows.shade(embedding_raster(s, d), 30.0, 40.0))
+
+# ---- frames ------------------------------------------------------------------------------------------------------
+for _op, _sql in (("mean", "avg(v)"), ("sum", "sum(v)"), ("max", "max(v)"), ("min", "min(v)"), ("rms", "sqrt(avg(v * v))"), ("median", "(list(v ORDER BY v))[count(*) // 2 + 1]"), ("add", "sum(v)"), ("multiply", "list_reduce(list(v ORDER BY scene), lambda a, b: a * b / 65535e0)"), ("subtract", "list_reduce(list(v ORDER BY scene), lambda a, b: b - a)"), ("divide", "list_reduce(list(v ORDER BY scene), lambda a, b: b / a)"), ("difference", "list_reduce(list(v ORDER BY scene), lambda a, b: abs(b - a))")):
+    add(f"sequence_{_op}", lambda s, d, o=_op: layers.evaluate_sequence(frame_raster(s, d), o), f"SELECT image_id, y, x, {r4(_sql, 'v', 3)} FROM {SQL['frames']} GROUP BY image_id, y, x", 3)
+_terms = [(0.4, 1.0), (0.3, 2.0), (0.2, 0.5), (0.1, 3.0), (0.05, 1.0)]
+add("sequence_polynomial", lambda s, d: layers.polynomial(frame_raster(s, d), _terms), f"SELECT image_id, y, x, {r4('65535e0 * sum(w * pow(v / 65535e0, p))', 'v')} FROM {SQL['frames']} f JOIN (VALUES {', '.join(f'({i}, {w}e0, {p}e0)' for i, (w, p) in enumerate(_terms))}) t(scene, w, p) ON f.scene = t.scene GROUP BY image_id, y, x")
+_coarse = f"(SELECT image_id, scene, y, x, floor(v / 16384e0) AS v FROM {SQL['frames']})"
+
+
+def coarse(s: SparkSession, d: str) -> DataFrame:
+    return frame_raster(s, d).withColumn("v", F.floor(F.col("v") / 16384.0).cast("double"))
+
+
+add("layers_changed_box", lambda s, d: layers.changed_box(coarse(s, d)), f"SELECT image_id, scene, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM (SELECT *, lag(v) OVER (PARTITION BY image_id, y, x ORDER BY scene) AS p FROM {_coarse}) WHERE p IS NOT NULL AND p <> v GROUP BY image_id, scene")
+add("layers_optimize_transparency", lambda s, d: layers.optimize_transparency(coarse(s, d)), f"SELECT image_id, scene, y, x, CASE WHEN lag(v) OVER (PARTITION BY image_id, y, x ORDER BY scene) = v THEN NULL ELSE v + 0e0 END AS v FROM {_coarse}")
+add("layers_coalesce", lambda s, d: layers.coalesce(coarse(s, d).withColumn("v", F.when((F.col("v") == 1) & (F.col("scene") > 0), F.lit(None)).otherwise(F.col("v")))), f"SELECT image_id, scene, y, x, last_value(w IGNORE NULLS) OVER (PARTITION BY image_id, y, x ORDER BY scene) + 0e0 AS v FROM (SELECT *, CASE WHEN v = 1 AND scene > 0 THEN NULL ELSE v END AS w FROM {_coarse})")
+add("layers_flatten", lambda s, d: layers.flatten(coarse(s, d).withColumn("v", F.when(F.col("v") == 2, F.lit(None)).otherwise(F.col("v")))), f"SELECT image_id, y, x, arg_max(v, scene) + 0e0 AS v FROM {_coarse} WHERE v <> 2 GROUP BY image_id, y, x")
+
+
+def _flat(s: SparkSession, d: str) -> DataFrame:
+    """Frames of which some are equal to the next."""
+    return frame_raster(s, d).withColumn("v", F.floor(F.col("scene") * (1 + F.col("image_id") % 3) / 3).cast("double") + F.col("x"))
+
+
+def _delays(s: SparkSession, d: str) -> DataFrame:
+    return frame_raster(s, d).select("image_id", "scene").distinct().withColumn("delay", (F.col("scene") * 7 + F.col("image_id")) % 4 * (F.col("image_id") % 5))
+
+
+_flat_sql = f"(SELECT image_id, scene, y, x, floor(scene * (1 + image_id % 3) / 3e0) + x AS v FROM {SQL['frames']})"
+_delay_sql = f"(SELECT DISTINCT image_id, scene, (scene * 7 + image_id) % 4 * (image_id % 5) AS delay FROM {SQL['frames']})"
+add("layers_remove_duplicates", lambda s, d: layers.remove_duplicates(_flat(s, d), _delays(s, d)), f"WITH f AS (SELECT *, lead(v) OVER (PARTITION BY image_id, y, x ORDER BY scene) AS nv FROM {_flat_sql}), q AS (SELECT image_id, scene, count(*) FILTER (WHERE nv = v) = count(*) AS same FROM f GROUP BY ALL), r AS (SELECT image_id, scene, delay, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY image_id ORDER BY scene DESC) AS run FROM q JOIN {_delay_sql} USING (image_id, scene)) SELECT image_id, max(scene) AS scene, CAST(sum(delay) AS BIGINT) AS delay FROM r GROUP BY image_id, run")
+add("layers_remove_zero", lambda s, d: layers.remove_zero_delays(_delays(s, d)), f"SELECT image_id, scene, delay FROM (SELECT *, max(delay) OVER (PARTITION BY image_id) AS m FROM {_delay_sql}) WHERE delay > 0 OR m <= 0")
+add("layers_morph", lambda s, d: layers.morph(frame_raster(s, d), 2), f"WITH f AS (SELECT *, lead(v) OVER (PARTITION BY image_id, y, x ORDER BY scene) AS nv, dense_rank() OVER (PARTITION BY image_id ORDER BY scene) - 1 AS k FROM {SQL['frames']}) SELECT image_id, CAST(k * 3 + t AS INT) AS scene, y, x, {r4('CASE WHEN t = 0 THEN v ELSE (1 - t / 3e0) * v + t / 3e0 * nv END', 'v')} FROM f, range(0, 3) r(t) WHERE nv IS NOT NULL OR t = 0")
+add("list_select", lambda s, d: layers.select_scenes(frame_raster(s, d), "0,2-3,-1"), f"SELECT image_id, scene, y, x, {r4('v', 'v')} FROM {SQL['frames']} f JOIN (SELECT image_id, max(scene) AS m FROM {SQL['frames']} GROUP BY image_id) USING (image_id) WHERE scene = 0 OR scene BETWEEN 2 AND 3 OR scene = m")
+add("list_delete", lambda s, d: layers.delete_scenes(frame_raster(s, d), "1,-1"), f"SELECT image_id, scene, y, x, {r4('v', 'v')} FROM {SQL['frames']} f JOIN (SELECT image_id, max(scene) AS m FROM {SQL['frames']} GROUP BY image_id) USING (image_id) WHERE scene <> 1 AND scene <> m")
+add("list_reverse", lambda s, d: layers.reverse(frame_raster(s, d)), f"SELECT image_id, max(scene) OVER (PARTITION BY image_id) - scene AS scene, y, x, {r4('v', 'v')} FROM {SQL['frames']}")
+add("list_duplicate", lambda s, d: layers.duplicate(frame_raster(s, d), 1), f"SELECT image_id, CAST(scene + t * (max(scene) OVER (PARTITION BY image_id) + 1) AS INT) AS scene, y, x, {r4('v', 'v')} FROM {SQL['frames']}, range(0, 2) r(t)")
+
+# ---- resampling --------------------------------------------------------------------------------------------------
+for _name in resample.FILTERS:
+    _t = ", ".join(f"({o}, {i}, {w!r}e0)".replace("e-0", "e-").replace("e-5e0", "e-5") if "e" not in repr(w) else f"({o}, {i}, {w!r})" for o, i, w in resample.taps(8, 5, _name))
+    add(f"resize_{_name}", lambda s, d, n=_name: resample.resize(embedding_raster(s, d), 8, 8, 5, 5, n), f"WITH t(o, i, w) AS (VALUES {_t}) SELECT image_id, a.o AS y, b.o AS x, {r4('sum(v * a.w * b.w)', 'v', 3)} FROM {SQL['emb']} JOIN t a ON a.i = y JOIN t b ON b.i = x GROUP BY image_id, a.o, b.o", 3)
+add("sample", lambda s, d: resample.sample(embedding_raster(s, d), 8, 8, 5, 3), f"SELECT image_id, CAST(p AS INT) AS y, CAST(q AS INT) AS x, {r4('v', 'v')} FROM {SQL['emb']} JOIN range(0, 5) a(p) ON y = CAST(floor((p + 0.5e0 - 1e-12) * 8 / 5) AS INT) JOIN range(0, 3) b(q) ON x = CAST(floor((q + 0.5e0 - 1e-12) * 8 / 3) AS INT)")
+add("scale", lambda s, d: resample.scale(embedding_raster(s, d), 8, 8, 4, 2), f"SELECT image_id, CAST(y // 2 AS INT) AS y, CAST(x // 4 AS INT) AS x, {r4('avg(v)', 'v', 3)} FROM {SQL['emb']} GROUP BY image_id, y // 2, x // 4", 3)
+add("distort_affine", lambda s, d: resample.distort(embedding_raster(s, d), 8, 8, *resample.affine(8, 8, 30.0, 1.2)))
+add("distort_swirl", lambda s, d: resample.distort(embedding_raster(s, d), 8, 8, *resample.swirl(8, 8, 60.0)))
+add("distort_implode", lambda s, d: resample.distort(embedding_raster(s, d), 8, 8, *resample.implode(8, 8, 0.5)))
+add("distort_wave", lambda s, d: resample.distort(embedding_raster(s, d), 8, 8, *resample.wave(1.5, 6.0)), f"WITH g AS (SELECT image_id, y, x, y - 1.5e0 * sin(2 * pi() * x / 6e0) AS sy FROM {SQL['emb']}), t AS (SELECT *, floor(sy) + k AS iy FROM g, (VALUES (0), (1)) u(k)) SELECT t.image_id, t.y, t.x, {r4('sum((1 - abs(sy - iy)) * coalesce(e.v, 0))', 'v', 3)} FROM t LEFT JOIN {SQL['emb']} e ON e.image_id = t.image_id AND e.y = t.iy AND e.x = t.x GROUP BY t.image_id, t.y, t.x", 3)
+_points = [(1.0, 1.0, 10000.0), (6.0, 2.0, 50000.0), (3.0, 6.0, 30000.0)]
+_d2 = [f"((x - {a}e0) * (x - {a}e0) + (y - {b}e0) * (y - {b}e0))" for a, b, _ in _points]
+for _name, _w in (("shepards", "{}"), ("inverse", "sqrt({})")):
+    _ws = [f"(1e0 / greatest({_w.format(d)}, 1e-12))" for d in _d2]
+    add(f"sparse_color_{_name}", lambda s, d, n=_name: resample.sparse_color(embedding_raster(s, d).select("image_id", "y", "x"), _points, n), f"SELECT image_id, y, x, {r4('(' + ' + '.join(f'{w} * {p[2]}e0' for w, p in zip(_ws, _points, strict=True)) + ') / (' + ' + '.join(_ws) + ')', 'v')} FROM {SQL['emb']}")
+add("sparse_color_voronoi", lambda s, d: resample.sparse_color(embedding_raster(s, d).select("image_id", "y", "x"), _points, "voronoi"), f"SELECT image_id, y, x, CASE WHEN {_d2[0]} <= {_d2[1]} AND {_d2[0]} <= {_d2[2]} THEN 10000e0 WHEN {_d2[1]} <= {_d2[2]} THEN 50000e0 ELSE 30000e0 END AS v FROM {SQL['emb']}")
+
+# ---- regions and spectra -----------------------------------------------------------------------------------------
+_edges = "WITH RECURSIVE p AS (SELECT image_id, y, x, v > 33000 AS k FROM " + SQL["emb"] + "), r(image_id, y, x, k, l) AS (SELECT image_id, y, x, k, y * 1048576 + x FROM p UNION SELECT p.image_id, p.y, p.x, p.k, r.l FROM r JOIN p ON p.image_id = r.image_id AND p.k = r.k AND abs(p.y - r.y) + abs(p.x - r.x) = 1), c AS (SELECT image_id, y, x, k, min(l) AS l FROM r GROUP BY image_id, y, x, k) "
+add("connected_components", lambda s, d: regions.components(embedding_raster(s, d), "v > 33000"), _edges + "SELECT image_id, y, x, k AS value, CAST(l AS BIGINT) AS label FROM c")
+add("connected_objects", lambda s, d: regions.objects(regions.components(embedding_raster(s, d), "v > 33000")), _edges + f"SELECT image_id, CAST(l AS BIGINT) AS label, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, {r4('avg(x)', 'cx')}, {r4('avg(y)', 'cy')} FROM c GROUP BY image_id, l")
+add("floodfill", lambda s, d: regions.floodfill(embedding_raster(s, d), "v > 33000", 3, 4, 65535.0), _edges + f"SELECT e.image_id, e.y, e.x, {r4('CASE WHEN c.l = s.l THEN 65535e0 ELSE v END', 'v')} FROM {SQL['emb']} e JOIN c USING (image_id, y, x) JOIN (SELECT image_id, l FROM c WHERE y = 3 AND x = 4) s ON s.image_id = e.image_id")
+add("hough_votes", lambda s, d: regions.hough(embedding_raster(s, d).where("v > 40000"), 18), f"SELECT image_id, CAST(t AS INT) AS theta, CAST(floor(round(x * cos(t * pi() / 18) + y * sin(t * pi() / 18), 9) + 0.5e0) AS INT) AS rho, count(*) AS votes FROM {SQL['emb']}, range(0, 18) r(t) WHERE v > 40000 GROUP BY ALL")
+add("fourier", lambda s, d: regions.spectrum(embedding_raster(s, d)))
+add("fourier_inverse", lambda s, d: regions.inverse_spectrum(regions.spectrum(embedding_raster(s, d))), f"SELECT image_id, y, x, {r4('v', 'v', 3)} FROM {SQL['emb']}", 3)
+
+# ---- names, bytes ------------------------------------------------------------------------------------------------
+add(
+    "percent_escapes",
+    lambda s, d: core.read(s, d, "documents").select(
+        "doc_id",
+        F.concat(F.lit("/data/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("n_chars").alias("size"), F.lit(8).alias("width"), F.lit(4).alias("height"), (F.col("doc_id") % 3).alias("scene"),
+        F.lit(16).alias("depth"), F.col("lang").alias("format"), F.lit("c").alias("comment"), F.lit("l").alias("label"), F.lit(10).alias("delay"), F.lit(0).alias("x_offset"), F.lit(0).alias("y_offset"),
+    ).select("doc_id", escapes.interpret("%d|%f|%t|%e|%wx%h+%s %m %b%%").alias("text")),
+    "SELECT doc_id, '/data/' || source || '|' || doc_id || '.txt|' || doc_id || '|txt|8x4+' || (doc_id % 3) || ' ' || lang || ' ' || n_chars || 'B%' AS text FROM documents",
+)
+add("signature", lambda s, d: core.read(s, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("signature")), "SELECT page_id, sha256(html) AS signature FROM pages")
+add("inline_base64", lambda s, d: core.read(s, d, "benchmark").select("item_id", F.concat(F.lit("data:text/plain;base64,"), F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", "")).alias("url")), "SELECT item_id, 'data:text/plain;base64,' || base64(encode(text)) AS url FROM benchmark")
