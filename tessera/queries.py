@@ -11,6 +11,7 @@ from tessera import core
 from tessera.core import SQL, column, doubles, embedding_raster, formula, frame_raster, order_raster, pair_raster
 from tessera.functions import colors, compose, escapes, fx, pointwise
 from tessera.operators import geometry, layers, metrics, regions, resample, stats, transfer, windows
+from tessera.sources import codecs, images
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -315,3 +316,9 @@ add(
 )
 add("signature", lambda s, d: core.read(s, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("signature")), "SELECT page_id, sha256(html) AS signature FROM pages")
 add("inline_base64", lambda s, d: core.read(s, d, "benchmark").select("item_id", F.concat(F.lit("data:text/plain;base64,"), F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", "")).alias("url")), "SELECT item_id, 'data:text/plain;base64,' || base64(encode(text)) AS url FROM benchmark")
+for _kind, (_, _, _, _most) in codecs.FORMATS.items():  # every pixel through a file and back
+    _v = "CASE WHEN v < 32767.5e0 THEN 0e0 ELSE 65535e0 END" if _most == 1 else "CAST(CAST(v / 65535e0 AS FLOAT) AS DOUBLE) * 65535e0" if not _most else f"floor(v / 65535e0 * {_most} + 0.5e0) / {_most}e0 * 65535e0"
+    add(
+        f"codec_{_kind}", lambda s, d, k=_kind: images.decode(images.encode(embedding_raster(s, d), k)).select("image_id", "y", "x", F.col("c0").alias("v")),
+        f"SELECT image_id, y, x, {r4(_v, 'v', 0 if not _most else 4)} FROM {SQL['emb']}", 0 if not _most else 4,
+    )
