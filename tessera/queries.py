@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import core
 from tessera.core import SQL, column, doubles, embedding_raster, formula, frame_raster, order_raster, pair_raster
 from tessera.functions import colors, compose, escapes, fx, pointwise
-from tessera.operators import geometry, layers, metrics, regions, resample, stats, transfer, windows
+from tessera.operators import effects, geometry, layers, metrics, regions, resample, stats, transfer, windows
 from tessera.sources import codecs, images
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,3 +322,29 @@ for _kind, (_, _, _, _most) in codecs.FORMATS.items():  # every pixel through a
         f"codec_{_kind}", lambda s, d, k=_kind: images.decode(images.encode(embedding_raster(s, d), k)).select("image_id", "y", "x", F.col("c0").alias("v")),
         f"SELECT image_id, y, x, {r4(_v, 'v', 0 if not _most else 4)} FROM {SQL['emb']}", 0 if not _most else 4,
     )
+
+# ---- effects -----------------------------------------------------------------------------------------------------
+for _name, _f in effects.WHOLE.items():
+    add(f"effect_{_name}", lambda s, d, f=_f: effects.whole(embedding_raster(s, d), f))
+for _name in ("uniform", "gaussian", "multiplicative", "laplacian", "impulse", "poisson", "random"):
+    add(f"noise_{_name}", lambda s, d, n=_name: effects.noise(embedding_raster(s, d), n))
+add("spread", lambda s, d: effects.spread(embedding_raster(s, d)))
+add("charcoal", lambda s, d: effects.charcoal(embedding_raster(s, d)))
+add("gradient_linear", lambda s, d: effects.gradient(embedding_raster(s, d)), f"SELECT image_id, y, x, {r4('65535e0 * y / 7', 'v')} FROM {SQL['emb']}")
+_out = "sqrt(pow((x - 3.5e0) / 4, 2) + pow((y - 3.5e0) / 4, 2))"
+add("gradient_radial", lambda s, d: effects.gradient(embedding_raster(s, d), True), f"SELECT image_id, y, x, {r4(f'65535e0 * greatest(1 - {_out}, 0)', 'v')} FROM {SQL['emb']}")
+add("vignette", lambda s, d: effects.vignette(embedding_raster(s, d)), f"SELECT image_id, y, x, {r4(f'v * least(greatest((1.5e0 - {_out}) / 1e0, 0), 1)', 'v')} FROM {SQL['emb']}")
+for _name, (_rows, _div) in effects.DITHERS.items():
+    _list = ", ".join(str(t) for row in _rows for t in row)
+    add(f"dither_{_name}", lambda s, d, n=_name: effects.ordered_dither(embedding_raster(s, d), n), f"SELECT image_id, y, x, CASE WHEN v / 65535e0 > ([{_list}])[y % {len(_rows)} * {len(_rows)} + x % {len(_rows)} + 1] / {_div}e0 THEN 65535e0 ELSE 0e0 END AS v FROM {SQL['emb']}")
+add("clut", lambda s, d: effects.clut(embedding_raster(s, d), [0, 30000, 20000, 65535]), f"SELECT image_id, y, x, {r4('([0e0, 30000e0, 20000e0, 65535e0])[k + 1] + (v / 21845e0 - k) * (([0e0, 30000e0, 20000e0, 65535e0])[k + 2] - ([0e0, 30000e0, 20000e0, 65535e0])[k + 1])', 'v')} FROM (SELECT *, CAST(least(floor(v / 21845e0), 2) AS INT) AS k FROM {SQL['emb']})")
+add("stegano", lambda s, d: effects.stegano(embedding_raster(s, d), (F.col("x") + F.col("y")) % 2), f"SELECT image_id, y, x, floor(v / 2) * 2 + (x + y) % 2 + 0e0 AS v FROM {SQL['emb']}")
+add("sepia", lambda s, d: unit_colours(s, d).select("image_id", "y", "x", *(c.alias(n) for n, c in zip(("c0", "c1", "c2"), effects.sepia(0.8), strict=True))), f"WITH t AS (SELECT *, 0.212656e0 * r + 0.715158e0 * g + 0.072186e0 * b AS i FROM {_unit}) SELECT image_id, y, x, {r4('CASE WHEN i > 0.8e0 THEN 1 ELSE i + 1 - 0.8e0 END', 'c0', 9)}, {r4('CASE WHEN i > 7e0 * 0.8e0 / 6 THEN 1 ELSE i + 1 - 7e0 * 0.8e0 / 6 END', 'c1', 9)}, {r4('CASE WHEN i < 0.8e0 / 6 THEN 0 ELSE i - 0.8e0 / 6 END', 'c2', 9)} FROM t", 9)
+add("modulate", lambda s, d: effects.modulate(unit_colours(s, d), 90.0, 120.0, 130.0))
+add(
+    "magnify", lambda s, d: effects.magnify(embedding_raster(s, d).withColumn("v", F.floor(F.col("v") / 8192.0) * 8192.0)),
+    f"""WITH e AS (SELECT image_id, y, x, floor(v / 8192e0) * 8192e0 AS v FROM {SQL['emb']}),
+    q AS (SELECT p.image_id, p.y, p.x, p.v AS p, a.v AS a, b.v AS b, c.v AS c, d.v AS d FROM e p JOIN e a ON a.image_id = p.image_id AND a.x = p.x AND a.y = greatest(p.y - 1, 0) JOIN e b ON b.image_id = p.image_id AND b.y = p.y AND b.x = least(p.x + 1, 7) JOIN e c ON c.image_id = p.image_id AND c.y = p.y AND c.x = greatest(p.x - 1, 0) JOIN e d ON d.image_id = p.image_id AND d.x = p.x AND d.y = least(p.y + 1, 7))
+    SELECT image_id, y * 2 AS y, x * 2 AS x, CASE WHEN c = a AND c <> d AND a <> b THEN a ELSE p END AS v FROM q UNION ALL SELECT image_id, y * 2, x * 2 + 1, CASE WHEN a = b AND a <> c AND b <> d THEN b ELSE p END FROM q
+    UNION ALL SELECT image_id, y * 2 + 1, x * 2, CASE WHEN d = c AND d <> b AND c <> a THEN c ELSE p END FROM q UNION ALL SELECT image_id, y * 2 + 1, x * 2 + 1, CASE WHEN b = d AND b <> a AND d <> c THEN d ELSE p END FROM q""",
+)
