@@ -20,7 +20,7 @@ def letters() -> dict[str, Column]:
     }
 
 
-NAMES = {"basename": "t", "directory": "d", "extension": "e", "height": "h", "width": "w", "input": "i", "magick": "m", "scene": "s", "size": "B", "depth": "z", "page": "P"}
+NAMES = {"basename": "t", "directory": "d", "extension": "e", "height": "h", "width": "w", "input": "i", "scene": "s", "size": "B", "depth": "z", "page": "P"}
 
 
 def interpret(template: str) -> Column:
