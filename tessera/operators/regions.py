@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,14 +20,16 @@ from pyspark.sql import Window as W
 
 def _kept(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder of spark.checkpoint.dir and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or _own_folder()
     path = f"{folder}/raster-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A folder of this machine, where the session names none, as in tests."""
+    return tempfile.mkdtemp(prefix="tessera-")
 
 
 def components(df: DataFrame, value: str, connectivity: int = 4, key: str = "image_id") -> DataFrame:
