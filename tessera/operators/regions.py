@@ -1,7 +1,8 @@
 """Regions and clusters: connected components, fills, line votes, palettes and spectra.
 
-Components run as label propagation with shortcuts, all DataFrame joins, one written table per round; spectra
-need a whole image at once and run in numpy, one image per group.
+Components of images that a task can hold are labelled in numpy, one image per group; those of larger ones by
+label propagation with shortcuts, all DataFrame joins, one written table per round. Spectra need a whole image at
+once.
 """
 
 from __future__ import annotations
@@ -32,8 +33,43 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="tessera-")
 
 
-def components(df: DataFrame, value: str, connectivity: int = 4, key: str = "image_id") -> DataFrame:
-    """Pixels with label: the least (y, x), as y * 2^20 + x, of the connected pixels of one value."""
+#: Pixels of an image that one task labels.
+HELD_PIXELS = 1 << 22
+
+
+def _labels(y: np.ndarray, x: np.ndarray, k: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """The least id of each pixel's component, by minima over neighbours and shortcuts."""
+    order = np.lexsort((x, y))
+    ids = (y.astype(np.int64) << 20) + x
+    sorted_ids, value = ids[order], k[order]
+    edges = []
+    for dy, dx in steps:
+        at = np.searchsorted(sorted_ids, sorted_ids + (dy << 20) + dx)
+        there = np.minimum(at, len(sorted_ids) - 1)
+        ok = (sorted_ids[there] == sorted_ids + (dy << 20) + dx) & (value[there] == value)
+        edges.append(np.stack([np.flatnonzero(ok), there[ok]]))
+    a, b = np.concatenate(edges, axis=1)
+    parent = np.arange(len(ids))
+    while True:
+        before = parent.copy()
+        low = np.minimum(parent[a], parent[b])
+        np.minimum.at(parent, parent[a], low)
+        np.minimum.at(parent, parent[b], low)
+        parent = parent[parent]
+        if (parent == before).all():
+            break
+    out = np.empty(len(ids), np.int64)
+    out[order] = sorted_ids[parent]
+    return out
+
+
+def components(df: DataFrame, value: str, connectivity: int = 4, key: str = "image_id", held: int = HELD_PIXELS) -> DataFrame:
+    """Pixels with label: the least (y, x), as y * 2^20 + x, of the connected pixels of one value. Values aren't null."""
+    largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if largest <= held:
+        steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
+        flat = df.select(key, "y", "x", F.expr(value).alias("value"))
+        return flat.groupBy(key).applyInPandas(lambda p: p.assign(label=_labels(p["y"].to_numpy(), p["x"].to_numpy(), p["value"].to_numpy(), steps)), flat.schema.add("label", "long"))
     own = df.select(key, "y", "x", F.expr(value).alias("k"), (F.col("y").cast("long") * (1 << 20) + F.col("x")).alias("id"))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     cells = F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in steps))
