@@ -69,7 +69,7 @@ def components(df: DataFrame, value: str, connectivity: int = 4, key: str = "ima
     if largest <= held:
         steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
         flat = df.select(key, "y", "x", F.expr(value).alias("value"))
-        return flat.groupBy(key).applyInPandas(lambda p: p.assign(label=_labels(p["y"].to_numpy(), p["x"].to_numpy(), p["value"].to_numpy(), steps)), flat.schema.add("label", "long"))
+        return flat.groupBy(key).applyInPandas(lambda p: p.assign(label=_labels(p["y"].to_numpy(), p["x"].to_numpy(), p["value"].to_numpy(), steps)), flat.withColumn("label", F.lit(0).cast("long")).schema)
     own = df.select(key, "y", "x", F.expr(value).alias("k"), (F.col("y").cast("long") * (1 << 20) + F.col("x")).alias("id"))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     cells = F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in steps))
