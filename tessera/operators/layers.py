@@ -146,3 +146,43 @@ def complex_pairs(pairs: DataFrame, op: str, snr: float = 0.0) -> DataFrame:
         "real_imaginary": (a * F.cos(2 * F.pi() * (b - 0.5)), a * F.sin(2 * F.pi() * (b - 0.5))),
     }[op]
     return pairs.withColumns({"real": real, "imaginary": imaginary})
+
+
+def append_list(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The frames of b behind those of a."""
+    n = a.groupBy("image_id").agg((F.max("scene") + 1).alias("n"))
+    return a.unionByName(b.join(n, "image_id", "left").withColumn("scene", (F.col("scene") + F.coalesce("n", F.lit(0))).cast("int")).drop("n"))
+
+
+def insert_frame(frames: DataFrame, frame: DataFrame, at: int) -> DataFrame:
+    """A frame (image_id, y, x, v) before the one at an index; those from there on move up."""
+    moved = frames.withColumn("scene", F.when(F.col("scene") >= at, F.col("scene") + 1).otherwise(F.col("scene")).cast("int"))
+    return moved.unionByName(frame.withColumn("scene", F.lit(at)))
+
+
+def swap_frames(frames: DataFrame, a: int, b: int) -> DataFrame:
+    return frames.withColumn("scene", F.when(F.col("scene") == a, b).when(F.col("scene") == b, a).otherwise(F.col("scene")).cast("int"))
+
+
+def export_pixels(df: DataFrame, channels: tuple[str, ...], key: str = "image_id") -> DataFrame:
+    """Each image's samples as one array, row by row, channels side by side."""
+    pixel = F.struct("y", "x", F.array(*channels).alias("s"))
+    return df.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(pixel)), lambda p: p["s"])).alias("samples"))
+
+
+def import_pixels(rows: DataFrame, width: int, channels: tuple[str, ...], key: str = "image_id") -> DataFrame:
+    """The inverse, for images of a known width."""
+    n = len(channels)
+    each = rows.select(key, F.posexplode("samples").alias("i", "v"))
+    return each.groupBy(key, F.floor(F.col("i") / (n * width)).cast("int").alias("y"), F.floor(F.col("i") / n % width).cast("int").alias("x")).agg(*(F.max(F.when(F.col("i") % n == k, F.col("v"))).alias(c) for k, c in enumerate(channels)))
+
+
+def stereo(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Red from the left image, green and blue from the right."""
+    return left.select("image_id", "y", "x", "r").join(right.select("image_id", "y", "x", "g", "b"), ["image_id", "y", "x"])
+
+
+def tiled(df: DataFrame, tile: DataFrame, height: int, width: int) -> DataFrame:
+    """Each pixel with the sample t of a tile that repeats over the image; the tile is height x width."""
+    t = tile.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("v").alias("t"))
+    return df.join(F.broadcast(t.limit(height * width)), (F.pmod("y", F.lit(height)) == F.col("ty")) & (F.pmod("x", F.lit(width)) == F.col("tx"))).drop("ty", "tx")

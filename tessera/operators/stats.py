@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -93,3 +94,36 @@ def texture(df: DataFrame, levels: int = 8, dx: int = 1, dy: int = 0, v: str = "
         F.sum(F.expr("p * p")).alias("angular_second_moment"), F.sum(F.expr("p * (i - j) * (i - j)")).alias("contrast"), F.sum(F.expr("p / (1 + (i - j) * (i - j))")).alias("inverse_difference"),
         (-F.sum(F.expr("p * log2(p)"))).alias("entropy"), F.sum(F.expr("p * (i + j)")).alias("sum_average"),
     )
+
+
+def report(df: DataFrame, v: str = "v", key: str = "image_id") -> DataFrame:
+    """One JSON document per image: its size and statistics, rounded to whole numbers."""
+    s = df.groupBy(key).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.round(F.min(v)).cast("long").alias("min"), F.round(F.max(v)).cast("long").alias("max"), F.round(F.avg(v)).cast("long").alias("mean"))
+    return s.select(key, F.to_json(F.struct("width", "height", "min", "max", "mean")).alias("json"))
+
+
+def hull(df: DataFrame, key: str = "image_id") -> DataFrame:
+    """Corners of the convex hull of an image's pixels, in order; only the ends of each row are looked at."""
+    ends = df.groupBy(key, "y").agg(F.min("x").alias("a"), F.max("x").alias("b")).select(key, "y", F.explode(F.array_distinct(F.array("a", "b"))).alias("x"))
+    points = ends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")))).alias("p"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        chains = []
+        p = [(int(a["x"]), int(a["y"])) for a in pdf["p"].iloc[0]]
+        for way in (p, p[::-1]):
+            chain: list[tuple[int, int]] = []
+            for q in way:
+                while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (q[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (q[0] - chain[-2][0]) <= 0:
+                    chain.pop()
+                chain.append(q)
+            chains.append(chain)
+        corners = p if len(p) == 1 else chains[0][:-1] + chains[1][:-1]
+        return pd.DataFrame({key: pdf[key].iloc[0], "k": range(len(corners)), "x": [c[0] for c in corners], "y": [c[1] for c in corners]})
+
+    return points.groupBy(key).applyInPandas(run, f"{key} long, k int, x int, y int")
+
+
+def perceptual_hash(df: DataFrame, v: str = "v", key: str = "image_id") -> DataFrame:
+    """-log10 of the absolute first two invariants."""
+    m = moments(df, v, key)
+    return m.select(key, *((-F.log10(F.greatest(F.abs(F.col(i)), F.lit(1e-300)))).alias(f"h{n}") for n, i in ((1, "i1"), (2, "i2"))))

@@ -81,3 +81,12 @@ def auto_threshold(df: DataFrame, method: str = "otsu", v: str = "v", key: str =
         worth = F.when((F.col("far") != F.col("pb")) & F.col("bin").between(F.least("pb", "far"), F.greatest("pb", "far")), F.abs(F.col("far") - F.col("bin")) * F.col("pn") / F.abs(F.col("far") - F.col("pb")) - F.col("n")).otherwise(0.0)
     best = s.withColumn("worth", F.round(worth, 9)).groupBy(key).agg(F.max(F.struct("worth", -F.col("bin"))).alias("b"))
     return best.select(key, (-F.col("b")["col2"]).alias("threshold"))
+
+
+def linear_stretch(df: DataFrame, black: float = 0.02, white: float = 0.01, v: str = "v", key: str = "image_id") -> DataFrame:
+    """Levels between the first bins from below and from above whose pixels make up the shares."""
+    h = bins(df, v, key).withColumn("above", F.col("total") - F.col("below") + F.col("n"))
+    ends = h.groupBy(key).agg(F.min(F.when(F.col("below") >= black * F.col("total"), F.col("bin"))).alias("low"), F.max(F.when(F.col("above") >= white * F.col("total"), F.col("bin"))).alias("high"))
+    scale = QR / (BINS - 1)
+    out = F.when(F.col("high") > F.col("low"), QR * (F.col(v) - F.col("low") * scale) / ((F.col("high") - F.col("low")) * scale)).otherwise(F.col(v))
+    return df.join(ends, key).withColumn(v, out).drop("low", "high")

@@ -348,3 +348,19 @@ add(
     SELECT image_id, y * 2 AS y, x * 2 AS x, CASE WHEN c = a AND c <> d AND a <> b THEN a ELSE p END AS v FROM q UNION ALL SELECT image_id, y * 2, x * 2 + 1, CASE WHEN a = b AND a <> c AND b <> d THEN b ELSE p END FROM q
     UNION ALL SELECT image_id, y * 2 + 1, x * 2, CASE WHEN d = c AND d <> b AND c <> a THEN c ELSE p END FROM q UNION ALL SELECT image_id, y * 2 + 1, x * 2 + 1, CASE WHEN b = d AND b <> a AND d <> c THEN d ELSE p END FROM q""",
 )
+
+
+# ---- lists, buffers, reports -------------------------------------------------------------------------------------
+_fr = SQL["frames"]
+add("list_append", lambda s, d: layers.append_list(frame_raster(s, d).where("scene < 2"), frame_raster(s, d).where("scene < 1")), f"SELECT image_id, scene, y, x, {r4('v', 'v')} FROM {_fr} WHERE scene < 2 UNION ALL SELECT f.image_id, CAST(f.scene + n AS INT), f.y, f.x, {r4('f.v', 'v')} FROM {_fr} f JOIN (SELECT image_id, max(scene) + 1 AS n FROM {_fr} WHERE scene < 2 GROUP BY image_id) USING (image_id) WHERE f.scene < 1")
+add("list_insert", lambda s, d: layers.insert_frame(frame_raster(s, d), frame_raster(s, d).where("scene = 0").drop("scene"), 2), f"SELECT image_id, CAST(CASE WHEN scene >= 2 THEN scene + 1 ELSE scene END AS INT) AS scene, y, x, {r4('v', 'v')} FROM {_fr} UNION ALL SELECT image_id, 2, y, x, {r4('v', 'v')} FROM {_fr} WHERE scene = 0")
+add("list_swap", lambda s, d: layers.swap_frames(frame_raster(s, d), 0, 3), f"SELECT image_id, CASE scene WHEN 0 THEN 3 WHEN 3 THEN 0 ELSE scene END AS scene, y, x, {r4('v', 'v')} FROM {_fr}")
+add("export_import_pixels", lambda s, d: layers.import_pixels(layers.export_pixels(embedding_raster(s, d).withColumn("w", F.col("v") * 2), ("v", "w")), 8, ("v", "w")), f"SELECT image_id, y, x, {r4('v', 'v')}, {r4('v * 2', 'w')} FROM {SQL['emb']}")
+add("stereo", lambda s, d: layers.stereo(*(embedding_raster(s, d).select("image_id", "y", "x", *((F.col("v") + k).alias(c) for c in "rgb")) for k in (0, 5))), f"SELECT image_id, y, x, {r4('v', 'r')}, {r4('v + 5', 'g')}, {r4('v + 5', 'b')} FROM {SQL['emb']}")
+add("texture_tile", lambda s, d: layers.tiled(embedding_raster(s, d), embedding_raster(s, d).where("image_id = 0 and y < 3 and x < 2"), 3, 2), f"SELECT e.image_id, e.y, e.x, {r4('e.v', 'v')}, {r4('t.v', 't')} FROM {SQL['emb']} e JOIN {SQL['emb']} t ON t.image_id = 0 AND t.y = e.y % 3 AND t.x = e.x % 2")
+add("identify_json", lambda s, d: stats.report(embedding_raster(s, d)), f"""SELECT image_id, '{{"width":8,"height":8,"min":' || CAST(round(min(v)) AS BIGINT) || ',"max":' || CAST(round(max(v)) AS BIGINT) || ',"mean":' || CAST(round(avg(v)) AS BIGINT) || '}}' AS json FROM {SQL['emb']} GROUP BY image_id""")
+add("convex_hull", lambda s, d: stats.hull(embedding_raster(s, d).where("v > 38000")))
+add("perceptual_hash", lambda s, d: stats.perceptual_hash(embedding_raster(s, d)))
+add("best_offset", lambda s, d: metrics.best_offset(embedding_raster(s, d), embedding_raster(s, d).where("image_id = 3 and y between 2 and 4 and x between 1 and 3").withColumns({"y": F.col("y") - 2, "x": F.col("x") - 1})), f"WITH t AS (SELECT y - 2 AS ty, x - 1 AS tx, v AS t FROM {SQL['emb']} WHERE image_id = 3 AND y BETWEEN 2 AND 4 AND x BETWEEN 1 AND 3), o AS (SELECT image_id, y - ty AS y, x - tx AS x, avg(pow(v - t, 2)) AS error, count(*) AS n FROM {SQL['emb']}, t GROUP BY 1, 2, 3) SELECT image_id, (list(y ORDER BY error, y, x))[1] AS y, (list(x ORDER BY error, y, x))[1] AS x, {r4('min(error)', 'error', 2)} FROM o WHERE n = 9 GROUP BY image_id", 2)
+add("linear_stretch", lambda s, d: transfer.linear_stretch(embedding_raster(s, d), 0.1, 0.1), _h + f", k AS (SELECT image_id, min(CASE WHEN below >= 0.1e0 * total THEN bin END) AS low, max(CASE WHEN total - below + n >= 0.1e0 * total THEN bin END) AS high FROM h GROUP BY image_id) SELECT image_id, y, x, {r4('CASE WHEN high > low THEN 65535e0 * (v - low * 257e0) / ((high - low) * 257e0) ELSE v END', 'v')} FROM e JOIN k USING (image_id)")
+add("raise_edges", lambda s, d: geometry.raise_edges(embedding_raster(s, d), 2), f"SELECT image_id, y, x, {r4('CASE WHEN x < 2 OR y < 2 THEN (v * 190 + 65535e0 * 65) / 255e0 WHEN x >= 6 OR y >= 6 THEN v * 135 / 255e0 ELSE v END', 'v')} FROM {SQL['emb']}")
