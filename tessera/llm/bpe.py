@@ -29,8 +29,8 @@ SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Chunks whose letters are the same in all Unicode versions.
 FAMILIAR = regex.compile(r"\A[!-~¡-ɏ]*+\Z")
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
-#: Chunks between white space that a worker remembers in each of two generations; when the younger is full, the older goes.
-REMEMBERED = 500_000
+#: Chunks between white space that a task remembers in each of two generations; when the younger is full, the older goes.
+REMEMBERED = 300_000
 #: Texts coded together.
 BATCH_BYTES = 6 << 20
 
@@ -150,6 +150,11 @@ class Tokenizer:
             self.young[chunk] = found
         return found
 
+    def forget(self) -> None:
+        """Gives the memory of what is remembered back: a worker outlives its task, beside others."""
+        self.young, self.old, self.merged = {}, {}, {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, text: str) -> tuple[str, str]:
         """Ids in decimal and vocabulary strings, both joined with one space."""
         ids, strings, at = [], [], 0
@@ -213,6 +218,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", outputs: tuple[s
                 "decoded": lambda: decoded,
             }
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *(made[c]() for c in outputs)], names=[*names, *outputs])
+        bpe.forget()
 
     return both.mapInArrow(run, schema)
 
