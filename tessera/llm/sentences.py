@@ -20,8 +20,8 @@ from .batches import slices, text_bytes
 from .words import Words, _powers, mix, words
 
 SLICE_BYTES = 4 << 20
-#: Runs that are compared: the number of sentences, and the words they must have together.
-RUNS = ((3, 10), (2, 20), (1, 40))
+#: Runs that are compared: the number of sentences, and the words they must have together. The first kind takes more sentences where they are short.
+RUNS = ((3, 10), (2, 15), (1, 25))
 _ENDS = np.zeros(256, bool)
 _ENDS[[0x2E, 0x21, 0x3F]] = True
 
@@ -60,13 +60,20 @@ def runs(s: Sentences, kinds: tuple[tuple[int, int], ...] = RUNS) -> tuple[np.nd
     out = []
     row = np.repeat(np.arange(len(s.rows) - 1), np.diff(s.rows))
     total = np.concatenate([[0], np.cumsum(s.sizes)])
-    for k, least in kinds:
+    for number, (k, least) in enumerate(kinds):
         at = np.arange(max(0, len(s.hashes) - k + 1))
-        at = at[(at + k <= s.rows[row[at] + 1]) & (total[at + k] - total[at] >= least)]
-        h = np.full(len(at), np.uint64(k))
-        for j in range(k):
-            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + s.hashes[at + j])
-        out.append((h, row[at], at - s.rows[row[at]], np.full(len(at), k)))
+        size = np.full(len(at), k)
+        if number == 0:  # short sentences: as many as make up the words
+            size = np.maximum(k, np.searchsorted(total, total[at] + least) - at)
+        ok = at + size <= s.rows[row[at] + 1] if len(at) else at > 0
+        at, size = at[ok], size[ok]
+        ok = total[at + size] - total[at] >= least
+        at, size = at[ok], size[ok]
+        h = size.astype(np.uint64)
+        for j in range(int(size.max()) if len(size) else 0):
+            more = j < size
+            h[more] = mix(h[more] * np.uint64(0xD6E8FEB86659FD93) + s.hashes[at[more] + j])
+        out.append((h, row[at], at - s.rows[row[at]], size))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
