@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer as Library
 
-from .batches import slices
+from .batches import release, slices
 
 #: White space as the vocabulary file's patterns mean it; str.split() also takes U+001C to U+001F.
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -153,7 +153,7 @@ class Tokenizer:
     def forget(self) -> None:
         """Gives the memory of what is remembered back: a worker outlives its task, beside others."""
         self.young, self.old, self.merged = {}, {}, {}
-        pa.default_memory_pool().release_unused()
+        release()
 
     def encode(self, text: str) -> tuple[str, str]:
         """Ids in decimal and vocabulary strings, both joined with one space."""
