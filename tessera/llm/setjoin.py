@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .batches import slices, text_bytes
 from .components import components
-from .tables import Tables, small_enough
+from .tables import Tables, largest, small_enough
 from .words import distinct_sets, mix, shingles, words
 
 SLICE_BYTES = 4 << 20
@@ -278,15 +278,17 @@ def linked(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
     classes = first.where("kind = 0").select("doc", "size", "digest")
     known = classes.where("doc is not null and size > 0")
     counted = first.where("kind = 1").groupBy("digest").agg(F.sum("size").alias("count")).where(F.col("count") >= RARE)
-    top = counted.orderBy(F.desc("count"), "digest").limit(FREQUENT).collect()
-    tokens = np.array([r["digest"] for r in top], np.int64).view(np.uint64)
+    top = largest(tables.keep(counted), "count", FREQUENT).toArrow()
+    tokens = top.column("digest").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    frequent = (tokens[order], np.array([r["count"] for r in top], np.int64)[order])
+    frequent = (tokens[order], top.column("count").to_numpy()[order])
 
     lists = lists_of(_prefixes(docs, n, percent, frequent))
     lists = lists.withColumn("before", F.col("at") - F.row_number().over(Window.partitionBy("digest").orderBy("at")) + 1)
     least = F.min(F.struct((F.col("before") / F.col("size")).alias("part"), "digest", "size", "at", "before"))
-    lists = tables.keep(lists.join(lists.groupBy("token").agg(least.alias("h")), "token"))
+    plain = tables.keep(lists)
+    lists = tables.keep(plain.join(plain.groupBy("token").agg(least.alias("h")), "token"))
+    tables.drop(plain)
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
 
     met = lists.where("digest <> h.digest")
