@@ -1,10 +1,11 @@
 """Line dedup: one line of each group of fuzzy copies stays.
 
 Equal lines (case and white space aside) are one class. Of a class, a signature of least hashes of its
-character shingles, one for each of 40 parts of the hash range (empty parts borrow from the next full one),
-makes 10 bands of 4. Classes that share a band are candidates; they are verified by the Jaccard similarity of
+character shingles, one for each of 18 parts of the hash range (empty parts borrow from the next full one),
+makes 6 bands of 3. Classes that share a band are candidates; they are verified by the Jaccard similarity of
 their whole shingle sets, and distributed union-find joins the links. First each band's classes meet its
-least one; what that leaves in different components meets pair by pair.
+heart, the one that shares most with others; then what shares bands with one heart and is in different components still
+meets in blocks.
 """
 
 from __future__ import annotations
@@ -13,64 +14,85 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import slices, text_bytes
 from .components import components
-from .setjoin import lists_of, pairs_of, verified
+from .setjoin import lists_of
 from .tables import Tables, small_enough
-from .words import _BASE, Words, _powers, mix, words
+from .words import _BASE, NOT_SPACE, _powers, mix
 
 SLICE_BYTES = 2 << 20
-PARTS, ROWS = 40, 4
+PARTS, ROWS = 18, 3
 BANDS = PARTS // ROWS
 SHINGLE = 8
+#: Classes of a family that one block compares with as many others.
+FAMILY = 512
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+_LETTERS = np.arange(1 << 16, dtype=np.uint64)
+_LETTERS[0x41:0x5B] += np.uint64(32)
+_LETTERS = mix(_LETTERS + np.uint64(1))
+_POWERS = [_powers(1), _powers(1)]
+
+
+def _both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse; kept, as slices are of one size."""
+    if len(_POWERS[0]) < n:
+        m = max(n, SLICE_BYTES + 1)
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(m - 1, x, np.uint64)])) for x in (_BASE, _INVERSE)]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 class Lines:
-    """The lines with words of a slice: class, first and last word, and where each row's lines begin."""
+    """The lines with words of a slice, from their first to their last word: bytes, lengths in code points, and where each row's lines begin."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data, self.offsets = data, offsets
-        w: Words = words(data, offsets)
-        self.words, n = w, len(w.hashes)
-        breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
-        last = np.ones(n, bool)
-        last[:-1] = breaks[w.starts[1:]] > breaks[w.ends[:-1]]
-        last[w.rows[1:][w.rows[1:] > 0] - 1] = True
-        self.last = np.flatnonzero(last)
-        self.first = np.concatenate([[0], self.last[:-1] + 1])[: len(self.last)]
-        sizes = self.last - self.first + 1
-        place = np.arange(n) - np.repeat(self.first, sizes)
-        self.classes = mix(np.add.reduceat(w.hashes * _powers(int(sizes.max()))[place], self.first) + sizes.astype(np.uint64)) if n else np.empty(0, np.uint64)
-        self.rows = np.searchsorted(self.first, w.rows)
-        self.points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
-        self.starts, self.ends = w.starts[self.first], w.ends[self.last]
+        self.data = data
+        cut = np.zeros(len(data) + 1, bool)
+        cut[offsets] = True
+        cut[:-1] |= data == 0x0A
+        cuts = np.append(np.flatnonzero(cut), len(data))  # a line lies between two cuts
+        word = np.flatnonzero(NOT_SPACE[data])
+        first, end = np.searchsorted(word, cuts[:-1]), np.searchsorted(word, cuts[1:])
+        full = end > first
+        self.starts, self.ends = (word[first[full]], word[end[full] - 1] + 1) if len(word) else (word, word)
+        self.rows = np.searchsorted(self.starts, offsets)
+        points = (data & 0xC0) != 0x80
+        self.points = np.concatenate([[0], np.cumsum(points)])  # code points before each byte
         self.lengths = self.points[self.ends] - self.points[self.starts]
 
+    def classes(self) -> np.ndarray:
+        """A hash of each line's letters in lower case (A-Z)."""
+        powers, inverse = _both_powers(len(self.data) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[self.data] * powers[:-1])])
+        return mix((total[self.ends] - total[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+
     def shingles(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the chosen lines' character shingles, and where each line's begin. Lines have SHINGLE letters or more."""
         letters = np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        upper = (letters >= 0x41) & (letters <= 0x5A)
-        value = mix((letters + upper * np.uint32(32)).astype(np.uint64))
-        n = len(letters)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * _powers(n))])
-        inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), _INVERSE, np.uint64)]))
+        value = _LETTERS[letters & 0xFFFF]
+        rare = np.flatnonzero(letters > 0xFFFF)
+        value[rare] = mix(letters[rare].astype(np.uint64) + np.uint64(1))
+        powers, inverse = _both_powers(len(letters) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * powers[:-1])])
+        every = mix((total[SHINGLE:] - total[:-SHINGLE]) * inverse[: max(0, len(total) - SHINGLE)]) if len(total) > SHINGLE else total[:0]
         count = self.lengths[chosen] - SHINGLE + 1
         begins = np.cumsum(count) - count
         at = np.repeat(self.points[self.starts[chosen]] - begins, count) + np.arange(int(count.sum()))
-        return mix((total[at + SHINGLE] - total[at]) * inverse[at]), np.append(begins, int(count.sum()))
+        return every[at], np.append(begins, int(count.sum()))
 
 
 def signatures(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """The hashes of each line's bands, from one least hash for each part of the hash range."""
     lines = len(begins) - 1
     table = np.full(lines * PARTS, _NONE, np.uint64)
-    part = ((h >> np.uint64(32)) * np.uint64(PARTS) >> np.uint64(32)).astype(np.int64) + np.repeat(np.arange(lines) * PARTS, np.diff(begins))
-    np.minimum.at(table, part, mix(h))
+    part = ((h >> np.uint64(32)) * np.uint64(PARTS) >> np.uint64(32)).astype(np.int64)
+    part += np.repeat(np.arange(lines) * PARTS, np.diff(begins))
+    np.minimum.at(table, part, h)
     table = table.reshape(lines, PARTS)
     full = table.copy()
     for step in range(1, PARTS):
@@ -95,8 +117,9 @@ def _first_pass(docs: DataFrame, shortest: int) -> DataFrame:
             no = np.arange(len(row)) - lines.rows[row]
             doc = batch.column("__key").to_numpy(zero_copy_only=False).astype(np.int64)[row]
             own = np.flatnonzero(lines.lengths >= shortest)
-            own = own[np.lexsort((no[own], doc[own], lines.classes[own]))]
-            c = lines.classes[own]
+            classes = lines.classes()
+            own = own[np.lexsort((no[own], doc[own], classes[own]))]
+            c = classes[own]
             new = np.ones(len(own), bool)
             new[1:] = c[1:] != c[:-1]
             begins = np.flatnonzero(new)
@@ -108,33 +131,147 @@ def _first_pass(docs: DataFrame, shortest: int) -> DataFrame:
             size = np.concatenate([np.diff(at), np.zeros(len(others), np.int64)]).astype(np.int32)
             both = np.concatenate([chosen, others])
             lists = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(len(both) + 1), len(chosen)) * BANDS, pa.int32(), mask=np.append(np.arange(len(both)) >= len(chosen), False)), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(lines.classes[both].view(np.int64)), pa.array(size), pa.array(doc[both]), pa.array(no[both].astype(np.int32)), lists], names=["id", "size", "doc", "no", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(classes[both].view(np.int64)), pa.array(size), pa.array(doc[both]), pa.array(no[both].astype(np.int32)), lists], names=["id", "size", "doc", "no", "bands"])
 
     return docs.mapInArrow(run, "id long, size int, doc long, no int, bands array<long>")
 
 
-def _fetch(docs: DataFrame, places: DataFrame, wanted: DataFrame) -> DataFrame:
-    """digest, shingles of the wanted classes, each from one of its lines."""
-    where = places.join(wanted.withColumnRenamed("digest", "id"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "no")).alias("at"))
-    nos = where.select(F.col("at.doc").alias("__key"), F.col("at.no").alias("no")).groupBy("__key").agg(F.collect_set("no").alias("__nos"))
-    kept = small_enough(nos.select("__key"))
-    found = docs.join(kept, "__key", "left_semi").join(nos, "__key").select("__text", "__nos")
+def _fetch(docs: DataFrame, wanted: DataFrame, shortest: int) -> DataFrame:
+    """digest, line of the wanted classes, each from one of its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", SLICE_BYTES):
             lines = Lines(*text_bytes(batch.column("__text")))
-            count = np.diff(lines.rows)
-            chosen = np.array([lines.rows[i] + no for i, nos in enumerate(batch.column("__nos").to_pylist()) for no in nos if no < count[i]], np.int64)
-            chosen = chosen[lines.lengths[chosen] >= SHINGLE]
-            h, at = lines.shingles(chosen)
-            raw = [np.unique(h[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(lines.classes[chosen].view(np.int64)), pa.array(raw, pa.binary())], names=["digest", "shingles"])
+            chosen = np.flatnonzero(lines.lengths >= shortest)
+            classes = lines.classes()
+            _, first = np.unique(classes[chosen], return_index=True)
+            chosen = np.sort(chosen[first])
+            size = lines.ends[chosen] - lines.starts[chosen]
+            ends = np.cumsum(size)
+            out = lines.data[np.repeat(lines.starts[chosen] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            texts = pa.StringArray.from_buffers(len(chosen), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(out))
+            yield pa.RecordBatch.from_arrays([pa.array(classes[chosen].view(np.int64)), texts], names=["digest", "line"])
+
+    found = docs.mapInArrow(run, "digest long, line string")
+    return found.join(small_enough(wanted), "digest", "left_semi").groupBy("digest").agg(F.min("line").alias("line"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose lines' shingle sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                pair = np.arange(part.num_rows)
+                sides = []
+                for side in ("la", "lb"):
+                    lines = Lines(*text_bytes(part.column(side)))
+                    h, begins = lines.shingles(pair)
+                    # the pair in the upper ten bits, 54 bits of the hash below
+                    key = np.repeat(pair.astype(np.uint64) << np.uint64(54), np.diff(begins)) | h >> np.uint64(10)
+                    key.sort()
+                    sides.append(key[np.concatenate([[True], key[1:] != key[:-1]])])
+                both = np.concatenate(sides)
+                both.sort()
+                count = lambda keys: np.bincount((keys >> np.uint64(54)).astype(np.int64), minlength=len(pair))
+                sizes, common = list(map(count, sides)), count(both[1:][both[1:] == both[:-1]])
+                keep = 100 * common >= percent * (sizes[0] + sizes[1] - common)
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    left = texts.select(F.col("digest").alias("a"), F.col("line").alias("la"))
+    right = texts.select(F.col("digest").alias("b"), F.col("line").alias("lb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
+
+
+def _families(lists: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that share a band and are in different components, a spanning forest of each block.
+
+    The classes that share bands with one heart are a family. Families that are in one component are settled; the
+    others are dealt out in blocks of at most FAMILY classes against FAMILY, and the overlaps of all of a block's
+    shingle sets are one matrix product.
+    """
+    pairs = lists.select("heart", "digest")
+    members = pairs.union(lists.select("heart", F.col("heart").alias("digest"))).distinct().join(roots.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    open_ones = members.groupBy("heart").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("k > 2 and low <> high").select("heart", F.ceil(F.col("k") / FAMILY).alias("blocks"))
+    block = F.floor((F.row_number().over(Window.partitionBy("heart").orderBy("digest")) - 1) / FAMILY)
+    numbered = members.join(open_ones, "heart").withColumn("own", block)
+    dealt = numbered.select("heart", "digest", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "heart", "digest", "root").join(texts, "digest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches):
+            edges = _forest(table.column("digest").to_numpy(), table.column("root").to_numpy(), table.column("line").combine_chunks(), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
+
+    return dealt.repartition("heart", "p", "q").sortWithinPartitions("heart", "p", "q", "digest").select("heart", "p", "q", "digest", "root", "line").mapInArrow(run, "a long, b long")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The sorted rows of one block at a time: at most twice FAMILY of them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("heart", "p", "q")])
+        cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(keys[:, a])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _forest(digest: np.ndarray, root: np.ndarray, texts: pa.Array, percent: int) -> list[tuple[int, int]]:
+    """Links between classes of different components, as few as join what is linked."""
+    lines = Lines(*text_bytes(texts))
+    h, begins = lines.shingles(np.arange(len(lines.starts)))
+    if len(lines.starts) != len(digest):
+        raise ValueError("a line without words, or with a line feed")
+    which = np.repeat(np.arange(len(digest)), np.diff(begins))
+    order = np.lexsort((which, h))
+    h, which = h[order], which[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (which[1:] != which[:-1])
+    h, which = h[new], which[new]
+    size = np.bincount(which, minlength=len(digest))
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    feature = np.cumsum(first) - 1
+    shared = np.bincount(feature) > 1
+    keep = shared[feature]
+    column = (np.cumsum(shared) - 1)[feature[keep]]
+    common = np.zeros((len(digest), len(digest)), np.float32)
+    for k in range(0, int(shared.sum()), 4096):  # a slice of the shared shingles at a time
+        part = (column >= k) & (column < k + 4096)
+        m = np.zeros((len(digest), 4096), np.float32)
+        m[which[keep][part], column[part] - k] = 1
+        common += m @ m.T
+    similar = 100 * common >= percent * (size[:, None] + size[None] - common)
+    parent = {int(r): int(r) for r in root}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
-    return found.mapInArrow(run, "digest long, shingles binary").dropDuplicates(["digest"])
+    edges = []
+    for i, j in zip(*np.nonzero(np.triu(similar & (root[:, None] != root[None]), 1)), strict=True):
+        a, b = find(int(root[i])), find(int(root[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            edges.append((int(digest[i]), int(digest[j])))
+    return edges
 
 
 def dedup(df: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", shortest: int = 20) -> DataFrame:
-    """``df`` with its text less the lines that repeat another, n_lines, n_removed and removed (their numbers).
+    """``df`` with its text less the lines that repeat another, n_lines, n_compared, n_removed and removed (their numbers).
 
     Lines are what line feeds separate; lines without words aren't counted and stay. Two lines are copies if
     the sets of their character shingles have a similarity of ``percent`` or more; lines of fewer than
@@ -143,7 +280,7 @@ def dedup(df: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "te
     without a key are left as they are. Null text stays null. Columns of the new names are replaced.
     """
     tables = Tables(df.sparkSession)
-    names = [c for c in df.columns if c not in ("n_lines", "n_removed", "removed")]
+    names = [c for c in df.columns if c not in ("n_lines", "n_compared", "n_removed", "removed")]
     rows = df.select(*(f"`{c}`" for c in names))
     docs = rows.select(F.col(f"`{key}`").cast("long").alias("__key"), F.col(f"`{text}`").alias("__text")).where("__key is not null")
     first = tables.keep(_first_pass(docs, max(shortest, SHINGLE)))
@@ -151,15 +288,14 @@ def dedup(df: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "te
 
     entries = first.where("bands is not null").select(F.explode("bands").alias("token"), F.col("id").alias("digest"), "size", F.lit(0).alias("at"))
     lists = tables.keep(lists_of(entries))
-    least = lists.groupBy("token").agg(F.min("digest").alias("b"))
-    stars = tables.keep(lists.join(least, "token").where("digest > b").select(F.col("digest").alias("a"), "b").distinct())
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    links = tables.keep(verified(stars, tables.keep(_fetch(docs, places, ends(stars))), percent))
+    scored = lists.join(lists.groupBy("digest").agg(F.sum("n").alias("score")), "digest")
+    heart = scored.groupBy("token").agg(F.max(F.struct("score", "digest")).alias("h")).select("token", F.col("h.digest").alias("heart"))
+    lists = tables.keep(scored.join(heart, "token").select("token", "digest", "heart"))
+    stars = tables.keep(lists.where("digest <> heart").select(F.greatest("digest", "heart").alias("a"), F.least("digest", "heart").alias("b")).distinct())
+    texts = tables.keep(_fetch(docs, lists.select("digest").distinct(), max(shortest, SHINGLE)))
+    links = tables.keep(_verified(stars, texts, percent))
     roots = components(links, tables)
-    rooted = lists.join(roots.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    turned = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    pairs = tables.keep(pairs_of(rooted, percent, None).select("a", "b").distinct().join(turned, ["a", "b"], "left_anti"))
-    more = tables.keep(verified(pairs, tables.keep(_fetch(docs, places, ends(pairs))), percent))
+    more = tables.keep(_families(lists, roots, texts, percent))
     roots = components(links.union(more), tables)
 
     grouped = places.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -167,7 +303,7 @@ def dedup(df: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "te
     repeats = grouped.join(lowest, "root").where((F.col("doc") != F.col("lowest.doc")) | (F.col("no") != F.col("lowest.no"))).select("doc", "no")
     gone = repeats.union(first.where("bands is null").select("doc", "no")).groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("__gone"))
     both = rows.join(gone.withColumnRenamed("doc", "__doc"), F.col(f"`{key}`").cast("long") == F.col("__doc"), "left").drop("__doc")
-    schema = rows.withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "removed": F.lit(None).cast("array<int>")}).schema
+    schema = rows.withColumns({"n_lines": F.lit(0).cast("long"), "n_compared": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "removed": F.lit(None).cast("array<int>")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, SLICE_BYTES):
@@ -189,7 +325,8 @@ def dedup(df: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "te
                     drop = {numbered[no] for no in mine}
                     texts[i] = "\n".join(line for k, line in enumerate(whole) if k not in drop)
                 texts = pa.array(texts, column.type)
-            made = [pa.array(count), pa.array([len(r) for r in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(texts if c == text else batch.column(c) for c in names), *made], names=[*names, "n_lines", "n_removed", "removed"])
+            compared = np.concatenate([[0], np.cumsum(lines.lengths >= shortest)])[lines.rows]
+            made = [pa.array(count), pa.array(np.diff(compared)), pa.array([len(r) for r in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(texts if c == text else batch.column(c) for c in names), *made], names=[*names, "n_lines", "n_compared", "n_removed", "removed"])
 
     return both.mapInArrow(run, schema)
