@@ -74,7 +74,9 @@ def _cube(t: str) -> str:
 
 
 def _polar(first: str, a: str, b: str) -> tuple[str, str, str]:
-    return first, f"sqrt({a} * {a} + {b} * {b})", f"(CASE WHEN atan2({b}, {a}) < 0 THEN atan2({b}, {a}) / (2.0 * pi()) + 1.0 ELSE atan2({b}, {a}) / (2.0 * pi()) END)"
+    """Chroma and hue of a pair of opponent channels; a gray pixel has hue 0."""
+    chroma = f"sqrt({a} * {a} + {b} * {b})"
+    return first, chroma, f"(CASE WHEN {chroma} < 1.0e-6 THEN 0.0 WHEN atan2({b}, {a}) < 0 THEN atan2({b}, {a}) / (2.0 * pi()) + 1.0 ELSE atan2({b}, {a}) / (2.0 * pi()) END)"
 
 
 def forward(space: str) -> tuple[str, ...]:

@@ -145,7 +145,7 @@ add(
     o AS (SELECT a.image_id, a.i, b.i AS j FROM q a JOIN q b ON a.image_id = b.image_id AND a.y = b.y AND b.x = a.x + 1),
     w AS (SELECT * FROM o UNION ALL SELECT image_id, j, i FROM o), k AS (SELECT image_id, i, j, count(*) AS c FROM w GROUP BY ALL),
     p AS (SELECT *, c / sum(c) OVER (PARTITION BY image_id) AS p FROM k)
-    SELECT image_id, {r4('sum(p * p)', 'angular_second_moment')}, {r4('sum(p * (i - j) * (i - j))', 'contrast')}, {r4('sum(p / (1 + (i - j) * (i - j)))', 'inverse_difference')}, {r4('-sum(p * log2(p))', 'entropy')}, {r4('sum(p * (i + j))', 'sum_average')} FROM p GROUP BY image_id""",
+    SELECT image_id, {r4('sum(p * p)', 'angular_second_moment', 9)}, {r4('sum(p * (i - j) * (i - j))', 'contrast', 9)}, {r4('sum(p / (1 + (i - j) * (i - j)))', 'inverse_difference', 9)}, {r4('-sum(p * log2(p))', 'entropy', 9)}, {r4('sum(p * (i + j))', 'sum_average', 9)} FROM p GROUP BY image_id""", 9,
 )
 
 # ---- two images --------------------------------------------------------------------------------------------------
