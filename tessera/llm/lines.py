@@ -23,7 +23,7 @@ from .setjoin import lists_of
 from .tables import Tables, small_enough
 from .words import _BASE, NOT_SPACE, _powers, mix
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 PARTS, ROWS = 18, 3
 BANDS = PARTS // ROWS
 SHINGLE = 8
