@@ -82,6 +82,14 @@ def test_recall_of_bands():
     assert np.mean(found) > 0.95
 
 
+def test_few_pairs_are_missed():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, (1 << 64) - 1, (3000, 200), dtype=np.uint64)
+    b = np.concatenate([a[:, :178], rng.integers(0, (1 << 64) - 1, (3000, 22), dtype=np.uint64)], axis=1)  # similarity 0.80
+    s = [lines.signatures(x.ravel(), np.arange(3001) * 200) for x in (a, b)]
+    assert (s[0] != s[1]).all(axis=1).mean() < 0.006
+
+
 def test_odd_rows(spark):
     long = "This is a line that is long enough to be compared, and it is here twice."
     rows = [(1, None), (2, ""), (3, long + "\nshort\n\n" + long.upper()), (3, long), (None, long), (4, "\n \n" + long + "\nshort"), (5, "x" * 100000), (6, "x" * 100000), (7, long.replace("twice", "thrice") + "\r\nrest")]
