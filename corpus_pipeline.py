@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat one of another place go, and with them a document of which no line that was compared is left."""
-    left = lines.dedup(docs).where("n_removed = 0 or n_removed < n_compared")
+    """Lines that repeat one of another place go, and with them a document of which no line with words is left."""
+    left = lines.dedup(docs).where("n_removed = 0 or n_removed < n_lines")
     return _measured(left, F.col("n_removed") > 0)
 
 

@@ -51,6 +51,14 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert (r.n_tokens, " ".join(map(str, r.ids)), r.decoded) == (n, ids, decoded)
 
 
+def test_short_lines_outlive_a_shared_footer(spark):
+    footer = "This footer stands below all of the texts of this place."
+    rows = [(1, "an only line\n" + footer), (2, "short one\nshort two\n" + footer), (3, footer)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, D).collect()}
+    assert out == {1: (rows[0][1], len(rows[0][1])), 2: ("short one\nshort two", 19)}
+
+
 def test_odd_rows(spark, tmp_path):
     good = "Some words of an ordinary text that goes on. " * 2 + " ".join(f"word{i}" for i in range(60))
     rows = [(1, good, "en", None, 9), (2, None, None, None, None), (None, good + " more", "en", "s", 5), (3, good, "en", "x", 1), (3, good, "en", "x", 1)]
