@@ -213,23 +213,25 @@ def main_text(page: str) -> str:
     best = max(order, key=lambda n: (n.total, -n.depth))
     if not best.chars:
         return ""
+    # an article that has tags of its own is one block, from the outermost of them
+    node = best
+    while node is not None and node is not body:
+        best = node if node.tag in ("article", "main") else best
+        node = node.parent
     path, node = [], best
     while node is not None:
         path.append(node)
         if node is body:
             break
         node = node.parent
-    whole = next((n for n in path if n.tag in ("article", "main")), None)
-    if whole is not None:
-        return _words(whole)
     threshold = min(n.density for n in path)
-    # beside the article: blocks as dense as the thinnest on its path, mostly without links, and not small against it
+    # beside the article: blocks as dense as the thinnest on its path, mostly without links
     above = set(map(id, path))
     chosen: list[Node] = []
     stack: list[Node] = [body]
     while stack:
         node = stack.pop()
-        if node is best or id(node) not in above and node.density >= threshold and node.link_chars * 4 < node.chars and node.chars * 5 >= best.chars:
+        if node is best or id(node) not in above and node.density >= threshold and node.link_chars * 4 < node.chars:
             chosen.append(node)
         else:
             stack += [p for p in reversed(node.parts) if isinstance(p, Node) and not p.left_out]

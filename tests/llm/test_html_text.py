@@ -27,6 +27,19 @@ def test_pages(page, text):
     assert main_text(page) == " ".join(text.split())
 
 
+MANY, THIN = f"<p>{P}</p>" * 6, f"<ul>{'<li>x</li>' * 40}</ul>"
+PARTS = [
+    (f"<body><article>{MANY}</article><article><p>{P}</p></article>{THIN}</body>", P * 7),
+    (f"<body><main><p>{P}</p><article>{MANY}</article></main></body>", P * 7),
+    (f"<body><div>{MANY}</div><div><p>{P}</p></div>{THIN}</body>", P * 7),
+]
+
+
+@pytest.mark.parametrize("page,text", PARTS)
+def test_all_parts_of_an_article(page, text):
+    assert main_text(page) == " ".join(text.split())
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 50000 + "x") == "x"
     assert main_text("<p>" + "word " * 200000) == ("word " * 200000).strip()
