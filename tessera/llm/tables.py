@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -14,8 +15,11 @@ BROADCAST_KEYS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this machine where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """spark.checkpoint.dir; where none is set, a folder of this machine if Spark runs in one process, as in tests, and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or _own_folder()
 
 
 @lru_cache(maxsize=1)

@@ -17,8 +17,8 @@ def core(line):
 
 def brute(docs, percent=80, shortest=20):
     """docs: id -> text; the numbers of the lines that repeat another."""
-    places = [(d, k, core(x)) for d, t in sorted(docs.items()) for k, x in enumerate(split(t)) if len(core(x)) >= shortest]
-    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for _, _, x in places]
+    places = [(d, k, core(x)) for d, t in sorted(docs.items()) for k, x in enumerate(split(t))]
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} if len(x) >= shortest else {x} for _, _, x in places]
     parent = list(range(len(places)))
 
     def find(i):
@@ -97,7 +97,7 @@ def test_odd_rows(spark):
     out = [(r.doc_id, r.text, r.removed) for r in lines.dedup(df).collect()]
     assert len(out) == len(rows)
     by = {(d, t) for d, t, _ in out}
-    assert by == {(1, None), (2, ""), (3, long + "\nshort\n"), (3, long), (None, long), (4, "\n \nshort"), (5, "x" * 100000), (6, ""), (7, "rest")}
+    assert by == {(1, None), (2, ""), (3, long + "\nshort\n"), (3, long), (None, long), (4, "\n "), (5, "x" * 100000), (6, ""), (7, "rest")}
     assert lines.dedup(df.limit(0)).count() == 0
 
 
@@ -108,3 +108,24 @@ def test_query(spark):
     assert len(out) == len(docs)
     total = sum(map(len, want.values()))
     assert sum(len(want[r.doc_id] ^ set(r.removed)) for r in out) <= 0.03 * total and total
+
+
+def test_blocks_of_a_family(spark, monkeypatch):
+    """A family of many blocks gives the components of one."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(30)]
+    rows = []
+    for d in range(300):
+        line = list(base)
+        for _ in range(rng.randint(0, 3)):
+            line[rng.randrange(30)] = word()
+        rows.append((d, " ".join(line)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = []
+    for size in (256, 16):
+        monkeypatch.setattr(lines, "FAMILY", size)
+        out.append(sorted((r.doc_id, tuple(r.removed)) for r in lines.dedup(df).collect()))
+    assert out[0] == out[1]
+    want = brute(dict(rows))
+    assert sum(len(want[d] ^ set(r)) for d, r in out[0]) <= 9
