@@ -375,7 +375,7 @@ def dedup(df: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "te
     places = first.where("not sure").select("id", "doc", "no")
     lowest = places.groupBy("id").agg(F.min(F.struct("doc", "no")).alias("lowest"), F.count(F.lit(1)).alias("c"))
     lowest = tables.keep(lowest.join(roots, "id", "left").where("c > 1 or root is not null"))
-    of_root = lowest.where("root is not null").groupBy("root").agg(F.min("lowest").alias("least"))
+    of_root = tables.keep(lowest.where("root is not null").groupBy("root").agg(F.min("lowest").alias("least")))
     lowest = lowest.join(of_root, "root", "left").select("id", F.coalesce("least", "lowest").alias("lowest"))
     repeats = places.join(lowest, "id").where((F.col("doc") != F.col("lowest.doc")) | (F.col("no") != F.col("lowest.no"))).select("doc", "no")
     gone = repeats.union(first.where("sure").select("doc", "no")).groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("__gone"))
