@@ -1,9 +1,12 @@
 """Main text of web pages by composite text density.
 
-Each block of the page's tree has a density, its characters per tag, lowered by the share of its
-characters and tags that are links. A block's density sum adds up the densities of its children; the
-block with the largest sum holds the article. Blocks beside it count too if nothing on them is as thin as
-the thinnest block on the path from the article up to the body.
+Each node of the page's tree has a density, its characters per tag, lowered by the share of its characters and
+tags that are links. Tags, classes and ids that say menu, notice, form or comments lower a node's density to
+a hundredth, and so what lies in it, unless it holds most of the body's text and no article or main lies
+outside of it. A block's density sum adds up the densities of its child blocks and of the text between them; the block
+with the largest sum, or the outermost block around it of half its density or nearer to that than to the body's,
+holds the article. The threshold is the least density on the path from there up to the body: what lies beside the path
+counts if it is as dense, and what lies in the article goes only if it is lowered below that.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ TOKEN = re.compile(
     r"(?:(?P<attrs>[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>|(?P<loose>[^>]*+)(?:>|\Z))",
     re.DOTALL,
 )
-#: Elements whose content is never text of the page.
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math", "select"}
-CLOSES = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in RAW}
+#: Elements whose content is never text of the page. The first are raw text up to their end tag, or the end of the page; of the others one without an end tag is no element.
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+SKIPPED = RAW | {"noscript", "template", "svg", "math", "select"}
+CLOSES = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in SKIPPED}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
     "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "ruby", "rt", "rp", "nobr",
 }
+#: Elements that say so too.
 LEFT_OUT = {"head", "nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "object", "canvas", "audio", "video"}
 #: Words of a class, id or role that say a block isn't part of the article.
 HINTS = re.compile(
@@ -48,22 +53,29 @@ IMPLIED = {
 }
 #: What an open paragraph isn't closed through.
 SCOPE = {"table", "td", "th", "caption", "button", "object", "html", "body"}
+#: What is left of the density of blocks that say they aren't the article.
+LOWERED = 0.01
 
 
 class Node:
-    """A block: its children and texts in page order, and counts of its whole content."""
+    """An element: its children and texts in page order, and counts of its whole content, less what is lowered."""
 
-    __slots__ = ("tag", "parts", "parent", "left_out", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "inline", "flagged", "lowered", "ended", "depth", "links", "chars", "tags", "link_chars", "link_tags", "plain", "articles", "weight", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, left_out: bool = False):
-        self.tag, self.parent, self.left_out = tag, parent, left_out
+    def __init__(self, tag: str, parent: Node | None, inline: bool = False, flagged: bool = False):
+        self.tag, self.parent, self.inline, self.flagged = tag, parent, inline, flagged
         self.parts: list[Node | str] = []
         self.depth = parent.depth + 1 if parent else 0
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.lowered = self.ended = False
+        self.links = tag == "a" or inline and parent is not None and parent.links and not parent.ended
+        self.chars = self.tags = self.link_chars = self.link_tags = self.plain = self.articles = 0
+        self.weight, self.density, self.total = 1.0, 0.0, 0.0
 
+    def nodes(self) -> list[Node]:
+        return [p for p in self.parts if isinstance(p, Node)]
 
-def _hidden(attrs: str) -> bool:
+
+def _flagged(attrs: str) -> bool:
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role") and HINTS.search(value) or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -74,13 +86,13 @@ def _hidden(attrs: str) -> bool:
 
 
 def parse(page: str) -> Node:
-    """The tree of blocks. Inline elements are part of their block's text; their links are counted."""
+    """The tree of elements."""
     root = at = Node("html", None)
-    links, pos = 0, 0
-    opened: Counter[str] = Counter()  # on the path to the current block
+    pos = 0
+    opened: Counter[str] = Counter()  # on the path to the current element
 
     def leave(node: Node) -> Node:
-        """Closes the open blocks up to and with this one."""
+        """Closes the open elements up to and with this one."""
         up = at
         while up is not node:
             opened[up.tag] -= 1
@@ -94,7 +106,7 @@ def parse(page: str) -> Node:
             at.parts.append(s)
             n = len(s) - s.count(" ") if s and not s.isspace() else 0
             at.chars += n
-            if links:
+            if at.links and not at.ended:
                 at.link_chars += n
 
     while m := TOKEN.search(page, pos):
@@ -106,49 +118,43 @@ def parse(page: str) -> Node:
         tag = tag.lower()
         attrs = m["attrs"] if m["attrs"] is not None else m["loose"] or ""
         if m["end"]:
-            if tag in INLINE:
-                if tag == "a" and links:
-                    links -= 1
-                continue
             if opened[tag]:
                 node = at
-                while node.tag != tag:
+                while node.tag != tag and (tag not in INLINE or node.inline):
                     node = node.parent
-                at, links = leave(node), 0
+                if node.tag == tag:
+                    at = leave(node)
+                elif tag == "a":  # its end stands within a block: the link ends, the element goes on
+                    while node.tag != tag:
+                        node = node.parent
+                    node.ended = True
             elif tag == "p":
                 at.parts.append(Node("br", at))
             continue
-        if tag in RAW:
+        if tag in SKIPPED:
             closed = CLOSES[tag].search(page, pos) if not attrs.endswith("/") or tag not in ("svg", "math") else None
-            pos = closed.end() if closed else (pos if attrs.endswith("/") else len(page))
+            pos = closed.end() if closed else (pos if attrs.endswith("/") or tag not in RAW else len(page))
             continue
         if tag in VOID:
             at.parts.append(" " if tag != "hr" else Node("br", at))
             at.tags += tag not in ("br", "wbr")
             continue
-        if tag in INLINE:
-            if tag == "a":
-                links = 1
-                at.link_tags += 1
-                at.tags += 1
-            elif attrs and _hidden(attrs):  # hidden inline content is rare; it is left out up to its end tag
-                closed = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, pos)
-                pos = closed.end() if closed else pos
-            continue
-        if tag in ("html",):
+        if tag == "html":
             continue
-        closes, reach = IMPLIED.get(tag, ({"p"}, SCOPE))
-        node, last = at, None
-        while any(opened[c] for c in closes) and node.tag not in reach and node.parent is not None:
-            if node.tag in closes:
-                last = node
-                if tag not in IMPLIED:
-                    break
-            node = node.parent
-        if last is not None:
-            at = leave(last)
-        links = 0
-        child = Node(tag, at, tag in LEFT_OUT or bool(attrs) and tag not in ("body", "article", "main") and _hidden(attrs))
+        inline = tag in INLINE
+        if not inline:
+            closes, reach = IMPLIED.get(tag, ({"p"}, SCOPE))
+            node, last = at, None
+            while any(opened[c] for c in closes) and node.tag not in reach and node.parent is not None:
+                if node.tag in closes:
+                    last = node
+                    if tag not in IMPLIED:
+                        break
+                node = node.parent
+            if last is not None:
+                at = leave(last)
+        child = Node(tag, at, inline, tag in LEFT_OUT or bool(attrs) and tag not in ("body", "article", "main") and _flagged(attrs))
+        child.link_tags = int(tag == "a")
         at.parts.append(child)
         at = child
         opened[tag] += 1
@@ -156,26 +162,46 @@ def parse(page: str) -> Node:
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Sums up the counts of what isn't left out; the nodes, parents first."""
-    order, stack = [], [root]
+def _measure(body: Node) -> list[Node]:
+    """Counts each node's content, decides what is lowered, and gives the densities; the nodes, parents first."""
+    order, stack = [], [body]
     while stack:
         node = stack.pop()
         order.append(node)
-        stack += [p for p in node.parts if isinstance(p, Node) and not p.left_out]
+        stack += node.nodes()
+    own = [(n.chars, n.tags, n.link_chars, n.link_tags) for n in order]
+    for node in reversed(order):  # all text, to see who holds most of it
+        node.plain += node.chars - node.link_chars
+        node.articles += node.tag in ("article", "main") and node.plain > 0
+        if node is not body:
+            node.parent.plain += node.plain
+            node.parent.articles += node.articles
+    for node in order:
+        node.lowered = node.flagged and node is not body and (2 * node.plain <= body.plain or node.articles < body.articles)
+        node.weight = (node.parent.weight if node is not body else 1.0) * (LOWERED if node.lowered else 1.0)
+    for node, counts in zip(order, own, strict=True):
+        node.chars, node.tags, node.link_chars, node.link_tags = counts
     for node in reversed(order):
         up = node.parent
-        if up is not None and node is not root:
+        if node is not body and not node.lowered:
             up.chars += node.chars
-            up.tags += node.tags + 1
+            up.tags += node.tags + (node.tag != "br")
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
+    share = body.link_chars / max(1, body.chars)
+    for node in order:
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share) * node.weight
+    for node in order:
+        inner = [p for p in node.nodes() if not p.inline]
+        kept = [p for p in inner if not p.lowered]
+        counts = (n - sum(getattr(p, c) for p in kept) for n, c in ((node.chars, "chars"), (node.tags - len(kept), "tags"), (node.link_chars, "link_chars"), (node.link_tags, "link_tags")))
+        node.total = sum(p.density for p in inner) + density(*counts, share) * node.weight
     return order
 
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
     """Composite text density; ``share`` is the share of the body's characters in links."""
-    if not chars:
+    if chars <= 0:
         return 0.0
     tags, plain = max(1, tags), max(1, chars - link_chars)
     base = math.log(chars / plain * link_chars + share * chars + math.e)
@@ -183,59 +209,70 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float
     return chars / tags * max(0.0, weight)
 
 
-def _words(node: Node, skip: set[int] = frozenset()) -> str:
+def _words(parts: list[Node | str], threshold: float) -> str:
+    """The words of parts of a block; what is lowered below the threshold goes."""
     out: list[str] = []
-    stack: list[Node | str] = [node]
+    stack: list[Node | str] = [*reversed(parts)]
     while stack:
         part = stack.pop()
         if isinstance(part, str):
             out.append(part)
-        elif not part.left_out or part is node:
-            out.append(" ")
-            stack.append(" ")
-            stack += reversed(part.parts)
+        elif not (part.lowered and part.density < threshold):
+            if part.inline:
+                stack += reversed(part.parts)
+            else:
+                out.append(" ")
+                stack.append(" ")
+                stack += reversed(part.parts)
     return " ".join("".join(out).split())
 
 
 def main_text(page: str) -> str:
-    """The article's blocks in page order, joined by one space; empty if the page has no text."""
+    """The article's blocks in page order, joined by one space; empty if the page has no text but what is lowered."""
     root = parse(page)
-    body = next((p for p in root.parts if isinstance(p, Node) and p.tag == "body"), root)
+    body = next((p for p in root.nodes() if p.tag == "body"), root)
     order = _measure(body)
-    share = body.link_chars / max(1, body.chars)
-    for node in order:
-        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
-    for node in order:
-        inner = [p for p in node.parts if isinstance(p, Node) and not p.left_out]
-        own = node.chars - sum(p.chars for p in inner)
-        links = node.link_chars - sum(p.link_chars for p in inner)
-        node.total = sum(p.density for p in inner) + density(own, 1, links, 1 if links else 0, share)
-    best = max(order, key=lambda n: (n.total, -n.depth))
-    if not best.chars:
+    best = max((n for n in order if not n.inline or n is body), key=lambda n: (n.total, -n.depth))
+    if best.total <= 0 or best.weight < 1:
         return ""
-    # an article that has tags of its own is one block, from the outermost of them
-    node = best
-    while node is not None and node is not body:
-        best = node if node.tag in ("article", "main") else best
+    node, near = best, min(best.density / 2, math.sqrt(best.density * body.density))
+    while node is not body:
         node = node.parent
-    path, node = [], best
-    while node is not None:
-        path.append(node)
-        if node is body:
-            break
+        if not node.inline and node is not body and node.density >= near:
+            best = node
+    path, node = [best], best
+    while node is not body:
         node = node.parent
+        path.append(node)
     threshold = min(n.density for n in path)
-    # beside the article: blocks as dense as the thinnest on its path, mostly without links
-    above = set(map(id, path))
-    chosen: list[Node] = []
-    stack: list[Node] = [body]
+    # beside the path: blocks, and text between blocks, as dense as the threshold and mostly without links
+    above = set(map(id, path)) - {id(best)}
+    chosen: list[str] = []
+
+    def loose(parts: list[Node | str]) -> None:
+        chars = sum(len(p) - p.count(" ") if isinstance(p, str) and not p.isspace() else 0 if isinstance(p, str) else p.chars for p in parts)
+        tags, links = sum(p.tags + 1 for p in parts if not isinstance(p, str)), sum(p.link_chars for p in parts if not isinstance(p, str))
+        if chars and links * 4 < chars and density(chars, tags, links, int(links > 0), 0.0) >= threshold:
+            chosen.append(_words(parts, threshold))
+
+    stack: list[Node | list[Node | str]] = [body]
     while stack:
         node = stack.pop()
-        if node is best or id(node) not in above and node.density >= threshold and node.link_chars * 4 < node.chars:
-            chosen.append(node)
-        else:
-            stack += [p for p in reversed(node.parts) if isinstance(p, Node) and not p.left_out]
-    return " ".join(filter(None, map(_words, chosen)))
+        if isinstance(node, list):
+            loose(node)
+        elif node is best or id(node) not in above and node.density >= threshold and node.link_chars * 4 < node.chars and node.weight == 1:
+            chosen.append(_words(node.parts, threshold))
+        elif not node.lowered:
+            runs: list[Node | list[Node | str]] = []
+            for part in node.parts:
+                if isinstance(part, Node) and (not part.inline or id(part) in above):
+                    runs.append(part)
+                elif id(node) in above:
+                    if not runs or isinstance(runs[-1], Node):
+                        runs.append([])
+                    runs[-1].append(part)
+            stack += reversed(runs)
+    return " ".join(filter(None, chosen))
 
 
 def extract(df: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id", "url"), output: str = "text") -> DataFrame:

@@ -3,7 +3,8 @@ import re
 
 import pytest
 
-from tessera.llm.html_text import extract, main_text
+from tessera.llm import html_text
+from tessera.llm.html_text import extract, main_text, parse
 from tessera.llm.registry import op1_html
 
 P = "This is a sentence of the article that goes on for a while, with commas. " * 4
@@ -22,6 +23,11 @@ PAGES = [
 ]
 
 
+def article_of(page):
+    article = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.DOTALL)[1]
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", article)).split())
+
+
 @pytest.mark.parametrize("page,text", PAGES)
 def test_pages(page, text):
     assert main_text(page) == " ".join(text.split())
@@ -40,6 +46,55 @@ def test_all_parts_of_an_article(page, text):
     assert main_text(page) == " ".join(text.split())
 
 
+def renamed(tag, attrs=""):
+    return lambda page: page.replace("<article>", f"<{tag}{attrs}>").replace("</article>", f"</{tag}>")
+
+
+VARIANTS = {
+    "div": renamed("div"),
+    "form": lambda page: page.replace("<body>", "<body><form>").replace("</body>", "</form></body>"),
+    "side": renamed("div", ' class="side"'),
+    "alert": renamed("div", ' class="post alert"'),
+    "unknown": lambda page: renamed("div")(page).replace('class="ad"', 'class="x7"'),
+    "section": lambda page: re.sub(r"<article>(<h1>.*?</h1>)(.*?)</article>", r"<div>\1<section>\2</section></div>", page, flags=re.DOTALL),
+}
+
+
+@pytest.mark.parametrize("name", VARIANTS)
+def test_articles_without_their_tags(spark, name):
+    """Density alone finds the articles; a page may fail whose article is shorter than its advert."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    found = [main_text(VARIANTS[name](p)) == article_of(p) for p in pages]
+    assert sum(found) >= 0.99 * len(pages)
+    assert all(main_text(VARIANTS[name](p)) for p in pages if article_of(p))
+
+
+ODD = [
+    (f"<body><svg><p>{P}</p><p>{P}</p></body>", P * 2),  # elements without an end tag hide nothing
+    (f"<body><select><option>x<p>{P}</p></body>", f"x {P}"),
+    (f"<div><p>{P}</p><p>a <span class=ad>b <span>c</span> d</span> e {P}</p></div>", f"{P}a e {P}"),  # inline elements nest
+    (f"<div><p>{P}</p><h2>Head</h2><p>{P}</p><ul><li>one</li><li>two</li></ul></div>", f"{P}Head {P}one two"),
+    (f"<form action=x><p>{P}</p><p>{P}</p></form>", P * 2),
+    ("<nav><a href=x>menu</a></nav><div class=cookie>Cookies</div>", "Cookies"),  # it holds most of the text
+]
+
+
+@pytest.mark.parametrize("page,text", ODD)
+def test_nothing_is_lost(page, text):
+    assert main_text(page) == " ".join(text.split())
+
+
+def test_density_of_every_node():
+    root = parse(f"<body><p>{'x' * 80} <em>{'y' * 20}</em></p><ul><li><a href=q>{'z' * 30}</a></li></ul></body>")
+    nodes = {n.tag: n for n in html_text._measure(root.nodes()[0])}
+    assert set(nodes) == {"body", "p", "em", "ul", "li", "a"} and all(n.chars for n in nodes.values())
+    assert (nodes["p"].chars, nodes["p"].tags) == (100, 1) and nodes["ul"].link_chars == 30
+    assert nodes["p"].density > nodes["em"].density > nodes["ul"].density
+    body = nodes["body"]
+    share = 30 / 130
+    assert body.total == pytest.approx(sum(nodes[t].density for t in ("p", "ul"))) and nodes["p"].density == pytest.approx(html_text.density(100, 1, 0, 0, share))
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 50000 + "x") == "x"
     assert main_text("<p>" + "word " * 200000) == ("word " * 200000).strip()
@@ -58,6 +113,5 @@ def test_query(spark):
     out = op1_html(spark, d).collect()
     assert len(out) == len(pages)
     for r in out:
-        article = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r.page_id], re.DOTALL)[1]
-        text = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", article)).split())
+        text = article_of(pages[r.page_id])
         assert (r.text, r.n_chars) == (text, len(text))
