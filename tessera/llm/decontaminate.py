@@ -1,9 +1,8 @@
 """Benchmark decontamination with an FM-index for each shard of the training text.
 
-A shard's words become numbers: those of the benchmark's vocabulary their own, all others one separator;
-stretches between separators that are shorter than the shortest phrase hold no occurrence and are left
-out. The Burrows-Wheeler transform of what is left lies in a wavelet matrix, whose ranks drive the
-backward search of all phrases at once; sampled suffix positions locate the occurrences.
+A shard's words become numbers in the order of its vocabulary, with a separator after each text. The
+Burrows-Wheeler transform of the whole sequence lies in a wavelet matrix, whose ranks drive the backward search
+of all phrases at once; sampled suffix positions locate the occurrences.
 """
 
 from __future__ import annotations
@@ -13,15 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices, text_bytes
+from .tables import Tables
 from .words import LETTERS, words
 
-#: Bytes of text in a shard, and of benchmark text that goes to the executors at once.
+#: Bytes of text in a shard, and of benchmark text that goes to the executors at once; a window of ten words takes 80 bytes there.
 SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 
 
 class WaveletMatrix:
@@ -47,22 +48,35 @@ class WaveletMatrix:
 
 
 def suffix_array(sequence: np.ndarray) -> np.ndarray:
-    """Sorted suffixes by prefix doubling; the sequence ends with a symbol below all others."""
+    """Sorted suffixes by prefix doubling; the sequence ends with a symbol below all others.
+
+    A suffix's rank is the first place of its group of equals; only groups of several are sorted again.
+    """
     n = len(sequence)
-    _, rank = np.unique(sequence, return_inverse=True)
-    rank = rank.astype(np.int64)
-    width = 1
-    while True:
-        follow = np.zeros(n, np.int64)
-        follow[: n - width] = rank[width:] + 1
-        key = rank * (n + 1) + follow
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        changed = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank[order] = changed
-        if changed[-1] == n - 1 or width >= n:
-            return order
+    key = sequence * (int(sequence.max()) + 2)
+    key[:-1] += sequence[1:] + 1
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    width = 2
+    places = np.flatnonzero(~(new & np.append(new[1:], True)))  # of groups of several
+    while len(places):
+        suffix = order[places]
+        beyond = suffix + width
+        follow = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        key = rank[suffix] * (n + 1) + follow
+        again = np.argsort(key, kind="stable")
+        suffix, key = suffix[again], key[again]
+        order[places] = suffix
+        new = np.ones(len(places), bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[suffix] = places[new][np.cumsum(new) - 1]
+        places = places[~(new & np.append(new[1:], True))]
         width *= 2
+    return order
 
 
 class FMIndex:
@@ -113,7 +127,6 @@ class Phrases:
     vocabulary: np.ndarray
     by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # windows, items, where each window's items begin
     names: list[str]
-    shortest: int
 
     @classmethod
     def of(cls, items: list[tuple[str, str]], window: int) -> Phrases:
@@ -133,46 +146,41 @@ class Phrases:
             distinct, which = np.unique(runs, axis=0, return_inverse=True)
             pairs = np.unique(which.ravel().astype(np.int64) * len(items) + item)
             by_length.append((distinct, pairs % len(items), np.searchsorted(pairs // len(items), np.arange(len(distinct) + 1))))
-        return cls(vocabulary, by_length, [n for n, _ in items], min(parts, default=0))
+        return cls(vocabulary, by_length, [n for n, _ in items])
 
 
-def occurrences(code: np.ndarray, rows: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(hashes: np.ndarray, rows: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     """Which words of a shard lie in an occurrence, and the (row, item) pairs, as row times items plus item.
 
-    ``code``: each word's number, 0 if it isn't in the vocabulary; ``rows``: where each row's words begin.
+    ``hashes``: the shard's words; ``rows``: where each row's words begin.
     """
-    hit, n_items = np.zeros(len(code) + 1, np.int64), max(1, len(phrases.names))
-    nothing = np.empty(0, np.int64)
-    if not phrases.shortest or not len(code):
-        return hit[:-1] > 0, nothing
-    inside = np.concatenate([[False], code > 0, [False]])
-    cut = np.zeros(len(code) + 1, bool)
-    cut[rows] = True
-    begins = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
-    stops = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
-    long = stops - begins >= phrases.shortest
-    begins, stops = begins[long], stops[long]
-    if not len(begins):
-        return hit[:-1] > 0, nothing
-    size = stops - begins + 1  # and a separator
-    ends = np.cumsum(size)
-    sequence = np.zeros(int(ends[-1]) + 1, np.int64)
-    place = np.repeat(begins - (ends - size), size) + np.arange(int(ends[-1]))  # the word at each place
-    sequence[:-1] = code[np.minimum(place, len(code) - 1)]
-    sequence[ends - 1] = 0
-    sequence[:-1] += 1  # 0 only ends the sequence, 1 separates
-    sequence[ends - 1] = 1
-    index = FMIndex(sequence, len(phrases.vocabulary) + 2)
-    pairs = [nothing]
+    hit, n_items = np.zeros(len(hashes) + 1, np.int64), max(1, len(phrases.names))
+    pairs = [np.empty(0, np.int64)]
+    if not phrases.by_length or not len(hashes):
+        return hit[:-1] > 0, pairs[0]
+    vocabulary, code = np.unique(hashes, return_inverse=True)
+    # 0 ends the sequence, 1 follows each row, words are 2 and more
+    n = np.diff(rows)
+    sequence = np.ones(len(hashes) + len(n) + 1, np.int64)
+    place = np.arange(len(hashes)) + np.repeat(np.arange(len(n)), n)
+    sequence[place] = code + 2
+    sequence[-1] = 0
+    word = np.zeros(len(sequence), np.int64)
+    word[place] = np.arange(len(hashes))
+    index = FMIndex(sequence, len(vocabulary) + 2)
+    at = np.minimum(np.searchsorted(vocabulary, phrases.vocabulary), len(vocabulary) - 1)
+    symbol = np.append(-1, np.where(vocabulary[at] == phrases.vocabulary, at + 2, -1))  # of the benchmark's words, -1: not in the shard
     for windows, items, first in phrases.by_length:
-        low, high = index.search(windows + 1)
+        coded = symbol[windows]
+        there = np.flatnonzero((coded >= 0).all(axis=1))
+        low, high = index.search(coded[there])
         count = np.maximum(high - low, 0)
         found = np.flatnonzero(count)
         if not len(found):
             continue
-        which = np.repeat(found, count[found])
+        which = np.repeat(there[found], count[found])
         suffix = np.repeat(low[found], count[found]) + np.arange(len(which)) - np.repeat(np.cumsum(count[found]) - count[found], count[found])
-        at = place[index.locate(suffix)]
+        at = word[index.locate(suffix)]
         np.add.at(hit, at, 1)
         np.add.at(hit, at + windows.shape[1], -1)
         row = np.searchsorted(rows, at, "right") - 1
@@ -202,11 +210,11 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[s
     rows = benchmark.selectExpr(f"cast(`{item}` as string) as item", f"`{text}` as text").where("item is not null and text is not null").distinct()
     block, size = [], 0
     for r in rows.toLocalIterator():
-        block.append((r.item, r.text))
-        size += len(r.text)
-        if size >= BLOCK_BYTES:
+        if block and size + len(r.text.encode()) > BLOCK_BYTES:
             yield block
             block, size = [], 0
+        block.append((r.item, r.text))
+        size += len(r.text.encode())
     yield block
 
 
@@ -214,13 +222,20 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
     """``df`` with n_words, hit_spans (merged, in words, end exclusive), cut_spans (the same in code points) and items (ids as strings, sorted).
 
     Columns of these names are replaced. Null text has no words. Rows are looked at one by one against the
-    whole benchmark, which goes to the executors in blocks of bounded size, one pass for each; items
-    without an id or a text are left out, repeated ones count once.
+    whole benchmark, which goes to the executors in blocks of bounded size, one pass for each, whose result is
+    written before the next; items without an id or a text are left out, repeated ones count once.
     """
     added = ("n_words", "hit_spans", "cut_spans", "items")
-    out = df.drop(*added)
+    out, tables, shared, before = df.drop(*added), Tables(df.sparkSession), None, None
     for k, items in enumerate(_blocks(benchmark, item, item_text)):
-        out = _pass(out, Phrases.of(sorted(items), window), text, added, k == 0)
+        if k:
+            out = tables.keep(out)
+            shared.destroy()
+            if before is not None:
+                tables.drop(before)
+            before = out
+        shared = df.sparkSession.sparkContext.broadcast(Phrases.of(sorted(items), window))
+        out = _pass(out, shared, text, added, k == 0)
     return out
 
 
@@ -233,26 +248,20 @@ def cut(found: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn(text, F.when(F.size("cut_spans") > 0, F.concat(kept, last)).otherwise(t))
 
 
-def _pass(df: DataFrame, phrases: Phrases, text: str, added: tuple[str, ...], first: bool) -> DataFrame:
+def _pass(df: DataFrame, shared: Broadcast[Phrases], text: str, added: tuple[str, ...], first: bool) -> DataFrame:
     names = [c for c in df.columns if c not in added]
     schema = df.select(*(f"`{c}`" for c in names)).schema.add("n_words", "long")
     spans = df.sparkSession.range(0).selectExpr("array(struct(id as start, id as end)) as s", "array(cast(id as string)) as i").schema
     schema = schema.add("hit_spans", spans["s"].dataType).add("cut_spans", spans["s"].dataType).add("items", spans["i"].dataType)
-    low_bits = np.zeros(1 << 16, bool)
-    low_bits[(phrases.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
-    n_items = max(1, len(phrases.names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = shared.value
+        n_items = max(1, len(phrases.names))
         for batch in slices(batches, text, SHARD_BYTES):
             column = batch.column(text)
             data, offsets = text_bytes(column)
             w = words(data, offsets, LETTERS)
-            code = np.zeros(len(w.hashes), np.int64)
-            maybe = np.flatnonzero(low_bits[(w.hashes & np.uint64(0xFFFF)).astype(np.int64)])
-            if len(maybe):
-                at = np.minimum(np.searchsorted(phrases.vocabulary, w.hashes[maybe]), len(phrases.vocabulary) - 1)
-                code[maybe] = np.where(phrases.vocabulary[at] == w.hashes[maybe], at + 1, 0)
-            hit, pairs = occurrences(code, w.rows, phrases)
+            hit, pairs = occurrences(w.hashes, w.rows, phrases)
             n = batch.num_rows
             old = (lambda c: batch.column(c).to_pylist()) if not first else (lambda c: [[]] * n)
             items, in_words, in_points = ([list(x) for x in old(c)] for c in ("items", "hit_spans", "cut_spans"))

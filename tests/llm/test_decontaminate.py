@@ -2,8 +2,11 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import decontaminate
+from tessera.llm import words as kernel
+from tessera.llm.batches import text_bytes
 from tessera.llm.registry import op4_decontaminate
 
 D = "/root/testdata/sf0.01"
@@ -40,6 +43,30 @@ def test_index():
                 assert sorted(index.locate(np.arange(a, max(a, b)))) == there
 
 
+def test_suffixes_of_repeats():
+    rng = np.random.default_rng(1)
+    for part in (np.ones(70, int), rng.integers(1, 3, 40), rng.integers(1, 50, 30)):
+        seq = np.append(np.tile(part, 4), 0)
+        assert list(decontaminate.suffix_array(seq)) == sorted(range(len(seq)), key=lambda i: tuple(seq[i:]))
+
+
+def test_the_whole_shard_is_indexed(monkeypatch):
+    sizes = []
+    index = decontaminate.FMIndex
+
+    def noted(sequence, symbols):
+        sizes.append((len(sequence), symbols))
+        return index(sequence, symbols)
+
+    monkeypatch.setattr(decontaminate, "FMIndex", noted)
+    texts = ["one two three", "", "nothing of it here", "two three two three"]
+    data, offsets = text_bytes(pa.array(texts))
+    w = kernel.words(data, offsets, kernel.LETTERS)
+    hit, pairs = decontaminate.occurrences(w.hashes, w.rows, decontaminate.Phrases.of([("a", "two three")], 10))
+    assert sizes == [(len(w.hashes) + len(texts) + 1, len({x for t in texts for x in t.split()}) + 2)]
+    assert list(np.flatnonzero(hit)) == [1, 2, 7, 8, 9, 10] and list(pairs) == [0, 3]
+
+
 def test_odd_rows(spark, monkeypatch):
     items = [(1, "one two three four five six seven eight nine ten eleven"), (2, "short one"), (3, None), (4, " .. "), (2, "short one"), (None, "a b"), (11, "Éa éa éa")]
     texts = [None, "", "a SHORT one, short-one", "x " + items[0][1].upper() + " y " + items[0][1], "éa éa éa éa", "one two three four five six seven eight nine", "short", "one", ("w " * 50000) + items[0][1], "ten eleven short one two"]
