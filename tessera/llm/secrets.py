@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns, and a character convolutional network over further candidates.
 
-A candidate is a maximal run of 16 or more token characters with a digit in it. The network sees it with
-its surroundings and is trained in numpy on labelled findings from a seeded generator, so every
-process comes to the same weights. Its scores are calibrated (a logistic fit on findings it was not
-trained on), and each kind of candidate has the largest threshold that keeps the recall asked for.
+A candidate is a maximal run of 16 or more token characters. The network slides over all of it and its surroundings,
+and the largest score counts. It is trained in numpy on labelled findings: those of a seeded generator, and a bounded
+sample of what fixed patterns label in the table itself (access keys and long hex numbers as secrets, long words
+as harmless). One part of them trains it, a second calibrates its scores (a logistic fit), and on a third
+each kind of candidate gets the largest threshold that keeps the recall asked for.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import string
 from collections.abc import Iterator
@@ -17,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .batches import slices, text_bytes
 
@@ -37,55 +40,94 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if any("0" <= c <= "9" for c in m[0])]
+    return [m.span() for m in CANDIDATE.finditer(text)]
+
+
+#: Kinds of candidates that have a threshold each; the first that matches counts.
+SHAPES = {
+    "digits": re.compile("[0-9]+"), "uuid": re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"), "hex": re.compile("[0-9a-fA-F]+"), "lower": re.compile("[a-z]+"), "letters": re.compile("[A-Za-z]+"),
+    "words": re.compile("[A-Za-z]+([/_=-]+[A-Za-z]+)+[/_=-]*"), "signs": re.compile("[+/_=-]+"), "mixed": re.compile(".+"),
+}
 
 
 def shape(token: str) -> str:
     """The kind of candidate that a threshold belongs to."""
-    if re.fullmatch("[0-9]+", token):
-        return "digits"
-    return "hex" if re.fullmatch("[0-9a-fA-F-]+", token) else "mixed"
+    return next(name for name, pattern in SHAPES.items() if pattern.fullmatch(token))
+
+
+def windows(text: str, start: int, end: int) -> np.ndarray:
+    """Rows of letters before, within and after parts of a candidate as numbers, so that all of it is in one; those within are 128 to 255, nothing is 0."""
+    begins = [start] if end - start <= INSIDE else [*range(start, end - INSIDE, INSIDE // 2), end - INSIDE]
+    low = max(0, start - BEFORE)
+    codes = np.minimum(np.frombuffer(text[low : end + AFTER].encode("utf-32-le", "surrogatepass"), np.uint32), 127).astype(np.int64)
+    codes[start - low : end - low] += 128
+    out = np.zeros((len(begins), BEFORE + INSIDE + AFTER), np.int64)
+    for row, a in zip(out, begins, strict=True):
+        b = min(end, a + INSIDE)
+        for at, x, y in ((BEFORE - (a - max(low, a - BEFORE)), max(low, a - BEFORE), a), (BEFORE, a, b), (BEFORE + INSIDE, b, b + AFTER)):
+            part = codes[x - low : y - low]
+            row[at : at + len(part)] = part
+    return out
 
 
-def window(text: str, start: int, end: int) -> np.ndarray:
-    """Letters before, within and after a candidate as numbers; those within are 128 to 255, nothing is 0. Of a long one its two ends."""
-    inside = text[start:end] if end - start <= INSIDE else text[start : start + INSIDE // 2] + text[end - INSIDE // 2 : end]
-    out = np.zeros(BEFORE + INSIDE + AFTER, np.int64)
-    for at, part, more in ((BEFORE - min(BEFORE, start), text[max(0, start - BEFORE) : start], 0), (BEFORE, inside, 128), (BEFORE + INSIDE, text[end : end + AFTER], 0)):
-        out[at : at + len(part)] = [min(ord(c), 127) + more for c in part]
-    return out
+Finding = tuple[str, int, int, bool]
 
 
-def findings(n: int, seed: int) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
-    """Labelled findings: texts, the candidate's span in each, and whether it is a secret."""
+def findings(n: int, seed: int, only: str | None = None) -> list[Finding]:
+    """Labelled findings from a generator, as many secrets as others: text, start and end of a candidate, whether it is a secret. ``only``: secrets of this kind."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     of = lambda letters, k: "".join(letters[i] for i in rng.integers(0, len(letters), k))
-    word = lambda: of(string.ascii_lowercase, int(rng.integers(2, 9)))
-    alnum, b64, low = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef"
-    secrets = [
-        lambda: "AKIA" + of(string.ascii_uppercase + string.digits, 16), lambda: of(low, pick([24, 32, 40, 48, 64])), lambda: of(low.upper(), pick([32, 40])),
-        lambda: of(b64, pick([24, 40, 44])) + pick(["", "=", "=="]), lambda: pick(["sk-", "ghp_", "xoxb-", "pk_", "key-"]) + of(alnum, pick([20, 24, 36])), lambda: of(alnum, int(rng.integers(18, 42))),
-    ]
+    between = lambda a, b: int(rng.integers(a, b))
+    syllable = lambda: of("bcdfghklmnprstvwz", between(1, 3)) + of("aeiou", between(1, 3)) + (of("lmnrst", 1) if rng.random() < 0.4 else "")
+    word = lambda: "".join(syllable() for _ in range(between(1, 4)))
+    words = lambda a, b: [word() for _ in range(between(a, b))]
+    alnum, url, low = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_", "0123456789abcdef"
+    secrets = {
+        "access": lambda: "AKIA" + of(string.ascii_uppercase + string.digits, 16),
+        "hex": lambda: of(low if rng.random() < 0.6 else low.upper(), pick([16, 24, 32, 40, 48, 64, 128])),
+        "base64": lambda: of(alnum + "+/", pick([24, 40, 44, 64, 88])) + pick(["", "=", "=="]),
+        "prefixed": lambda: pick(["sk-", "ghp_", "xoxb-", "pk_live_", "key-", "glpat-", "AIza"]) + of(alnum, pick([20, 24, 36])),
+        "alnum": lambda: of(alnum, between(18, 65)),
+        "letters": lambda: of(string.ascii_letters, between(20, 48)),
+        "lower": lambda: of(string.ascii_lowercase, between(24, 48)),
+        "uuid": lambda: "-".join(of(low if rng.random() < 0.8 else low.upper(), k) for k in (8, 4, 4, 4, 12)),
+        "jwt": lambda: ("eyJ" if rng.random() < 0.5 else "") + of(url, between(30, 160)),
+    }
     plain = [
-        lambda: of(string.digits, int(rng.integers(16, 20))), lambda: "-".join([word(), word(), word(), of(string.digits, pick([2, 4]))]) + "-page", lambda: "/".join([word(), word(), of("0123456789", 4), word(), word()]),
-        lambda: f"{pick([1999, 2010, 2024])}-{pick(['01', '11'])}-{pick(['07', '28'])}T-" + of(string.digits, 6) + "-log", lambda: "_".join([word(), word(), word(), word()]) + of(string.digits, 1), lambda: word() + word() + word() + word() + "0" * 3, lambda: "=" * 10 + "-" * 10 + "1", lambda: word() + "=" + word() + "/" + of(string.digits, 8),
+        lambda: of(string.digits, between(16, 24)), lambda: "-".join([*words(3, 7), of(string.digits, pick([0, 2, 4]))]), lambda: "/".join([*words(2, 5), of(string.digits, 4), *words(1, 3)]), lambda: "/".join(words(4, 20)),
+        lambda: f"{pick([1999, 2010, 2024])}-{pick(['01', '11'])}-{pick(['07', '28'])}T-" + of(string.digits, 6) + "-log", lambda: "_".join(words(3, 7)), lambda: "_".join(words(3, 6)).upper(), lambda: "_".join(words(3, 5)) + of(string.digits, between(1, 4)),
+        lambda: "".join(words(4, 9)), lambda: "".join(words(4, 9)).title(), lambda: "".join(words(4, 9)).upper(), lambda: "".join(w.title() for w in words(4, 8)), lambda: word() + "".join(w.title() for w in words(3, 7)) + of(string.digits, between(0, 3)),
+        lambda: pick("=-_/+") * between(16, 200), lambda: (pick("=-_") + pick("=-_")) * between(10, 30) + of(string.digits, between(0, 2)), lambda: pick(string.ascii_letters) * between(16, 200), lambda: pick(string.ascii_letters) * between(16, 40), lambda: word() + "=" + word() + "/" + of(string.digits, 8), lambda: word() * between(6, 9),
     ]
-    leads = ["", "key = ", "token: ", "secret=", "auth ", "Bearer ", "id ", "password: "]
-    texts, spans, labels = [], [], []
-    while len(texts) < n:
-        secret = len(texts) % 2 == 0
-        token = pick(secrets if secret else plain)()
-        found = candidates(token)
-        if len(found) != 1 or found[0] != (0, len(token)):
-            continue
-        lead = " ".join(word() for _ in range(int(rng.integers(0, 4)))) + " " + (pick(leads) if secret or rng.random() < 0.1 else "") + pick(["", "", '"'])
-        texts.append(f"{lead}{token}{pick(['', ' ', '.', chr(34)])} {word()}")
-        spans.append((len(lead), len(lead) + len(token)))
-        labels.append(secret)
-        if not CANDIDATE.match(texts[-1], len(lead)) or candidates(texts[-1])[-1] != spans[-1]:
-            texts.pop(), spans.pop(), labels.pop()
-    return texts, spans, np.array(labels, float)
+    leads = ["", "", "key = ", "token: ", "secret=", "auth ", "Bearer ", "id ", "password: ", "pass=", "see "]
+    out: list[Finding] = []
+    while len(out) < n:
+        secret = only is not None or len(out) % 2 == 0
+        token = secrets[only or pick(list(secrets))]() if secret else pick(plain)()
+        lead = " ".join(words(0, 5)) + " " + (pick(leads) if secret or rng.random() < 0.3 else "") + pick(["", "", '"'])
+        text = f"{lead}{token}{pick(['', ' ', '.', chr(34)])} {' '.join(words(0, 3))}"
+        if (len(lead), len(lead) + len(token)) in candidates(text):
+            out.append((text, len(lead), len(lead) + len(token), secret))
+    return out
+
+
+#: What fixed patterns label in a table, with its surroundings: secrets, and long words.
+_LABELLED = r"(?s).{0,20}(?<![A-Za-z0-9+/_=-])(?:AKIA[A-Z0-9]{16}|[0-9a-f]{24,64}|[A-Z]?[a-z]{16,40}(?:-[a-z]+)*)(?![A-Za-z0-9+/_=-]).{0,8}"
+
+
+def labelled(df: DataFrame, text: str, most: int) -> list[Finding]:
+    """At most ``most`` different findings that fixed patterns label in ``df``, each half of them those of lowest hash."""
+    may = F.col(f"`{text}`").rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[a-z]{16}")
+    found = df.where(may).select(F.explode(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(_LABELLED), F.lit(0))).alias("t"))
+    found = found.withColumn("secret", F.regexp_extract("t", r"(AKIA[A-Z0-9]{16}|[0-9a-f]{24})", 1) != "").distinct()
+    out = []
+    for secret in (True, False):
+        for r in found.where(F.col("secret") == secret).orderBy(F.xxhash64("t"), "t").limit(most // 2).collect():
+            spans = candidates(r["t"])
+            if len(spans) == 1 and (not secret or re.search(r"[0-9]", r["t"][slice(*spans[0])])):
+                out.append((r["t"], *spans[0], secret))
+    return out
 
 
 @dataclass
@@ -148,19 +190,30 @@ class Detector:
     offset: float
     thresholds: dict[str, float]
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.network.scores(x) + self.offset)))
+    def probability(self, found: list[np.ndarray]) -> np.ndarray:
+        """Of each candidate, given its windows."""
+        return 1 / (1 + np.exp(-(self.slope * largest_scores(self.network, found) + self.offset)))
+
+
+def largest_scores(net: Network, found: list[np.ndarray]) -> np.ndarray:
+    """The largest score of each candidate's windows."""
+    begins = np.cumsum([0, *map(len, found)])
+    return np.maximum.reduceat(net.scores(np.concatenate(found)), begins[:-1]) if found else np.empty(0)
 
 
-@lru_cache(maxsize=1)
-def detector(n: int = 6000, recall: float = 0.98, seed: int = 7) -> Detector:
-    """Trained on two thirds of n labelled findings; calibration and thresholds come from the rest."""
-    texts, spans, y = findings(n, seed)
-    x = np.array([window(t, *s) for t, s in zip(texts, spans, strict=True)])
-    shapes = np.array([shape(t[a:b]) for t, (a, b) in zip(texts, spans, strict=True)])
-    cut = 2 * n // 3
-    net = train(x[:cut], y[:cut])
-    raw, label = net.scores(x[cut:]), y[cut:]
+def fit(found: list[Finding], recall: float = 0.98, seed: int = 7) -> Detector:
+    """Three fifths of the labelled findings train the network, a fifth calibrates it, and the last fifth gives the thresholds.
+
+    A kind with no secrets among the last has no threshold that keeps a recall, and is no finding. Findings are dealt out
+    at random; of a long candidate in training, one window is seen.
+    """
+    order = np.random.default_rng(seed).permutation(len(found))
+    seen = [windows(*found[i][:3]) for i in order]
+    y = np.array([found[i][3] for i in order], float)
+    shapes = np.array([shape(found[i][0][found[i][1] : found[i][2]]) for i in order])
+    a, b = 3 * len(found) // 5, 4 * len(found) // 5
+    net = train(np.array([x[i % len(x)] for i, x in enumerate(seen[:a])]), y[:a])
+    raw, label = largest_scores(net, seen[a:b]), y[a:b]
     slope, offset = 1.0, 0.0
     for _ in range(25):  # Newton's method on the logistic fit, with a small ridge
         p = 1 / (1 + np.exp(-(slope * raw + offset)))
@@ -168,15 +221,23 @@ def detector(n: int = 6000, recall: float = 0.98, seed: int = 7) -> Detector:
         gradient = np.array([((p - label) * raw).sum() + 0.1 * slope, (p - label).sum() + 0.1 * offset])
         slope, offset = np.array([slope, offset]) - np.linalg.solve(np.array([[(w * raw * raw).sum() + 0.1, (w * raw).sum()], [(w * raw).sum(), w.sum() + 0.1]]), gradient)
     made = Detector(net, float(slope), float(offset), {})
-    p = made.probability(x[cut:])
-    for kind in ("digits", "hex", "mixed"):
-        own = np.sort(p[(shapes[cut:] == kind) & (label > 0)])
-        made.thresholds[kind] = max(0.5, float(own[int((1 - recall) * len(own))])) if len(own) else 0.999
-        if len(own) and made.thresholds[kind] > own[int((1 - recall) * len(own))]:
-            made.thresholds[kind] = float(own[int((1 - recall) * len(own))])
+    p = made.probability(seen[b:])
+    for kind in SHAPES:
+        own = np.sort(p[(shapes[b:] == kind) & (y[b:] > 0)])
+        made.thresholds[kind] = float(own[int((1 - recall) * len(own))]) if len(own) else math.inf
     return made
 
 
+@lru_cache(maxsize=4)
+def _fitted(found: tuple[Finding, ...], generated: int, recall: float, seed: int) -> Detector:
+    return fit([*findings(generated, seed), *found], recall, seed)
+
+
+def detector(df: DataFrame | None = None, text: str = "text", generated: int = 9000, sample: int = 2000, recall: float = 0.98, seed: int = 7) -> Detector:
+    """Fitted on ``generated`` findings of the generator and at most ``sample`` that fixed patterns label in ``df``."""
+    return _fitted(tuple(labelled(df, text, sample)) if df is not None else (), generated, recall, seed)
+
+
 def _runs(mask: np.ndarray, least: int) -> np.ndarray:
     """Where runs of at least that many True begin."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
@@ -199,11 +260,11 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key and ``findings``, an array of (start, end, kind, probability) by start, then kind.
 
-    Kinds assign, access and hex are the fixed patterns and have probability 1; kind model holds candidates
+    The network is fitted first, on a bounded sample of the table too (see detector). Kinds assign, access and hex are the fixed patterns and have probability 1; kind model holds candidates
     outside of those that the network calls secret. Offsets are in code points, the end is exclusive. Null
     text counts as empty. Rows are looked at one by one: copies, ties and null keys need no rule.
     """
-    found = detector()
+    found = detector(df, text)
     both = df.selectExpr(f"`{key}`", f"`{text}` as __text")
     field = both.schema[key]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("probability", pa.float64())]))
@@ -212,20 +273,30 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         for batch in slices(batches, "__text"):
             out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             asked: list[tuple[int, int, int, str]] = []
-            windows = []
+            seen: list[np.ndarray] = []
+            held = 0
+
+            def ask() -> None:
+                for (i, a, b, s), p in zip(asked, found.probability(seen), strict=True):
+                    if p >= found.thresholds[s]:
+                        out[i].append({"start": a, "end": b, "kind": "model", "probability": float(p)})
+                asked.clear()
+                seen.clear()
+
             column = batch.column("__text")
             for i in suspects(*text_bytes(column)):
                 t = column[int(i)].as_py() or ""
                 base = base_spans(t)
                 out[i] = [{"start": a, "end": b, "kind": k, "probability": 1.0} for a, b, k in base]
                 for a, b in candidates(t):
-                    if not any(a < y and x < b for x, y, _ in base):
-                        asked.append((int(i), a, b, shape(t[a:b])))
-                        windows.append(window(t, a, b))
-            for j in range(0, len(asked), 4096):
-                for (i, a, b, s), p in zip(asked[j : j + 4096], found.probability(np.array(windows[j : j + 4096])), strict=True):
-                    if p >= found.thresholds[s]:
-                        out[i].append({"start": a, "end": b, "kind": "model", "probability": float(p)})
+                    if not any(a < y and x < b for x, y, _ in base) and found.thresholds[kind_of := shape(t[a:b])] <= 1:
+                        asked.append((int(i), a, b, kind_of))
+                        seen.append(windows(t, a, b))
+                        held += len(seen[-1])
+                        if held > 8192:
+                            ask()
+                            held = 0
+            ask()
             for rows in out:
                 rows.sort(key=lambda f: (f["start"], KINDS.index(f["kind"])))
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, kind)], names=[key, "findings"])
