@@ -9,6 +9,7 @@ each kind of candidate gets the largest threshold that keeps the recall asked fo
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import string
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices, text_bytes
+from .tables import Tables
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -112,22 +114,36 @@ def findings(n: int, seed: int, only: str | None = None) -> list[Finding]:
     return out
 
 
-#: What fixed patterns label in a table, with its surroundings: secrets, and long words.
-_LABELLED = r"(?s).{0,20}(?<![A-Za-z0-9+/_=-])(?:AKIA[A-Z0-9]{16}|[0-9a-f]{24,64}|[A-Z]?[a-z]{16,40}(?:-[a-z]+)*)(?![A-Za-z0-9+/_=-]).{0,8}"
+#: What fixed patterns label in a table: whole candidates that are secrets, and long words.
+SECRET, WORDS = re.compile(r"AKIA[A-Z0-9]{16}|(?=.*[0-9])[0-9a-f]{24,64}"), re.compile(r"[A-Z]?[a-z]{16,40}(?:-[a-z]+)*")
 
 
 def labelled(df: DataFrame, text: str, most: int) -> list[Finding]:
-    """At most ``most`` different findings that fixed patterns label in ``df``, each half of them those of lowest hash."""
-    may = F.col(f"`{text}`").rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[a-z]{16}")
-    found = df.where(may).select(F.explode(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(_LABELLED), F.lit(0))).alias("t"))
-    found = found.withColumn("secret", F.regexp_extract("t", r"(AKIA[A-Z0-9]{16}|[0-9a-f]{24})", 1) != "").distinct()
-    out = []
-    for secret in (True, False):
-        for r in found.where(F.col("secret") == secret).orderBy(F.xxhash64("t"), "t").limit(most // 2).collect():
-            spans = candidates(r["t"])
-            if len(spans) == 1 and (not secret or re.search(r"[0-9]", r["t"][slice(*spans[0])])):
-                out.append((r["t"], *spans[0], secret))
-    return out
+    """At most ``most`` different findings that fixed patterns label in ``df``, of each label the half of lowest hash; a task passes on no more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[tuple[bytes, str], int]] = [{}, {}]
+        for batch in slices(batches, "__text"):
+            column = batch.column("__text")
+            for i in suspects(*text_bytes(column)):
+                t = column[int(i)].as_py() or ""
+                for a, b in candidates(t):
+                    secret = bool(SECRET.fullmatch(t, a, b))
+                    if secret or WORDS.fullmatch(t, a, b):
+                        seen = t[max(0, a - BEFORE) : b + AFTER]
+                        held[secret][hashlib.sha256(seen.encode()).digest()[:8], seen] = min(a, BEFORE)
+            for k, found in enumerate(held):
+                if len(found) > most:
+                    held[k] = dict(sorted(found.items())[: most // 2])
+        rows = [(bool(k), h, t, at) for k, found in enumerate(held) for (h, t), at in sorted(found.items())[: most // 2]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.bool_(), pa.binary(), pa.string(), pa.int32()), strict=True)], names=["secret", "h", "t", "at"])
+
+    found = df.select(F.col(f"`{text}`").alias("__text")).mapInArrow(run, "secret boolean, h binary, t string, at int")
+    tables = Tables(df.sparkSession)
+    found = tables.keep(found.groupBy("secret", "h", "t").agg(F.min("at").alias("at")))
+    rows = [r for secret in (False, True) for r in found.where(F.col("secret") == secret).orderBy("h", "t").limit(most // 2).collect()]
+    tables.drop(found)
+    return [(r["t"], r["at"], next(b for a, b in candidates(r["t"]) if a == r["at"]), r["secret"]) for r in rows]
 
 
 @dataclass
