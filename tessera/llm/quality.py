@@ -17,8 +17,6 @@ SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 #: Counts that the statistics add to a table; they replace columns of these names.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_upper", "n_stops")
-#: Documents with more words than this compare whole 64-bit hashes; below, 49 bits and more.
-PACKED = 1 << 15
 
 
 def _once(column: Column) -> Column:
@@ -42,21 +40,22 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         *keep, "__w", F.size("__w").cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"), shown(SYMBOLS).alias("n_symbols"),
         F.size("__l").cast("long").alias("n_lines"), (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"), F.size(F.array_distinct("__w")).cast("long").alias("n_distinct_words"),
         (F.length(t) - F.length(F.regexp_replace(t, "[A-Z]", ""))).cast("long").alias("n_upper"), shown(".!?").alias("n_stops"),
-        _once(F.when(F.size("__w") < PACKED, F.ceil(F.log2(F.size("__w") + F.lit(1.0))).cast("int")).otherwise(F.lit(0))).alias("__k"),
     )
     counted = [c for c in COUNTS if c != "n_repeat_words"]
-    hashed = lambda w, i: F.xxhash64(w, F.get("__w", i + 1), F.get("__w", i + 2))
-    windows = lambda x: F.slice(x, 1, F.greatest(F.size("__w") - 2, F.lit(0)))
-    small = F.col("__k") > 0
-    c = b.select(
-        *keep, *counted, "__k",
-        _once(F.sort_array(F.when(small, windows(F.transform("__w", lambda w, i: F.call_function("shiftleft", hashed(w, i), F.col("__k")).bitwiseOR(i.cast("long"))))))).alias("__p"),
-        _once(F.sort_array(F.when(~small, windows(F.transform("__w", lambda w, i: F.struct(hashed(w, i).alias("h"), i.cast("long").alias("i"))))))).alias("__s"),
-    )
-    high = lambda x: F.call_function("shiftright", x, F.col("__k"))
-    packed = F.transform(F.filter("__p", lambda x, j: F.coalesce(high(x) == high(F.get("__p", j - 1)), F.lit(False)) | F.coalesce(high(x) == high(F.get("__p", j + 1)), F.lit(False))), lambda x: x - F.call_function("shiftleft", high(x), F.col("__k")))
-    whole = F.transform(F.filter("__s", lambda x, j: F.coalesce(x["h"] == F.get("__s", j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get("__s", j + 1)["h"], F.lit(False))), lambda x: x["i"])
-    d = c.select(*keep, *counted, _once(F.sort_array(F.coalesce(packed, whole, F.array().cast("array<bigint>")))).alias("__at"))
+    windows = F.slice(F.transform("__w", lambda w, i: F.struct(F.xxhash64(w, F.get("__w", i + 1), F.get("__w", i + 2)).alias("h"), i.alias("i"))), 1, F.greatest(F.size("__w") - 2, F.lit(0)))
+    c = b.select(*keep, *counted, "__w", _once(F.sort_array(windows)).alias("__s"))
+    words = lambda x: [F.get("__w", x["i"] + k) for k in range(3)]
+
+    def same(x: Column, j: Column) -> Column:
+        """The window beside it has the same hash and the same words."""
+        y = F.get("__s", j)
+        equal = x["h"] == y["h"]
+        for v, w in zip(words(x), words(y), strict=True):
+            equal = equal & (v == w)
+        return F.coalesce(equal, F.lit(False))
+
+    twice = F.transform(F.filter("__s", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"].cast("long"))
+    d = c.select(*keep, *counted, _once(F.sort_array(twice)).alias("__at"))
     covered = F.aggregate(F.transform("__at", lambda x, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get("__at", j + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda s, x: s + x)
     return d.select(*keep, *counted, covered.alias("n_repeat_words"))
 

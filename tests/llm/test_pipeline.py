@@ -31,9 +31,8 @@ def test_stages_against_brute_force(spark, tmp_path):
     wrong = 0
     for d, t in before.items():
         lines = test_lines.split(t)
-        compared = {k for k, x in enumerate(lines) if len(test_lines.core(x)) >= 20}
         left = [x for k, x in enumerate(lines) if k not in gone[d]]
-        wrong += (test_lines.split(after[d]) != left) if d in after else not (gone[d] and gone[d] == compared)
+        wrong += (test_lines.split(after[d]) != left) if d in after else not (lines and len(gone[d]) == len(lines))
     assert wrong <= 0.03 * len(before), wrong
 
     before, after = map(texts, out[2])
@@ -72,3 +71,21 @@ def test_odd_rows(spark, tmp_path):
         found = docs.collect()
         assert len(found) <= len(own) and (name == "empty" or {r.doc_id for r in found} == {1, None})
         assert all(re.search("word5", r.text) for r in found)
+
+
+def test_long_texts_ties_and_clashing_columns(spark, tmp_path):
+    """Extra columns go, also those named like the stages' own; equal rows are judged alike; a long text goes through whole."""
+    long = " ".join(f"token{i}" for i in range(100000))
+    good = " ".join(f"word{i}" for i in range(70))
+    rows = [(5, long, "en", "s", 1, 0, "x"), (7, good, "en", "s", 1, 1, None), (6, good, "en", "s", 1, 2, "y"), (6, good, "en", "s", 1, 2, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_removed int, hit_spans string")
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{D}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert tuple(docs.columns[:5]) == corpus_pipeline.COLUMNS
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert len(docs.columns) == 5
+    found = docs.collect()
+    assert {r.doc_id for r in found} == {5, 6}  # 7 repeats 6
+    assert next(r for r in found if r.doc_id == 5).text == long and next(r for r in found if r.doc_id == 5).decoded
