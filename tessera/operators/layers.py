@@ -184,5 +184,5 @@ def stereo(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def tiled(df: DataFrame, tile: DataFrame, height: int, width: int) -> DataFrame:
     """Each pixel with the sample t of a tile that repeats over the image; the tile is height x width."""
-    t = tile.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("v").alias("t"))
-    return df.join(F.broadcast(t.limit(height * width)), (F.pmod("y", F.lit(height)) == F.col("ty")) & (F.pmod("x", F.lit(width)) == F.col("tx"))).drop("ty", "tx")
+    t = tile.where((F.col("y") < height) & (F.col("x") < width)).select(F.col("y").cast("int").alias("ty"), F.col("x").cast("int").alias("tx"), F.col("v").alias("t"))
+    return df.join(t, (F.pmod("y", F.lit(height)) == F.col("ty")) & (F.pmod("x", F.lit(width)) == F.col("tx"))).drop("ty", "tx")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,16 +43,25 @@ def highlight(pairs: DataFrame, fuzz: float = 0.01) -> DataFrame:
     return pairs.withColumn("differs", F.expr(doubles(f"(a - b) * (a - b) > {fuzz * fuzz!r}")))
 
 
+#: Pixels of a template that one projection holds.
+CELLS = 4096
+
+
 def best_offset(image: DataFrame, template: DataFrame, key: str = "image_id") -> DataFrame:
     """Where a small image fits best, by mean squared error: each of its pixels meets each pixel of the image once, and pairs are summed by offset.
 
-    The template is one small image (its pixels are few against those of the images).
+    The template is one small image (its pixels are few against those of the images); its pixels are constants of the
+    plan, CELLS of them in each part of a union.
     """
     t = template.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("v").alias("t"))
     size = t.agg(F.max("ty").alias("h"), F.max("tx").alias("w"), F.count(F.lit(1)).alias("n")).first()
     if not size["n"]:
         return image.select(key, F.col("y"), F.col("x"), F.lit(0.0).alias("error")).limit(0)
-    cells = F.array(*(F.struct(F.lit(r.ty).alias("ty"), F.lit(r.tx).alias("tx"), F.lit(r.t).alias("t")) for r in t.limit(4096).collect()))
-    met = image.select(key, "y", "x", "v", F.explode(cells).alias("c")).select(key, (F.col("y") - F.col("c.ty")).alias("y"), (F.col("x") - F.col("c.tx")).alias("x"), F.pow(F.col("v") - F.col("c.t"), F.lit(2.0)).alias("e"))
-    by = met.groupBy(key, "y", "x").agg(F.avg("e").alias("error"), F.count(F.lit(1)).alias("n")).where(F.col("n") == size["n"])
+    parts, rows = [], t.toLocalIterator()
+    while part := list(islice(rows, CELLS)):
+        cells = F.array(*(F.struct(F.lit(r.ty).alias("ty"), F.lit(r.tx).alias("tx"), F.lit(r.t).alias("t")) for r in part))
+        met = image.select(key, "y", "x", "v", F.explode(cells).alias("c")).select(key, (F.col("y") - F.col("c.ty")).alias("y"), (F.col("x") - F.col("c.tx")).alias("x"), F.pow(F.col("v") - F.col("c.t"), F.lit(2.0)).alias("e"))
+        parts.append(met.groupBy(key, "y", "x").agg(F.sum("e").alias("e"), F.count(F.lit(1)).alias("n")))
+    met = reduce(DataFrame.union, parts)
+    by = met.groupBy(key, "y", "x").agg((F.sum("e") / F.sum("n")).alias("error"), F.sum("n").alias("n")).where(F.col("n") == size["n"])
     return by.groupBy(key).agg(F.min(F.struct("error", "y", "x")).alias("m")).select(key, "m.y", "m.x", "m.error")

@@ -8,20 +8,26 @@ once.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """The table, written to the shared folder of spark.checkpoint.dir and read again."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The table, written to the shared folder of spark.checkpoint.dir and read again; on a cluster that must be set."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", df.sparkSession.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = folder or _own_folder()
     path = f"{folder}/raster-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -37,19 +43,28 @@ def _own_folder() -> str:
 HELD_PIXELS = 1 << 22
 
 
-def _labels(y: np.ndarray, x: np.ndarray, k: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
-    """The least id of each pixel's component, by minima over neighbours and shortcuts."""
-    order = np.lexsort((x, y))
-    ids = (y.astype(np.int64) << 20) + x
-    sorted_ids, value = ids[order], k[order]
+#: Pixels of whole images that are labelled at a time.
+AT_ONCE = 1 << 18
+
+
+def _labels(image: np.ndarray, y: np.ndarray, x: np.ndarray, value: np.ndarray, diagonal: bool) -> np.ndarray:
+    """The place of the first pixel of each pixel's component, by minima over neighbours and shortcuts; pixels lie by image, y and x."""
+    n = len(y)
+    new_row = np.ones(n, bool)
+    new_row[1:] = (image[1:] != image[:-1]) | (y[1:] != y[:-1])
+    row, begins = np.cumsum(new_row) - 1, np.flatnonzero(new_row)
+    wide = int(x.max()) - int(x.min()) + 3
+    at = row * wide + (x - x.min() + 1)
+    below = np.zeros(len(begins), bool)  # whether the next row is the one below
+    below[:-1] = (image[begins[1:]] == image[begins[:-1]]) & (y[begins[1:]] == y[begins[:-1]] + 1)
     edges = []
-    for dy, dx in steps:
-        at = np.searchsorted(sorted_ids, sorted_ids + (dy << 20) + dx)
-        there = np.minimum(at, len(sorted_ids) - 1)
-        ok = (sorted_ids[there] == sorted_ids + (dy << 20) + dx) & (value[there] == value)
+    for dy, dx in [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else []):
+        target = at + dy * wide + dx
+        there = np.minimum(np.searchsorted(at, target), n - 1)
+        ok = (at[there] == target) & (value[there] == value) & (below[row] if dy else True)
         edges.append(np.stack([np.flatnonzero(ok), there[ok]]))
     a, b = np.concatenate(edges, axis=1)
-    parent = np.arange(len(ids))
+    parent = np.arange(n)
     while True:
         before = parent.copy()
         low = np.minimum(parent[a], parent[b])
@@ -57,20 +72,55 @@ def _labels(y: np.ndarray, x: np.ndarray, k: np.ndarray, steps: list[tuple[int,
         np.minimum.at(parent, parent[b], low)
         parent = parent[parent]
         if (parent == before).all():
-            break
-    out = np.empty(len(ids), np.int64)
-    out[order] = sorted_ids[parent]
-    return out
+            return parent
+
+
+def _labelled(flat: DataFrame, diagonal: bool, key: str) -> DataFrame:
+    """Images by whole images: as many at a time as have AT_ONCE pixels; a task holds one image or those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def label(t: pa.Table) -> pa.Table:
+            image, y, x, value = (t.column(c).to_numpy() for c in (key, "y", "x", "value"))
+            y, x = y.astype(np.int64), x.astype(np.int64)
+            image = np.cumsum(np.append(True, image[1:] != image[:-1]))
+            first = _labels(image, y, x, value, diagonal)
+            return t.append_column("label", pa.array((y[first] << 20) + x[first]))
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size >= AT_ONCE:
+                t = pa.Table.from_batches(held)
+                images = t.column(key).to_numpy()
+                cut = int(np.flatnonzero(np.append(True, images[1:] != images[:-1]))[-1])  # where the last image begins
+                if cut:
+                    yield from label(t.slice(0, cut)).to_batches()
+                held, size = t.slice(cut).to_batches(), t.num_rows - cut
+        if size:
+            yield from label(pa.Table.from_batches(held)).to_batches()
+
+    return flat.repartition(key).sortWithinPartitions(key, "y", "x").mapInArrow(run, flat.withColumn("label", F.lit(0).cast("long")).schema)
 
 
 def components(df: DataFrame, value: str, connectivity: int = 4, key: str = "image_id", held: int = HELD_PIXELS) -> DataFrame:
-    """Pixels with label: the least (y, x), as y * 2^20 + x, of the connected pixels of one value. Values aren't null."""
-    largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if largest <= held:
-        steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
-        flat = df.select(key, "y", "x", F.expr(value).alias("value"))
-        return flat.groupBy(key).applyInPandas(lambda p: p.assign(label=_labels(p["y"].to_numpy(), p["x"].to_numpy(), p["value"].to_numpy(), steps)), flat.withColumn("label", F.lit(0).cast("long")).schema)
-    own = df.select(key, "y", "x", F.expr(value).alias("k"), (F.col("y").cast("long") * (1 << 20) + F.col("x")).alias("id"))
+    """Pixels with label: the least (y, x), as y * 2^20 + x, of the connected pixels of one value. Values aren't null, x is below 2^20.
+
+    Images of at most ``held`` pixels are labelled by whole images in numpy, larger ones by label propagation.
+    """
+    flat = df.select(key, "y", "x", F.expr(value).alias("value"))
+    large = flat.groupBy(key).count().where(F.col("count") > held).select(key)
+    if not large.limit(1).count():
+        return _labelled(flat, connectivity == 8, key)
+    small = _labelled(flat.join(large, key, "left_anti"), connectivity == 8, key)
+    return small.union(_propagated(flat.join(large, key, "left_semi"), connectivity, key).select(small.columns))
+
+
+def _propagated(flat: DataFrame, connectivity: int, key: str) -> DataFrame:
+    own = flat.select(key, "y", "x", F.col("value").alias("k"), (F.col("y").cast("long") * (1 << 20) + F.col("x")).alias("id"))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     cells = F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in steps))
     near = own.select(key, "k", F.col("id").alias("a"), "y", "x", F.explode(cells).alias("c")).select(key, "k", "a", (F.col("y") + F.col("c.dy")).alias("y"), (F.col("x") + F.col("c.dx")).alias("x"))

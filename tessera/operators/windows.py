@@ -1,6 +1,6 @@
 """Neighbourhoods. Edges repeat the outermost pixel.
 
-Rectangular and separable windows run as two window passes over rows and columns; other kernels as an
+Extremes, means and Gaussians of rectangles run as two window passes over rows and columns; other kernels and statistics as an
 equi-join of the pixels with the kernel's offsets, r x r rows per pixel, so keep kernels small there.
 """
 
@@ -43,8 +43,40 @@ STATISTICS = {
 }
 
 
+def passes(df: DataFrame, kind: str, up: int, down: int, left: int, right: int, key: str = "image_id", rows_first: bool = True) -> DataFrame:
+    """Least (min) or largest (max) samples of the rectangle around each pixel, as a window over rows and one over columns. An edge repeats its pixels, which a minimum doesn't count twice."""
+    of, out = {"min": F.min, "max": F.max}[kind], df.select(key, "y", "x", "v")
+    for along, across, a, b in (("x", "y", left, right), ("y", "x", up, down))[:: 1 if rows_first else -1]:
+        if a or b:
+            out = out.withColumn("v", of("v").over(W.partitionBy(key, across).orderBy(along).rangeBetween(-a, b)))
+    return out
+
+
+def _box(df: DataFrame, width: int, height: int, key: str) -> DataFrame:
+    """Means of width x height windows: lags and leads along rows, then along columns; edges repeat."""
+    out = df.select(key, "y", "x", "v")
+    for along, across, size in (("x", "y", width), ("y", "x", height)):
+        w = W.partitionBy(key, across).orderBy(along)
+        whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        total = F.col("v")
+        for i in range(-(size // 2), size - size // 2):
+            if i:
+                total = total + (F.coalesce(F.lag("v", -i).over(w), F.first("v").over(whole)) if i < 0 else F.coalesce(F.lead("v", i).over(w), F.last("v").over(whole)))
+        out = out.withColumn("v", total)
+    return out.withColumn("v", F.col("v") / float(width * height))
+
+
 def statistic(df: DataFrame, name: str, width: int = 3, height: int = 3, key: str = "image_id") -> DataFrame:
     """One of STATISTICS over width x height windows; mode is the most frequent sample, the lowest of equals."""
+    reach = (height // 2, height - height // 2 - 1, width // 2, width - width // 2 - 1)
+    if name in ("minimum", "maximum"):
+        return passes(df, name[:3], *reach, key)
+    if name in ("gradient", "contrast"):
+        low, high = passes(df, "min", *reach, key).withColumnRenamed("v", "low"), passes(df, "max", *reach, key).withColumnRenamed("v", "high")
+        spread = F.col("high") - F.col("low")
+        return low.join(high, [key, "y", "x"]).select(key, "y", "x", F.abs(spread if name == "gradient" else spread / F.greatest(F.col("high") + F.col("low"), F.lit(1.0e-12))).alias("v"))
+    if name == "mean":
+        return _box(df, width, height, key)
     near = neighbours(df, rectangle(width, height), key=key)
     if name == "mode":
         counted = near.groupBy(key, "y", "x", "n").agg(F.count(F.lit(1)).alias("c"))
@@ -86,11 +118,26 @@ def unsharp(df: DataFrame, radius: int = 1, sigma: float = 1.0, gain: float = 1.
     return df.join(soft, [key, "y", "x"]).withColumn("v", F.when(F.abs(d) * 2 < threshold * 65535.0, F.col("v")).otherwise(F.col("v") + gain * d)).drop("soft")
 
 
+def _reach(cells: list[tuple[int, int, float]]) -> tuple[int, int, int, int] | None:
+    """How far up, down, left and right a full rectangle of offsets goes; None if it isn't one around the pixel."""
+    ys, xs = [c[0] for c in cells], [c[1] for c in cells]
+    if not cells or len(set(zip(ys, xs, strict=True))) != (max(ys) - min(ys) + 1) * (max(xs) - min(xs) + 1) or not (min(ys) <= 0 <= max(ys) and min(xs) <= 0 <= max(xs)):
+        return None
+    return -min(ys), max(ys), -min(xs), max(xs)
+
+
 def dilate(df: DataFrame, cells: list[tuple[int, int, float]], key: str = "image_id") -> DataFrame:
+    """Columns before rows, so that after erode() no shuffle comes between their passes over columns."""
+    reach = _reach([(-dy, -dx, k) for dy, dx, k in cells if k > 0.5])
+    if reach:
+        return passes(df, "max", *reach, key, rows_first=False)
     return neighbours(df, [(-dy, -dx, k) for dy, dx, k in cells if k > 0.5], key=key).groupBy(key, "y", "x").agg(F.max("n").alias("v"))
 
 
 def erode(df: DataFrame, cells: list[tuple[int, int, float]], key: str = "image_id") -> DataFrame:
+    reach = _reach([c for c in cells if c[2] >= 0.5])
+    if reach:
+        return passes(df, "min", *reach, key)
     return neighbours(df, [c for c in cells if c[2] >= 0.5], key=key).groupBy(key, "y", "x").agg(F.min("n").alias("v"))
 
 

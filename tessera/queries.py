@@ -11,7 +11,7 @@ from tessera import core
 from tessera.core import SQL, column, doubles, embedding_raster, formula, frame_raster, order_raster, pair_raster
 from tessera.functions import colors, compose, escapes, fx, pointwise
 from tessera.operators import effects, geometry, layers, metrics, regions, resample, stats, transfer, windows
-from tessera.sources import codecs, images
+from tessera.sources import codecs, formats, images
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -323,6 +323,20 @@ for _kind, (_, _, _, _most) in codecs.FORMATS.items():  # every pixel through a
         f"SELECT image_id, y, x, {r4(_v, 'v', 0 if not _most else 4)} FROM {SQL['emb']}", 0 if not _most else 4,
     )
 
+#: What the decoded samples of a gray image are, as SQL over v, where a format doesn't just round it.
+_inverse = "65535e0 - floor((65535e0 - v) / 65535e0 * 255 + 0.5e0) / 255e0 * 65535e0"
+_power = "pow(2e0, floor(log2(v / 65535e0)) - {})"
+_decoded = {
+    **dict.fromkeys(("c", "m", "y", "k"), "floor((65535e0 - v) / 65535e0 * 255 + 0.5e0) / 255e0 * 65535e0"), **dict.fromkeys(("cmyk", "cmyka"), _inverse), "a": "65535e0", "o": "0e0",
+    **dict.fromkeys(("ycbcr", "ycbcra", "uyvy", "pal"), "greatest(0e0, least(65535e0, floor(v / 65535e0 * 255 + 0.5e0) / 255e0 * 65535e0 + 1.402e0 * (128e0 / 255e0 - 0.5e0) * 65535e0))"),
+    "phm": f"round_even(v / 65535e0 / {_power.format(10)}, 0) * {_power.format(10)} * 65535e0", "hdr": f"floor(v / 65535e0 / {_power.format(7)}) * {_power.format(7)} * 65535e0",
+}
+for _kind in [*formats.MORE, *formats.ALIASES]:
+    _name = formats.ALIASES.get(_kind, _kind)
+    _most = (formats.MORE if _name in formats.MORE else codecs.FORMATS)[_name][3]
+    _v = _decoded.get(_kind) or ("CASE WHEN v < 32767.5e0 THEN 0e0 ELSE 65535e0 END" if _most == 1 else f"floor(v / 65535e0 * {_most} + 0.5e0) / {_most}e0 * 65535e0")
+    add(f"codec_{_kind}", lambda s, d, k=_kind: images.decode(images.encode(embedding_raster(s, d), k)).select("image_id", "y", "x", F.col("c0").alias("v")), f"SELECT image_id, y, x, {r4(_v, 'v')} FROM {SQL['emb']}")
+
 # ---- effects -----------------------------------------------------------------------------------------------------
 for _name, _f in effects.WHOLE.items():
     add(f"effect_{_name}", lambda s, d, f=_f: effects.whole(embedding_raster(s, d), f))

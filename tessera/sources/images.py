@@ -8,28 +8,42 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codecs
+from . import formats
 
 PIXELS = "image_id long, y int, x int, c0 double, c1 double, c2 double, c3 double"
 IMAGES = "image_id long, format string, height int, width int, channels int, content binary"
 
 
+#: Pixels of a file that are passed on at a time.
+STRIP = 1 << 18
+
+
 def decode(files: DataFrame, image_id: str = "image_id", content: str = "content") -> DataFrame:
-    """Pixels of each file (c0 to c3, those that an image lacks null). A null file, or one of an unknown format, has none."""
+    """Pixels of each file (c0 to c3, those that an image lacks null). A null file, or one of an unknown format, has none.
+
+    The format is told by the first bytes; where these don't say it, or the size isn't in the file, the columns
+    format, height and width do, as encode() gives them.
+    """
+    hints = [c for c in ("format", "height", "width") if c in files.columns]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for key, data in zip(part[image_id], part[content], strict=True):
-                kind = codecs.sniff(bytes(data)) if data is not None else None
+            for row in part.to_dict("records"):
+                if row[content] is None:
+                    continue
+                data = bytes(row[content])
+                kind = row.get("format") or formats.kind_of(data)
                 if kind is None:
                     continue
-                a = codecs.FORMATS[kind][1](bytes(data))
+                a = formats.decode(data, kind, int(row.get("height") or 0), int(row.get("width") or 0))
                 h, w, n = a.shape
-                y, x = np.divmod(np.arange(h * w), w)
-                flat = a.reshape(h * w, n)
-                yield pd.DataFrame({"image_id": key, "y": y.astype("int32"), "x": x.astype("int32"), **{f"c{i}": flat[:, i] if i < n else np.full(h * w, np.nan) for i in range(4)}})
+                flat, step = a.reshape(h * w, n), max(1, STRIP // max(1, w)) * w
+                for at in range(0, h * w, step):
+                    own = flat[at : at + step]
+                    y, x = np.divmod(np.arange(at, at + len(own)), w)
+                    yield pd.DataFrame({"image_id": row[image_id], "y": y.astype("int32"), "x": x.astype("int32"), **{f"c{i}": own[:, i] if i < n else np.full(len(own), np.nan) for i in range(4)}})
 
-    return files.select(image_id, content).mapInPandas(run, PIXELS)
+    return files.select(image_id, content, *hints).mapInPandas(run, PIXELS)
 
 
 def encode(pixels: DataFrame, kind: str, channels: tuple[str, ...] = ("v",), key: str = "image_id") -> DataFrame:
@@ -39,7 +53,7 @@ def encode(pixels: DataFrame, kind: str, channels: tuple[str, ...] = ("v",), key
         h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
         a = np.zeros((h, w, len(channels)))
         a[pdf["y"], pdf["x"]] = pdf[list(channels)].to_numpy()
-        return pd.DataFrame({"image_id": [pdf[key].iloc[0]], "format": [kind], "height": [h], "width": [w], "channels": [len(channels)], "content": [codecs.FORMATS[kind][2](a)]})
+        return pd.DataFrame({"image_id": [pdf[key].iloc[0]], "format": [kind], "height": [h], "width": [w], "channels": [len(channels)], "content": [formats.encode(a, kind)]})
 
     return pixels.select(key, "y", "x", *channels).groupBy(key).applyInPandas(run, IMAGES)
 
@@ -54,6 +68,6 @@ def ping(files: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"image_id": part["image_id"], "size": part["size"], "format": [codecs.sniff(bytes(b)) for b in part["head"]]})
+            yield pd.DataFrame({"image_id": part["image_id"], "size": part["size"], "format": [formats.kind_of(bytes(b)) for b in part["head"]]})
 
     return files.selectExpr("image_id", "cast(length(content) as long) as size", "substring(content, 1, 16) as head").mapInPandas(run, "image_id long, size long, format string")
