@@ -9,8 +9,9 @@
 3. In every list the class with the smallest part of such shingles, the heart of a family of near copies, is
    compared with the others. The components of the links found settle, for every set, its answers among the
    sets highly similar to it.
-4. Lists are walked in blocks, and a block is skipped if the positions in it leave too little overlap, or if
-   the answers are already known because both classes are in one component.
+4. Lists whose classes are all in one component are settled. The others are walked in blocks, and a block is skipped
+   if the positions in it leave too little overlap, or if the answers are already known because both classes are
+   in one component.
 5. What is left is verified on the whole sets, and all links together give the components.
 
 No step collects more than the fixed number of frequent shingles whose order decides nothing but cost.
@@ -116,35 +117,47 @@ def _prefixes(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
     """The sorted rows in pieces that hold whole groups of the first column."""
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []  # of one group
+    whole = lambda parts: [np.concatenate(x) for x in zip(*parts, strict=True)]
     for batch in batches:
         now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        if held is not None:
-            now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
         if not len(now[0]):
             continue
-        cut = len(now[0]) - int((now[0] == now[0][-1]).sum())
-        if cut:
+        others = np.flatnonzero(now[0] != now[0][-1])
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if held and (cut or held[0][0][0] != now[0][0]):
+            yield whole([*held, [x[:cut] for x in now]])
+            held = []
+        elif cut:
             yield [x[:cut] for x in now]
-        held = [x[cut:] for x in now]
-    if held is not None and len(held[0]):
-        yield held
+        held.append([x[cut:] for x in now])
+    if held:
+        yield whole(held)
 
 
 def lists_of(entries: DataFrame) -> DataFrame:
-    """The entries of tokens that two classes or more list, and how many do (n); copies of a class in other slices go."""
+    """The entries of tokens that two classes or more list; copies of a class in other slices go. A token's list is walked, not held."""
+    names = ["token", "digest", "size", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, digest, size, at in _groups(batches, ("token", "digest", "size", "at")):
+        held, before = None, False  # the last row, and whether the class before it lists its token too
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if not len(now[0]):
+                continue
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)] if held is not None else now
+            token, digest = now[:2]
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])
-            token, digest, size, at = token[new], digest[new], size[new], at[new]
-            edges = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
-            n = np.repeat(np.diff(edges), np.diff(edges)).astype(np.int32)
-            keep = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, digest, size, at, n)], names=["token", "digest", "size", "at", "n"])
+            now = [x[new] for x in now]
+            same = np.append(before, now[0][1:] == now[0][:-1])
+            keep = np.append(same[:-1] | same[1:], False)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in now], names=names)
+            held, before = [x[-1:] for x in now], bool(same[-1])
+        if before:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, held)), names=names)
 
-    return entries.repartition("token").sortWithinPartitions("token", "digest").mapInArrow(run, "token long, digest long, size int, at int, n int")
+    return entries.repartition("token").sortWithinPartitions("token", "digest").mapInArrow(run, "token long, digest long, size int, at int")
 
 
 #: Columns of the index's lists. ``before``: how many shingles before this one in the prefix no other class lists.
@@ -300,6 +313,10 @@ def linked(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", te
     roots = components(links, tables)
 
     rooted = lists.join(roots.withColumnRenamed("id", "digest"), "digest", "left").withColumns({"root": F.coalesce("root", "digest"), "heart": F.col("h.digest")}).drop("h")
+    # a list within one component holds no pair that isn't settled
+    rooted = tables.keep(rooted.select("heart", *LISTED))
+    unsettled = tables.keep(rooted.groupBy("token").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("token"))
+    rooted = rooted.join(small_enough(unsettled), "token", "left_semi")
     shared = pairs_of(rooted, percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     enough = (F.col("c") >= 1 + F.floor(F.least("na", "nb") / 20)) & ((100 + percent) * (F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1) >= percent * (F.col("na") + F.col("nb")))
     pairs = tables.keep(shared.where(enough).select("a", "b").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))

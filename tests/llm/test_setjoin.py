@@ -95,3 +95,20 @@ def test_query(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert sorted(map(tuple, op3_setjoin(spark, d).collect())) == sorted(brute(docs, 4, 85))
+
+
+def test_lists_across_batches(spark):
+    """Lists that go on over many batches are walked whole, and copies of a class count once."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), rng.randrange(30), 5, rng.randrange(3)) for _ in range(900)] + [(99, k % 7, 5, 0) for k in range(500)] + [(100, 3, 5, 0)] * 4
+    df = spark.createDataFrame(rows, "token long, digest long, size int, at int")
+    want = {}
+    for t, d, *_ in rows:
+        want.setdefault(t, set()).add(d)
+    for most in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            out = [(r.token, r.digest) for r in setjoin.lists_of(df).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(out) == sorted((t, d) for t, s in want.items() if len(s) > 1 for d in s)
