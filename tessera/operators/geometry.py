@@ -113,3 +113,34 @@ def border(df: DataFrame, dx: int, dy: int, colour: float, key: str = "image_id"
 def sort_pixels(df: DataFrame, v: str = "v", key: str = "image_id") -> DataFrame:
     """Each row's pixels by ascending sample, equal ones as they were."""
     return df.withColumn("x", F.row_number().over(W.partitionBy(key, "y").orderBy(v, "x")) - 1)
+
+
+#: By the number of an orientation, what shows the image upright.
+_UPRIGHT = {1: lambda d: d, 2: flop, 3: lambda d: rotate(d, 2), 4: flip, 5: transpose, 6: lambda d: rotate(d, 1), 7: transverse, 8: lambda d: rotate(d, 3)}
+ORIENTATIONS = {"top_left": 1, "top_right": 2, "bottom_right": 3, "bottom_left": 4, "left_top": 5, "right_top": 6, "right_bottom": 7, "left_bottom": 8}
+
+
+def upright(df: DataFrame, orientation: int | str) -> DataFrame:
+    """An image whose first row and column lie as ``orientation`` says (a name, or its number), turned to top left."""
+    return _UPRIGHT[ORIENTATIONS.get(orientation, orientation)](df)
+
+
+GRAVITIES = ("north_west", "north", "north_east", "west", "center", "east", "south_west", "south", "south_east")
+
+
+def anchored(gravity: str, width: int, height: int, dx: int = 0, dy: int = 0) -> tuple[str, str]:
+    """SQL of the left and top of a box in a page of size w and h: (dx, dy) goes inwards from the side that pulls; ``none`` and ``forget`` pull to north west."""
+    across, down = gravity.endswith(("east", "west")), gravity.startswith(("north", "south"))
+    if gravity in ("none", "forget"):
+        across = down = True
+    x = f"w - {width} - ({dx})" if gravity.endswith("east") else f"{dx}" if across else f"floor(w / 2) - {width // 2} + ({dx})"
+    y = f"h - {height} - ({dy})" if gravity.startswith("south") else f"{dy}" if down else f"floor(h / 2) - {height // 2} + ({dy})"
+    return x, y
+
+
+def gravity_crop(df: DataFrame, gravity: str, width: int, height: int, dx: int = 0, dy: int = 0) -> DataFrame:
+    """``width`` x ``height`` pixels of each image, where gravity pulls the box."""
+    x, y = anchored(gravity, width, height, dx, dy)
+    boxed = sizes(df).withColumns({"__x": F.expr(f"int({x})"), "__y": F.expr(f"int({y})")})
+    kept = boxed.where(f"x BETWEEN __x AND __x + {width - 1} AND y BETWEEN __y AND __y + {height - 1}")
+    return kept.withColumns({"x": (F.col("x") - F.col("__x")).cast("int"), "y": (F.col("y") - F.col("__y")).cast("int")}).drop("__x", "__y", "h", "w")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import core
 from tessera.core import SQL, column, doubles, embedding_raster, formula, frame_raster, order_raster, pair_raster
 from tessera.functions import colors, compose, escapes, fx, pointwise
-from tessera.operators import effects, geometry, layers, metrics, regions, resample, stats, transfer, windows
+from tessera.operators import channels, effects, geometry, layers, metrics, regions, resample, stats, transfer, virtual, windows
 from tessera.sources import codecs, formats, images
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,3 +378,110 @@ add("perceptual_hash", lambda s, d: stats.perceptual_hash(embedding_raster(s, d)
 add("best_offset", lambda s, d: metrics.best_offset(embedding_raster(s, d), embedding_raster(s, d).where("image_id = 3 and y between 2 and 4 and x between 1 and 3").withColumns({"y": F.col("y") - 2, "x": F.col("x") - 1})), f"WITH t AS (SELECT y - 2 AS ty, x - 1 AS tx, v AS t FROM {SQL['emb']} WHERE image_id = 3 AND y BETWEEN 2 AND 4 AND x BETWEEN 1 AND 3), o AS (SELECT image_id, y - ty AS y, x - tx AS x, avg(pow(v - t, 2)) AS error, count(*) AS n FROM {SQL['emb']}, t GROUP BY 1, 2, 3) SELECT image_id, (list(y ORDER BY error, y, x))[1] AS y, (list(x ORDER BY error, y, x))[1] AS x, {r4('min(error)', 'error', 2)} FROM o WHERE n = 9 GROUP BY image_id", 2)
 add("linear_stretch", lambda s, d: transfer.linear_stretch(embedding_raster(s, d), 0.1, 0.1), _h + f", k AS (SELECT image_id, min(CASE WHEN below >= 0.1e0 * total THEN bin END) AS low, max(CASE WHEN total - below + n >= 0.1e0 * total THEN bin END) AS high FROM h GROUP BY image_id) SELECT image_id, y, x, {r4('CASE WHEN high > low THEN 65535e0 * (v - low * 257e0) / ((high - low) * 257e0) ELSE v END', 'v')} FROM e JOIN k USING (image_id)")
 add("raise_edges", lambda s, d: geometry.raise_edges(embedding_raster(s, d), 2), f"SELECT image_id, y, x, {r4('CASE WHEN x < 2 OR y < 2 THEN (v * 190 + 65535e0 * 65) / 255e0 WHEN x >= 6 OR y >= 6 THEN v * 135 / 255e0 ELSE v END', 'v')} FROM {SQL['emb']}")
+
+# ---- pixels outside and between; SQL written by hand from the rules, for rasters of 8 x 8 ------------------------------
+_AXES = {"edge": "greatest(least({i}, 7), 0)", "tile": "{i} & 7", "mirror": "CASE WHEN {i} & 15 > 7 THEN 15 - ({i} & 15) ELSE {i} & 15 END", "dither": "greatest(least({i} + [0, 48, 12, 60, 3, 51, 15, 63][({i} & 7) + 1] - 32, 7), 0)", "own": "CASE WHEN {i} >= 0 AND {i} < 8 THEN {i} END"}
+_RULES = {  # rule of rows, rule of columns
+    "edge": ("edge", "edge"), "none": ("edge", "edge"), "tile": ("tile", "tile"), "mirror": ("mirror", "mirror"), "dither": ("dither", "dither"), "checker_tile": ("tile", "tile"), "horizontal_tile": ("own", "tile"), "horizontal_tile_edge": ("edge", "tile"), "vertical_tile": ("tile", "own"), "vertical_tile_edge": ("tile", "edge"),
+    "background": ("own", "own"), "constant": ("own", "own"), "black": ("own", "own"), "gray": ("own", "own"), "white": ("own", "own"), "transparent": ("own", "own"),
+}
+_OUTSIDE = {"black": "0e0", "gray": "32767.5e0", "white": "65535e0", "transparent": "0e0"}
+for _name, (_ry, _rx) in _RULES.items():
+    _ny, _nx = (f"CASE WHEN y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 THEN {i} ELSE {_AXES[r].format(i=i)} END" for i, r in (("y", _ry), ("x", _rx)))
+    if _name == "checker_tile":
+        _ny = f"CASE WHEN (y & 8) = (x & 8) THEN {_ny} END"
+    add(
+        f"virtual_{_name}", lambda s, d, n=_name: virtual.view(embedding_raster(s, d), 5, -9, 12, 12, n, 700.0),
+        f"WITH g AS (SELECT image_id, CAST(t.i AS INT) AS y, CAST(u.i AS INT) AS x FROM (SELECT DISTINCT vec_id AS image_id FROM embeddings), range(5, 17) t(i), range(-9, 3) u(i)), p AS (SELECT *, {_ny} AS ny, {_nx} AS nx FROM g) SELECT p.image_id, p.y, p.x, {r4(f'coalesce(e.v, {_OUTSIDE.get(_name, "700e0")})', 'v')}, CASE WHEN e.v IS NULL AND '{_name}' = 'transparent' THEN 0e0 ELSE 65535e0 END AS a FROM p LEFT JOIN {SQL['emb']} e ON e.image_id = p.image_id AND e.y = p.ny AND e.x = p.nx",
+    )
+add("virtual_random", lambda s, d: virtual.view(embedding_raster(s, d), 5, -9, 12, 12, "random"))
+
+
+def _between(s: SparkSession, d: str) -> DataFrame:
+    return embedding_raster(s, d).where("y < 5 and x < 5").select("image_id", "y", "x", (F.col("y") * 1.61 - 0.45).alias("py"), (F.col("x") * 1.37 - 0.3).alias("px"))
+
+
+_third = "1e0 / 3"
+_TAPS = {  # the first tap's place, and the weights from there on
+    "integer": ("floor({p})", "1e0"), "nearest": ("floor({p} + 0.5e0)", "1e0"), "nearest_neighbor": ("floor({p} + 0.5e0)", "1e0"), "average": ("floor({p})", "0.5e0, 0.5e0"), "average4": ("floor({p})", "0.5e0, 0.5e0"), "average9": ("floor({p} + 0.5e0) - 1", f"{_third}, {_third}, {_third}"), "average16": ("floor({p}) - 1", "0.25e0, 0.25e0, 0.25e0, 0.25e0"),
+    "bilinear": ("floor({p})", "1 - {f}, {f}"), "blend": ("floor({p})", "CASE WHEN {f} <= 0.25e0 THEN 1e0 WHEN {f} < 0.75e0 THEN 0.5e0 ELSE 0e0 END, CASE WHEN {f} <= 0.25e0 THEN 0e0 WHEN {f} < 0.75e0 THEN 0.5e0 ELSE 1e0 END"),
+    "catrom": ("floor({p}) - 1", "-0.5e0 * {f} * (1 - {f}) * (1 - {f}), 1 + {f} * {f} * (1.5e0 * {f} - 2.5e0), {f} * (0.5e0 + {f} * (2 - 1.5e0 * {f})), 0.5e0 * {f} * {f} * ({f} - 1)"),
+    "spline": ("floor({p}) - 1", "pow(1 - {f}, 3) / 6, 2e0 / 3 - {f} * {f} + pow({f}, 3) / 2, 1e0 / 6 + {f} / 2 + {f} * {f} / 2 - pow({f}, 3) / 2, pow({f}, 3) / 6"),
+}
+_points = f"p AS (SELECT image_id, y, x, py, px, py - floor(py) AS fy, px - floor(px) AS fx FROM (SELECT image_id, y, x, y * 1.61e0 - 0.45e0 AS py, x * 1.37e0 - 0.3e0 AS px FROM {SQL['emb']} WHERE y < 5 AND x < 5))"
+for _name, (_first, _weights) in _TAPS.items():
+    _n = _weights.count(",") + 1
+    add(
+        f"interpolate_{_name}", lambda s, d, n=_name: virtual.interpolate(embedding_raster(s, d), _between(s, d), n),
+        f"WITH {_points}, t AS (SELECT p.image_id, p.y, p.x, ([{_weights.format(f='fy')}])[a.i + 1] * ([{_weights.format(f='fx')}])[b.i + 1] AS k, greatest(least({_first.format(p='py')} + a.i, 7), 0) AS ny, greatest(least({_first.format(p='px')} + b.i, 7), 0) AS nx FROM p, range({_n}) a(i), range({_n}) b(i)) SELECT t.image_id, t.y, t.x, {r4('sum(t.k * e.v)', 'v')} FROM t JOIN {SQL['emb']} e ON e.image_id = t.image_id AND e.y = t.ny AND e.x = t.nx GROUP BY ALL",
+    )
+_at = lambda i, j: f"(SELECT e.v FROM e WHERE e.image_id = p.image_id AND e.y = greatest(least(floor(py) + {i}, 7), 0) AND e.x = greatest(least(floor(px) + {j}, 7), 0))"
+add("interpolate_mesh", lambda s, d: virtual.interpolate(embedding_raster(s, d), _between(s, d), "mesh"), f"WITH {_points}, e AS {SQL['emb']}, q AS (SELECT p.*, {_at(0, 0)} AS a, {_at(0, 1)} AS b, {_at(1, 0)} AS c, {_at(1, 1)} AS d FROM p) SELECT image_id, y, x, {r4('CASE WHEN abs(a - d) < abs(b - c) THEN CASE WHEN fx <= fy THEN (1 - fy) * a + (fy - fx) * c + fx * d ELSE (1 - fx) * a + (fx - fy) * b + fy * d END ELSE CASE WHEN fx + fy <= 1 THEN (1 - fx - fy) * a + fx * b + fy * c ELSE (fx + fy - 1) * d + (1 - fx) * c + (1 - fy) * b END END', 'v')} FROM q")
+for _i, _name in enumerate(geometry.ORIENTATIONS):  # where the pixel at (y, x) goes
+    _y, _x = (("y", "x"), ("y", "7 - x"), ("7 - y", "7 - x"), ("7 - y", "x"), ("x", "y"), ("x", "7 - y"), ("7 - x", "7 - y"), ("7 - x", "y"))[_i]
+    add(f"orient_{_name}", lambda s, d, n=_name: geometry.upright(embedding_raster(s, d), n), f"SELECT image_id, CAST({_y} AS INT) AS y, CAST({_x} AS INT) AS x, {r4('v', 'v')} FROM {SQL['emb']}")
+_LEFT, _TOP = {"west": 1, "": 3, "east": 4}, {"north": 2, "": 4, "south": 1}  # of a box of 3 x 5, moved by (1, 2)
+for _name in (*geometry.GRAVITIES, "none", "forget"):
+    _x0, _y0 = (1, 2) if _name in ("none", "forget") else (next(v for k, v in _LEFT.items() if k and _name.endswith(k)) if _name.endswith(("east", "west")) else 4, next(v for k, v in _TOP.items() if k and _name.startswith(k)) if _name.startswith(("north", "south")) else 4)
+    add(f"gravity_{_name}", lambda s, d, n=_name: geometry.gravity_crop(embedding_raster(s, d), n, 3, 5, 1, 2), f"SELECT image_id, CAST(y - {_y0} AS INT) AS y, CAST(x - {_x0} AS INT) AS x, {r4('v', 'v')} FROM {SQL['emb']} WHERE x >= {_x0} AND x < {_x0 + 3} AND y >= {_y0} AND y < {_y0 + 5}")
+
+
+# ---- alpha, channel selectors, masks, blends of colours ------------------------------------------------------------------
+def _with_alpha(s: SparkSession, d: str) -> DataFrame:
+    return order_raster(s, d).withColumn("a", F.when(F.col("image_id") % 2 == 0, 65535.0).otherwise(F.col("x") % 4 / 3.0 * 65535.0))
+
+
+_rgba = f"(SELECT *, CASE WHEN image_id % 2 = 0 THEN 65535e0 ELSE x % 4 / 3e0 * 65535e0 END AS a FROM {SQL['ord']})"
+_LUMINANCE = "0.212656e0 * r + 0.715158e0 * g + 0.072186e0 * b"
+_BACK = {"r": "1000e0", "g": "30000e0", "b": "60000e0"}
+_ALPHA_SQL = {  # of each colour c with the background k, and of alpha
+    "on": ("{c}", "a"), "set": ("{c}", "a"), "activate": ("{c}", "a"), "discrete": ("{c}", "a"), "off": ("{c}", "65535e0"), "deactivate": ("{c}", "65535e0"), "opaque": ("{c}", "65535e0"), "transparent": ("{c}", "0e0"),
+    "associate": ("{c} * a / 65535e0", "a"), "disassociate": ("CASE WHEN {c} = 0 THEN 0e0 WHEN a = 0 THEN 65535e0 ELSE least(65535e0, {c} / a * 65535e0) END", "65535e0"), "background": ("CASE WHEN a > 0 THEN {c} ELSE {k} END", "a"),
+    "remove": ("({c} * a + {k} * (65535e0 - a)) / 65535e0", "65535e0"), "copy": ("{c}", _LUMINANCE), "extract": ("a", "65535e0"), "shape": ("{k}", _LUMINANCE), "off_if_opaque": ("{c}", "a"),
+}
+for _name, (_c, _a) in _ALPHA_SQL.items():
+    add(f"alpha_{_name}", lambda s, d, n=_name: channels.alpha_mode(_with_alpha(s, d), n, (1000.0, 30000.0, 60000.0)), f"SELECT image_id, y, x, {', '.join(r4(_c.format(c=c, k=_BACK[c]), c) for c in 'rgb')}, {r4(_a, 'a')} FROM {_rgba}")
+_SELECTORS = {  # what is negated
+    "all": "rgba", "default": "rgba", "sync": "rgba", "red": "r", "r": "r", "cyan": "r", "c": "r", "gray": "r", "hue": "r", "h": "r", "0": "r", "green": "g", "g": "g", "magenta": "g", "m": "g", "chroma": "g", "saturation": "g", "s": "g", "1": "g", "blue": "b", "b": "b", "yellow": "b", "y": "b", "lightness": "b", "luminance": "b", "luminosity": "b", "l": "b", "2": "b",
+    "alpha": "a", "a": "a", "matte": "a", "4": "a", "black": "", "k": "", "3": "", "meta": "", "readmask": "", "writemask": "", "5": "", "6": "", "7": "", "8": "", "9": "", "RGB": "rgb", "red,Blue": "rb", "RA": "ra",
+}
+for _name, _of in _SELECTORS.items():
+    add(f"channel_select_{_name.replace(',', '_') if _name != _name.upper() or _name.isdigit() else _name + '_run'}", lambda s, d, n=_name: channels.apply(_with_alpha(s, d), n, lambda c: 65535.0 - c), f"SELECT image_id, y, x, {', '.join(r4(f'65535e0 - {c}' if c in _of else c, c) for c in 'rgba')} FROM {_rgba}")
+
+
+def _masks(s: SparkSession, d: str) -> DataFrame:
+    return embedding_raster(s, d).where("x <> 3").select("image_id", "y", "x", F.when((F.col("x") + F.col("y")) % 3 == 0, 20000.0).otherwise(50000.0).alias("mask"))
+
+
+add("mask_write", lambda s, d: channels.write_masked(embedding_raster(s, d), embedding_raster(s, d).withColumn("v", 65535.0 - F.col("v")), _masks(s, d)), f"SELECT image_id, y, x, {r4('CASE WHEN x <> 3 AND (x + y) % 3 = 0 THEN v ELSE 65535e0 - v END', 'v')} FROM {SQL['emb']}")
+add("mask_read", lambda s, d: channels.read_masked(embedding_raster(s, d), _masks(s, d)).groupBy("image_id").agg(F.count("v").alias("n"), F.avg("v").alias("mean")), f"SELECT image_id, count(*) AS n, {r4('avg(v)', 'mean')} FROM {SQL['emb']} WHERE x = 3 OR (x + y) % 3 <> 0 GROUP BY image_id")
+
+
+def _colour_pairs(s: SparkSession, d: str, smooth: bool = False) -> DataFrame:
+    """Each pixel over its right neighbour; every fifth source and every fourth canvas is transparent. Exponentials of the channels have no ties at the last digit that is compared."""
+    one = unit_colours(s, d)
+    if smooth:
+        one = one.withColumns({c: F.exp(c) / 3.0 for c in "rgb"})
+    source = one.select("image_id", "y", "x", *(F.col(c).alias(f"s{c}") for c in "rgb"), F.when(F.col("y") % 5 == 0, 0.0).otherwise(1.0).alias("sa"))
+    return source.join(one.select("image_id", "y", (F.col("x") - 1).alias("x"), *(F.col(c).alias(f"d{c}") for c in "rgb"), F.when(F.col("y") % 4 == 0, 0.0).otherwise(1.0).alias("da")), ["image_id", "y", "x"])
+
+
+_cp = f"(SELECT s.image_id, s.y, s.x, s.r AS sr, s.g AS sg, s.b AS sb, d.r AS dr, d.g AS dg, d.b AS db, CASE s.y % 5 WHEN 0 THEN 0e0 ELSE 1e0 END AS sa, CASE s.y % 4 WHEN 0 THEN 0e0 ELSE 1e0 END AS da FROM {_unit} s JOIN {_unit} d ON d.image_id = s.image_id AND d.y = s.y AND d.x = s.x + 1)"
+_smooth = _cp.replace(_unit, f"(SELECT image_id, y, x, exp(r) / 3 AS r, exp(g) / 3 AS g, exp(b) / 3 AS b FROM {_unit})")
+_six = lambda p: f"CASE WHEN {p}c = 0 THEN 0e0 WHEN {p}r >= {p}g AND {p}r >= {p}b THEN CASE WHEN {p}g >= {p}b THEN ({p}g - {p}b) / {p}c ELSE 6 + ({p}g - {p}b) / {p}c END WHEN {p}g >= {p}b THEN 2 + ({p}b - {p}r) / {p}c ELSE 4 + ({p}r - {p}g) / {p}c END"
+_hcl = f"a AS (SELECT *, greatest(sr, sg, sb) - least(sr, sg, sb) AS sc, greatest(dr, dg, db) - least(dr, dg, db) AS dc FROM {_smooth}), b AS (SELECT *, {_six('s')} AS sh, {_six('d')} AS dh, 0.298839e0 * sr + 0.586811e0 * sg + 0.11435e0 * sb AS sl, 0.298839e0 * dr + 0.586811e0 * dg + 0.11435e0 * db AS dl, CAST(trunc((0.212656e0 * sr + 0.715158e0 * sg + 0.072186e0 * sb) * 65535e0 - 32768e0) AS BIGINT) AS step FROM a)"
+_sector = lambda order: "CASE " + " ".join(f"WHEN h < {i + 1} THEN {o}" for i, o in enumerate(order[:5])) + f" ELSE {order[5]} END"
+_prism = f"m AS (SELECT *, c * (1 - abs(h - 2 * floor(h / 2) - 1)) AS z FROM n), o AS (SELECT *, {_sector(('c', 'z', '0e0', '0e0', 'z', 'c'))} AS r0, {_sector(('z', 'c', 'c', 'z', '0e0', '0e0'))} AS g0, {_sector(('0e0', '0e0', 'z', 'c', 'c', 'z'))} AS b0 FROM m), q AS (SELECT *, l - 0.298839e0 * r0 - 0.586811e0 * g0 - 0.11435e0 * b0 AS up FROM o)"
+for _name, _h, _c, _l in (("hue", "sh", "dc", "dl"), ("saturate", "dh", "sc", "dl"), ("luminize", "dh", "dc", "sl"), ("colorize", "sh", "sc", "dl"), ("modulate", "dh", "dc * 0.8e0", "dl + 0.9e0 * step / 32768e0")):
+    _stays = "sa = 0 OR step = 0" if _name == "modulate" else "sa = 0"
+    _alone = "" if _name == "modulate" else "WHEN da = 0 THEN s{c} "
+    add(
+        f"composite_{_name}", lambda s, d, n=_name: compose.composite_colour(_colour_pairs(s, d, True), n, 90.0, 80.0).select("image_id", "y", "x", "r", "g", "b", "a"),
+        f"WITH {_hcl}, n AS (SELECT *, {_h} AS h, {_c} AS c, {_l} AS l FROM b), {_prism} SELECT image_id, y, x, {', '.join(r4(f'CASE WHEN {_stays} THEN d{c} {_alone.format(c=c)}ELSE {c}0 + up END', c, 9) for c in 'rgb')}, {'da' if _name == 'modulate' else 'greatest(sa, da)'} AS a FROM q", 9,
+    )
+for _name, _of in (("copy_red", "r"), ("copy_cyan", "r"), ("copy_green", "g"), ("copy_magenta", "g"), ("copy_blue", "b"), ("copy_yellow", "b")):
+    add(f"composite_{_name}", lambda s, d, n=_name: compose.composite_colour(_colour_pairs(s, d), n).select("image_id", "y", "x", "r", "g", "b", "a"), f"SELECT image_id, y, x, {', '.join(r4(('s' if c == _of else 'd') + c, c, 9) for c in 'rgb')}, da AS a FROM {_cp}", 9)
+_brighter = "0.212656e0 * sr + 0.715158e0 * sg + 0.072186e0 * sb > 0.212656e0 * dr + 0.715158e0 * dg + 0.072186e0 * db"
+for _name, _made in (("lighten_intensity", f"CASE WHEN {_brighter} THEN s{{c}} ELSE d{{c}} END"), ("rmse", "sqrt(pow(sr - dr, 2) + pow(sg - dg, 2) + pow(sb - db, 2) / 3)")):
+    add(f"composite_{_name}", lambda s, d, n=_name: compose.composite_colour(_colour_pairs(s, d), n).select("image_id", "y", "x", "r", "g", "b", "a"), f"SELECT image_id, y, x, {', '.join(r4('CASE WHEN sa = 0 THEN d' + c + ' WHEN da = 0 THEN s' + c + ' ELSE ' + _made.format(c=c) + ' END', c, 9) for c in 'rgb')}, greatest(sa, da) AS a FROM {_cp}", 9)
+add("composite_change_mask", lambda s, d: compose.composite_colour(_colour_pairs(s, d), "change_mask").select("image_id", "y", "x", "r", "g", "b", "a"), f"SELECT image_id, y, x, {', '.join(r4('d' + c, c, 9) for c in 'rgb')}, CASE WHEN sr = dr AND sg = dg AND sb = db THEN 0e0 ELSE da END AS a FROM {_cp}", 9)
