@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -28,6 +28,8 @@ def rectangle(width: int, height: int) -> list[tuple[int, int, float]]:
     return [(dy, dx, 1.0) for dy in range(-(height // 2), height - height // 2) for dx in range(-(width // 2), width - width // 2)]
 
 
+#: The median; where that is the least or the largest of the samples, the next one inwards.
+_NONPEAK = "transform(array(named_struct('s', array_sort(collect_list(n)), 'm', element_at(array_sort(collect_list(n)), int(count(n) div 2) + 1))), t -> CASE WHEN t.m = t.s[0] THEN coalesce(array_min(filter(t.s, e -> e > t.m)), t.m) WHEN t.m = element_at(t.s, -1) THEN coalesce(array_max(filter(t.s, e -> e < t.m)), t.m) ELSE t.m END)[0]"
 #: Sliding statistics over the samples n of a window.
 STATISTICS = {
     "mean": "avg(n)",
@@ -38,7 +40,7 @@ STATISTICS = {
     "rms": "sqrt(avg(n * n))",
     "standard_deviation": "sqrt(greatest(avg(n * n) - avg(n) * avg(n), 0e0))",
     "median": "element_at(array_sort(collect_list(n)), int(count(n) div 2) + 1)",
-    "nonpeak": "element_at(array_sort(collect_list(n)), int(count(n) div 2) + 1)",
+    "nonpeak": _NONPEAK,
     "mode": "min_by(n, n)",
 }
 
@@ -150,6 +152,77 @@ SHAPES = {
 }
 
 
+def _ball(radius: float, inside) -> list[tuple[int, int, float]]:
+    r = int(radius)
+    return [(dy, dx, 1.0) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if inside(abs(dy), abs(dx))]
+
+
+def diamond(radius: int) -> list[tuple[int, int, float]]:
+    return _ball(radius, lambda a, b: a + b <= radius)
+
+
+def disk(radius: float) -> list[tuple[int, int, float]]:
+    return _ball(radius, lambda a, b: a * a + b * b <= radius * radius)
+
+
+def octagon(radius: int) -> list[tuple[int, int, float]]:
+    return _ball(radius, lambda a, b: a + b <= radius + radius // 2)
+
+
+def ring(inner: float, outer: float) -> list[tuple[int, int, float]]:
+    return _ball(outer, lambda a, b: inner * inner < a * a + b * b <= outer * outer)
+
+
+SHAPES |= {"diamond": diamond(2), "disk": disk(2.5), "octagon": octagon(2), "ring": ring(1.0, 2.5)}
+#: Patterns of set (1) and unset (0) neighbours; None is any.
+PATTERNS = {
+    "diagonals": [[0, 0, 0], [0, None, 1], [1, 1, None]],
+    "line_ends": [[0, 0, None], [0, 1, 1], [0, 0, None]],
+    "line_junctions": [[1, None, 1], [None, 1, None], [None, 1, None]],
+    "ridges": [[0, 1, 0]],
+}
+
+
+def turned(pattern: list[list]) -> list[list[list]]:
+    """A pattern and its quarter turns."""
+    out = [pattern]
+    for _ in range(3):
+        out.append([list(row) for row in zip(*out[-1][::-1], strict=True)])
+    return out
+
+
+def hit_and_miss(df: DataFrame, patterns: list[list[list]], key: str = "image_id") -> DataFrame:
+    """How far the least of a pattern's set neighbours is above the largest of its unset ones, 0 at least; of several patterns the largest. One join with the cells of all patterns."""
+    offsets = [[(i - len(p) // 2, j - len(p[0]) // 2, c) for i, row in enumerate(p) for j, c in enumerate(row) if c is not None] for p in patterns]
+    cells = sorted({c[:2] for o in offsets for c in o})
+    near = neighbours(df, [(dy, dx, float(i)) for i, (dy, dx) in enumerate(cells)], key=key)
+
+    def side(offset: list[tuple], value: int) -> Column:
+        return F.when(F.col("k").isin([float(cells.index(c[:2])) for c in offset if c[2] == value]), F.col("n"))
+
+    fits = [F.coalesce(F.min(side(o, 1)), F.lit(65535.0)) - F.coalesce(F.max(side(o, 0)), F.lit(0.0)) for o in offsets]
+    return near.groupBy(key, "y", "x").agg(F.greatest(F.lit(0.0), F.lit(0.0), *fits).alias("v"))
+
+
+def thinned(df: DataFrame, patterns: list[list[list]], thicken: bool = False, key: str = "image_id") -> DataFrame:
+    """A pass for each pattern in turn: what fits it is taken from the samples, or added to them."""
+    for p in patterns:
+        fit = hit_and_miss(df, [p], key).withColumnRenamed("v", "fit")
+        df = df.join(fit, [key, "y", "x"]).withColumn("v", F.col("v") + F.col("fit") if thicken else F.col("v") - F.col("fit")).drop("fit")
+    return df
+
+
+def by_intensity(df: DataFrame, method: str, shape: str = "square", key: str = "image_id") -> DataFrame:
+    """dilate, erode, open, close by whole pixels: the neighbour whose luma of r, g, b is the largest or least replaces the pixel. Of equal ones the largest or least colour."""
+    steps = {"dilate": ("max",), "erode": ("min",), "open": ("min", "max"), "close": ("max", "min")}[method]
+    for step in steps:
+        sign = -1 if step == "max" else 1
+        whole = df.select(key, "y", "x", F.struct((0.212656 * F.col("r") + 0.715158 * F.col("g") + 0.072186 * F.col("b")).alias("i"), "r", "g", "b").alias("p"))
+        near = neighbours(whole, [(sign * dy, sign * dx, k) for dy, dx, k in SHAPES[shape]], "p", key)
+        df = near.groupBy(key, "y", "x").agg({"max": F.max, "min": F.min}[step]("n").alias("p")).select(key, "y", "x", "p.r", "p.g", "p.b")
+    return df
+
+
 def morphology(df: DataFrame, method: str, shape: str = "square", key: str = "image_id") -> DataFrame:
     """dilate, erode, open, close, smooth, and the differences edge_in, edge_out, edge, top_hat, bottom_hat."""
     cells = SHAPES[shape]

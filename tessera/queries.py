@@ -485,3 +485,44 @@ _brighter = "0.212656e0 * sr + 0.715158e0 * sg + 0.072186e0 * sb > 0.212656e0 *
 for _name, _made in (("lighten_intensity", f"CASE WHEN {_brighter} THEN s{{c}} ELSE d{{c}} END"), ("rmse", "sqrt(pow(sr - dr, 2) + pow(sg - dg, 2) + pow(sb - db, 2) / 3)")):
     add(f"composite_{_name}", lambda s, d, n=_name: compose.composite_colour(_colour_pairs(s, d), n).select("image_id", "y", "x", "r", "g", "b", "a"), f"SELECT image_id, y, x, {', '.join(r4('CASE WHEN sa = 0 THEN d' + c + ' WHEN da = 0 THEN s' + c + ' ELSE ' + _made.format(c=c) + ' END', c, 9) for c in 'rgb')}, greatest(sa, da) AS a FROM {_cp}", 9)
 add("composite_change_mask", lambda s, d: compose.composite_colour(_colour_pairs(s, d), "change_mask").select("image_id", "y", "x", "r", "g", "b", "a"), f"SELECT image_id, y, x, {', '.join(r4('d' + c, c, 9) for c in 'rgb')}, CASE WHEN sr = dr AND sg = dg AND sb = db THEN 0e0 ELSE da END AS a FROM {_cp}", 9)
+
+
+# ---- more shapes, kernels and patterns: SQL with the cells written out ---------------------------------------------------
+_DRAWN = {  # around the middle
+    "diamond": "..#..|.###.|#####|.###.|..#..", "disk": ".###.|#####|#####|#####|.###.", "octagon": ".###.|#####|#####|#####|.###.", "ring": ".###.|##.##|#...#|##.##|.###.",
+}
+for _shape, _art in _DRAWN.items():
+    _cells = [(i - 2, j - 2, 1.0) for i, row in enumerate(_art.split("|")) for j, c in enumerate(row) if c == "#"]
+    for _m, _agg in (("dilate", "max"), ("erode", "min")):
+        add(f"morphology_{_m}_{_shape}", lambda s, d, m=_m, h=_shape: windows.morphology(embedding_raster(s, d), m, h), f"WITH e0 AS (SELECT * FROM {SQL['emb']}) SELECT image_id, y, x, {r4('v', 'v')} FROM {_morph('e0', _cells, _agg)}")
+for _name, _k in {"unity": [[1.0]], "roberts": [[0.0, 0.0, 0.0], [1.0, -1.0, 0.0], [0.0, 0.0, 0.0]], "compass": [[1.0, 1.0, -1.0], [1.0, -2.0, -1.0], [1.0, 1.0, -1.0]], "freichen": [[1.0, 0.0, -1.0], [2.0**0.5, 0.0, -(2.0**0.5)], [1.0, 0.0, -1.0]]}.items():
+    _mid = len(_k) // 2
+    add(f"convolve_{_name}", lambda s, d, k=_k: windows.convolve(embedding_raster(s, d), k), f"SELECT image_id, y, x, {r4('sum(n * k)', 'v', 3)} FROM {_near([(_mid - i, _mid - j, c) for i, row in enumerate(_k) for j, c in enumerate(row) if c])} GROUP BY image_id, y, x", 3)
+add("statistic_nonpeak", lambda s, d: windows.statistic(embedding_raster(s, d).withColumn("v", F.floor(F.col("v") / 8192.0) * 8192.0), "nonpeak"), f"WITH n AS (SELECT image_id, y, x, floor(n / 8192e0) * 8192e0 AS n FROM {_near(_box)}), m AS (SELECT image_id, y, x, (list(n ORDER BY n))[5] AS m, min(n) AS low, max(n) AS high FROM n GROUP BY image_id, y, x) SELECT image_id, y, x, CASE WHEN m = low AND m < high THEN min(n) FILTER (n > m) WHEN m = high AND m > low THEN max(n) FILTER (n < m) ELSE m END AS v FROM m JOIN n USING (image_id, y, x) GROUP BY image_id, y, x, m, low, high")
+
+
+def _fits(source: str, on: str, off: str) -> str:
+    """SQL of one pattern: lists of (dy, dx) that are set and unset."""
+    side = lambda agg, cells: f"(SELECT e.image_id, e.y, e.x, {agg}(n.v) AS v FROM {source} e, (VALUES {cells}) o(dy, dx) JOIN {source} n ON n.image_id = e.image_id AND n.y = greatest(0, least(7, e.y + o.dy)) AND n.x = greatest(0, least(7, e.x + o.dx)) GROUP BY e.image_id, e.y, e.x)"
+    return f"(SELECT image_id, p.y AS y, p.x AS x, greatest(0, p.v - q.v) AS v FROM {side('min', on)} p JOIN {side('max', off)} q USING (image_id, y, x))".replace("p.y AS y, p.x AS x", "y, x")
+
+
+_RIDGE, _ENDS = ("(0, 0)", "(0, -1), (0, 1)"), ("(0, 0), (0, 1)", "(-1, -1), (-1, 0), (0, -1), (1, -1), (1, 0)")
+_PATTERN_SQL = {"ridges": _RIDGE, "line_ends": _ENDS, "diagonals": ("(0, 1), (1, -1), (1, 0)", "(-1, -1), (-1, 0), (-1, 1), (0, -1)")}
+for _name, (_on, _off) in _PATTERN_SQL.items():
+    add(f"hit_and_miss_{_name}", lambda s, d, n=_name: windows.hit_and_miss(embedding_raster(s, d), [windows.PATTERNS[n]]), f"WITH e0 AS (SELECT * FROM {SQL['emb']}) SELECT image_id, y, x, {r4('v', 'v')} FROM {_fits('e0', _on, _off)}")
+    for _m, _sign in (("thinning", "-"), ("thicken", "+")):
+        add(f"morphology_{_m}_{_name}", lambda s, d, n=_name, m=_m: windows.thinned(embedding_raster(s, d), [windows.PATTERNS[n]], m == "thicken"), f"WITH e0 AS (SELECT * FROM {SQL['emb']}) SELECT image_id, y, x, {r4(f'e0.v {_sign} f.v', 'v')} FROM e0 JOIN {_fits('e0', _on, _off)} f USING (image_id, y, x)")
+add("hit_and_miss_line_junctions", lambda s, d: windows.hit_and_miss(embedding_raster(s, d), [windows.PATTERNS["line_junctions"]]), f"WITH e0 AS (SELECT * FROM {SQL['emb']}) SELECT image_id, y, x, {r4('v', 'v')} FROM {_morph('e0', [(-1, -1, 1), (-1, 1, 1), (0, 0, 1), (1, 0, 1)], 'min')}")
+add("hit_and_miss_ridges_turned", lambda s, d: windows.hit_and_miss(embedding_raster(s, d), windows.turned(windows.PATTERNS["ridges"])), f"WITH e0 AS (SELECT * FROM {SQL['emb']}) SELECT image_id, y, x, {r4('max(v)', 'v')} FROM ({' UNION ALL '.join('SELECT * FROM ' + _fits('e0', '(0, 0)', o) for o in ('(0, -1), (0, 1)', '(-1, 0), (1, 0)'))}) GROUP BY image_id, y, x")
+_three = f"(SELECT image_id, y, x, v AS r, 65535e0 - v / 2 AS g, x * 9000e0 AS b FROM {SQL['emb']})"
+
+
+def _by_luma(source: str, up: bool) -> str:
+    place = "e.y - o.i AND n.x = e.x - o.j" if up else "e.y + o.i AND n.x = e.x + o.j"
+    edge = place.replace("n.x = ", "").split(" AND ")
+    return f"(SELECT e.image_id, e.y, e.x, unnest({'max' if up else 'min'}({{'i': 0.212656e0 * n.r + 0.715158e0 * n.g + 0.072186e0 * n.b, 'r': n.r, 'g': n.g, 'b': n.b}})) FROM {source} e, (SELECT a.i - 1 AS i, c.i - 1 AS j FROM range(3) a(i), range(3) c(i)) o JOIN {source} n ON n.image_id = e.image_id AND n.y = greatest(0, least(7, {edge[0]})) AND n.x = greatest(0, least(7, {edge[1]})) GROUP BY e.image_id, e.y, e.x)"
+
+
+for _m, _sql in {"dilate": _by_luma(_three, True), "erode": _by_luma(_three, False), "open": _by_luma(_by_luma(_three, False), True), "close": _by_luma(_by_luma(_three, True), False)}.items():
+    add(f"morphology_{_m}_intensity", lambda s, d, m=_m: windows.by_intensity(embedding_raster(s, d).select("image_id", "y", "x", F.col("v").alias("r"), (65535.0 - F.col("v") / 2).alias("g"), (F.col("x") * 9000.0).alias("b")), m), f"SELECT image_id, y, x, {', '.join(r4(c, c) for c in 'rgb')} FROM {_sql}")
