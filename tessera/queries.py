@@ -288,12 +288,12 @@ add("distort_affine", lambda s, d: resample.distort(embedding_raster(s, d), 8, 8
 add("distort_swirl", lambda s, d: resample.distort(embedding_raster(s, d), 8, 8, *resample.swirl(8, 8, 60.0)))
 add("distort_implode", lambda s, d: resample.distort(embedding_raster(s, d), 8, 8, *resample.implode(8, 8, 0.5)))
 add("distort_wave", lambda s, d: resample.distort(embedding_raster(s, d), 8, 8, *resample.wave(1.5, 6.0)), f"WITH g AS (SELECT image_id, y, x, y - 1.5e0 * sin(2 * pi() * x / 6e0) AS sy FROM {SQL['emb']}), t AS (SELECT *, floor(sy) + k AS iy FROM g, (VALUES (0), (1)) u(k)) SELECT t.image_id, t.y, t.x, {r4('sum((1 - abs(sy - iy)) * coalesce(e.v, 0))', 'v', 3)} FROM t LEFT JOIN {SQL['emb']} e ON e.image_id = t.image_id AND e.y = t.iy AND e.x = t.x GROUP BY t.image_id, t.y, t.x", 3)
-_points = [(1.0, 1.0, 10000.0), (6.0, 2.0, 50000.0), (3.0, 6.0, 30000.0)]
-_d2 = [f"((x - {a}e0) * (x - {a}e0) + (y - {b}e0) * (y - {b}e0))" for a, b, _ in _points]
+_colored = [(1.0, 1.0, 10000.0), (6.0, 2.0, 50000.0), (3.0, 6.0, 30000.0)]
+_d2 = [f"((x - {a}e0) * (x - {a}e0) + (y - {b}e0) * (y - {b}e0))" for a, b, _ in _colored]
 for _name, _w in (("shepards", "{}"), ("inverse", "sqrt({})")):
     _ws = [f"(1e0 / greatest({_w.format(d)}, 1e-12))" for d in _d2]
-    add(f"sparse_color_{_name}", lambda s, d, n=_name: resample.sparse_color(embedding_raster(s, d).select("image_id", "y", "x"), _points, n), f"SELECT image_id, y, x, {r4('(' + ' + '.join(f'{w} * {p[2]}e0' for w, p in zip(_ws, _points, strict=True)) + ') / (' + ' + '.join(_ws) + ')', 'v')} FROM {SQL['emb']}")
-add("sparse_color_voronoi", lambda s, d: resample.sparse_color(embedding_raster(s, d).select("image_id", "y", "x"), _points, "voronoi"), f"SELECT image_id, y, x, CASE WHEN {_d2[0]} <= {_d2[1]} AND {_d2[0]} <= {_d2[2]} THEN 10000e0 WHEN {_d2[1]} <= {_d2[2]} THEN 50000e0 ELSE 30000e0 END AS v FROM {SQL['emb']}")
+    add(f"sparse_color_{_name}", lambda s, d, n=_name: resample.sparse_color(embedding_raster(s, d).select("image_id", "y", "x"), _colored, n), f"SELECT image_id, y, x, {r4('(' + ' + '.join(f'{w} * {p[2]}e0' for w, p in zip(_ws, _colored, strict=True)) + ') / (' + ' + '.join(_ws) + ')', 'v')} FROM {SQL['emb']}")
+add("sparse_color_voronoi", lambda s, d: resample.sparse_color(embedding_raster(s, d).select("image_id", "y", "x"), _colored, "voronoi"), f"SELECT image_id, y, x, CASE WHEN {_d2[0]} <= {_d2[1]} AND {_d2[0]} <= {_d2[2]} THEN 10000e0 WHEN {_d2[1]} <= {_d2[2]} THEN 50000e0 ELSE 30000e0 END AS v FROM {SQL['emb']}")
 
 # ---- regions and spectra -----------------------------------------------------------------------------------------
 _edges = "WITH RECURSIVE p AS (SELECT image_id, y, x, v > 33000 AS k FROM " + SQL["emb"] + "), r(image_id, y, x, k, l) AS (SELECT image_id, y, x, k, y * 1048576 + x FROM p UNION SELECT p.image_id, p.y, p.x, p.k, r.l FROM r JOIN p ON p.image_id = r.image_id AND p.k = r.k AND abs(p.y - r.y) + abs(p.x - r.x) = 1), c AS (SELECT image_id, y, x, k, min(l) AS l FROM r GROUP BY image_id, y, x, k) "
