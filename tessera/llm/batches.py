@@ -43,3 +43,11 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
     if trim is not None:
         trim(0)
+
+
+def keep_freed(most: int = 64 << 20) -> None:
+    """Lets the C library keep freed memory for the next arrays, so that kernels that make the same ones again and again meet no page faults; ``release`` gives it back."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        mallopt(-1, most)  # M_TRIM_THRESHOLD
+        mallopt(-3, most // 2)  # M_MMAP_THRESHOLD

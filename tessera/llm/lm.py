@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices, text_bytes
+from .batches import keep_freed, release, slices, text_bytes
 from .tables import Tables, largest
 from .words import Words, words
 
@@ -38,8 +38,10 @@ FREQUENT = 1 << 18
 HELD = 1 << 20
 #: Share of the corpus's word counts in each word's probability.
 MIXED = 0.15
-#: Of so many training texts, one is trained on after the start, at this rate.
-ONE_IN, RATE = 16, 0.001
+#: Rate at which all training texts are trained on after the start.
+RATE = 0.001
+#: Ids whose neighbours' counts make a row of the tasks' sums.
+CHUNK_IDS = 64
 #: Weights in a row of the tasks' sums.
 CHUNK = 1 << 14
 
@@ -186,45 +188,57 @@ class Model:
         w = self.weights
         h0, q, k, v, a, o, h1, z, h2 = self.hidden(x)
         b, n, d = h0.shape
-        flat, t = h2.reshape(-1, d), target.ravel()
-        rows = np.arange(len(t))
-        group, place = self.class_of[t], self.place_of[t]
-        p = _softmax(flat @ w["C"] + w["c"])
-        loss = -np.log(p[rows, group] + 1e-30).sum()
-        p[rows, group] -= 1
-        p /= len(t)
-        g = {"C": flat.T @ p, "c": p.sum(0), "T": np.zeros_like(w["T"]), "t": np.zeros_like(w["t"])}
+        t = target.ravel()
+        # by class, so that each class's rows lie together; the last column takes the biases along
+        order = np.argsort(self.class_of[t].astype(np.uint8), kind="stable")
+        group, place, rows = self.class_of[t][order], self.place_of[t][order], np.arange(len(t))
+        wide = np.ones((len(t), d + 1), h2.dtype)
+        wide[:, :d] = h2.reshape(-1, d)[order]
+        cuts = np.searchsorted(group, np.arange(CLASSES + 1))
+        own = [(c, i, j) for c, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
+        p = wide @ np.vstack([w["C"], w["c"]])
+        s = np.empty((len(t), w["t"].shape[1]), p.dtype)
+        inner_of = np.concatenate([w["T"], w["t"][:, None]], axis=1)
+        for c, i, j in own:
+            np.matmul(wide[i:j], inner_of[c], out=s[i:j])
+        loss = 0.0
+        for y, at in ((p, group), (s, place)):
+            np.exp(np.minimum(y, 80, out=y), out=y)
+            total = y @ np.ones(y.shape[1], y.dtype)
+            loss -= np.log(y[rows, at] / total + 1e-30).sum()
+            y *= (1 / (total * len(t)))[:, None].astype(y.dtype)
+            y[rows, at] -= y.dtype.type(1 / len(t))
+        outer = wide.T @ p
+        g = {"C": outer[:d], "c": outer[d], "T": np.zeros_like(w["T"]), "t": np.zeros_like(w["t"])}
         dh = p @ w["C"].T
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[cuts[c] : cuts[c + 1]]
-            if len(own):
-                s = _softmax(flat[own] @ w["T"][c] + w["t"][c])
-                at = np.arange(len(own))
-                loss -= np.log(s[at, place[own]] + 1e-30).sum()
-                s[at, place[own]] -= 1
-                s /= len(t)
-                g["T"][c], g["t"][c] = flat[own].T @ s, s.sum(0)
-                dh[own] += s @ w["T"][c].T
-        dh2 = dh.reshape(b, n, d)
+        for c, i, j in own:
+            inner = wide[i:j].T @ s[i:j]
+            g["T"][c], g["t"][c] = inner[:d], inner[d]
+            dh[i:j] += s[i:j] @ w["T"][c].T
+        flat = np.empty_like(dh)
+        flat[order] = dh
         mul = lambda u, y: u.reshape(-1, u.shape[-1]).T @ y.reshape(-1, y.shape[-1])
-        g["B"] = mul(z, dh2)
-        dz = (dh2 @ w["B"].T) * (z > 0)
-        g["A"], g["a"] = mul(h1, dz), dz.sum((0, 1))
-        dh1 = dh2 + dz @ w["A"].T
-        g["O"] = mul(o, dh1)
-        do = dh1 @ w["O"].T
+        g["B"] = mul(z, flat)
+        dz = flat @ w["B"].T
+        dz *= z.reshape(dz.shape) > 0
+        g["A"], g["a"] = mul(h1, dz), dz.sum(0)
+        flat += dz @ w["A"].T
+        g["O"] = mul(o, flat)
+        do = (flat @ w["O"].T).reshape(b, n, d)
         da = do @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(d**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["Q"], g["K"], g["V"] = mul(h0, dq), mul(h0, dk), mul(h0, dv)
-        dh0 = dh1 + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
+        da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+        da *= a
+        da *= da.dtype.type(d**-0.5)
+        dqkv = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], axis=2).reshape(-1, 3 * d)
+        g["Q"], g["K"], g["V"] = np.split(mul(h0, dqkv), 3, axis=1)
+        flat += dqkv @ np.concatenate([w["Q"], w["K"], w["V"]], axis=1).T
         g["P"] = np.zeros_like(w["P"])
-        g["P"][:n] = dh0.sum(0)
+        g["P"][:n] = flat.reshape(b, n, d).sum(0)
         g["E"] = np.zeros_like(w["E"])
-        np.add.at(g["E"], x.ravel(), dh0.reshape(-1, d))
+        ids = x.ravel()
+        order = np.argsort(ids.astype(np.uint16) if len(w["E"]) <= 1 << 16 else ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        g["E"][ids[order[first]]] = np.add.reduceat(flat[order], first, axis=0)
         return float(loss) / len(t), g
 
     def fit(self, x: np.ndarray, target: np.ndarray, rate: float) -> None:
@@ -235,9 +249,18 @@ class Model:
         self.steps += 1
         _, grads = self.step(x, target)
         for k, g in grads.items():
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            self.weights[k] -= (rate * (first[k] / (1 - 0.9**self.steps)) / (np.sqrt(second[k] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
+            first[k] *= 0.9
+            first[k] += 0.1 * g
+            second[k] *= 0.99
+            g = np.multiply(g, g)
+            g *= 0.01
+            second[k] += g
+            np.sqrt(second[k], out=g)
+            g *= (1 - 0.99**self.steps) ** -0.5
+            g += 1e-8
+            np.divide(first[k], g, out=g)
+            g *= rate / (1 - 0.9**self.steps)
+            self.weights[k] -= g
 
     def score(self, whole: np.ndarray, cuts: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 of the probability of each word of texts that lie one after the other; ``cuts``: where these begin, and the end of all; ``word``: the word of each id."""
@@ -262,12 +285,42 @@ class Model:
         return out
 
 
-def classes(whole: np.ndarray, n: int, dims: int = 6, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each id and its place there: a balanced split by the ids that come before and after it."""
-    rng = np.random.default_rng(seed)
-    counts = np.zeros((n, n), np.float32)
-    if len(whole) > 1:
-        np.add.at(counts, (whole[1:], whole[:-1]), 1)
+def neighbours(docs: DataFrame, subwords: Subwords) -> np.ndarray:
+    """How often each id (row) comes behind each other one (column) in all of ``docs`` (__text)."""
+    n = subwords.ids + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(n * n, np.int32)
+        for part in slices(batches, "__text", SLICE_BYTES):
+            data, offsets = text_bytes(part.column("__text"))
+            ids = np.concatenate([[subwords.ids], subwords.encode(words(data, offsets), data).texts()[0]])
+            np.add.at(counts, ids[1:] * n + ids[:-1], 1)
+        for chunk, a in enumerate(range(0, len(counts), CHUNK_IDS * n)):
+            own = counts[a : a + CHUNK_IDS * n]
+            at = np.flatnonzero(own).astype(np.int32)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([own[at].tobytes()], pa.binary())], names=["chunk", "cells", "n"])
+        del counts
+        release()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        added: dict[int, np.ndarray] = {}
+        for part in batches:
+            for chunk, cells, n_own in zip(*(part.column(c) for c in ("chunk", "cells", "n")), strict=True):
+                mine = added.setdefault(chunk.as_py(), np.zeros(CHUNK_IDS * n, np.int64))
+                mine[np.frombuffer(cells.as_buffer(), np.int32)] += np.frombuffer(n_own.as_buffer(), np.int32)
+        for chunk, mine in added.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([mine.astype(np.float32).tobytes()], pa.binary())], names=["chunk", "n"])
+
+    out = np.zeros((-(-n // CHUNK_IDS) * CHUNK_IDS, n), np.float32)
+    for r in docs.mapInArrow(run, "chunk int, cells binary, n binary").repartition("chunk").mapInArrow(add, "chunk int, n binary").toLocalIterator():
+        out[r["chunk"] * CHUNK_IDS : (r["chunk"] + 1) * CHUNK_IDS] = np.frombuffer(r["n"], np.float32).reshape(CHUNK_IDS, n)
+    return out[:n]
+
+
+def classes(counts: np.ndarray, dims: int = 6, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each id and its place there: a balanced split by the ids that come before and after it, of which ``counts`` has the numbers."""
+    rng, n = np.random.default_rng(seed), len(counts)
     total = counts.sum(1, keepdims=True)
     m = np.sqrt(counts / np.maximum(total, 1))
     basis = np.linalg.qr(m.T @ (m @ rng.standard_normal((n, dims)).astype(np.float32)) + 1e-6 * rng.standard_normal((n, dims)).astype(np.float32))[0]
@@ -288,9 +341,12 @@ def classes(whole: np.ndarray, n: int, dims: int = 6, seed: int = 5) -> tuple[np
     return class_of, place_of
 
 
-def train(whole: np.ndarray, n: int, steps: int = 2200, batch: int = 192, dims: int = 24, hidden: int = 48, seed: int = 9) -> Model:
-    """Adam on random windows of texts that lie one after the other; ``n`` ids with the end."""
-    class_of, place_of = classes(whole, n)
+def train(whole: np.ndarray, n: int, steps: int = 2200, batch: int = 192, dims: int = 24, hidden: int = 48, seed: int = 9, counts: np.ndarray | None = None) -> Model:
+    """Adam on random windows of texts that lie one after the other; ``n`` ids with the end; ``counts``: of each id's neighbours, by default those of these texts."""
+    if counts is None:
+        counts = np.zeros((n, n), np.float32)
+        np.add.at(counts, (whole[1:], whole[:-1]), 1)
+    class_of, place_of = classes(counts)
     model = Model.new(class_of, place_of, dims, hidden, seed)
     rng = np.random.default_rng(seed)
     whole = np.concatenate([np.full(1, n - 1), whole])
@@ -307,15 +363,17 @@ def train_on(docs: DataFrame, subwords: Subwords, model: Model, batch: int = 192
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         own = copy.deepcopy(shared.value)
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        total, n = np.zeros(sum(v.size for v in own.weights.values())), 0
+        total, n = {k: np.zeros(v.shape) for k, v in own.weights.items()}, 0
         ids, held = np.full(1, subwords.ids), np.empty((0, LENGTH + 1), np.int64)
 
         def fit(windows: np.ndarray) -> None:
             nonlocal n
             own.fit(windows[:, :-1], windows[:, 1:], rate)
-            total[:] += len(windows) * np.concatenate([v.ravel() for v in own.weights.values()])
+            for k, v in own.weights.items():
+                total[k] += len(windows) * v
             n += len(windows)
 
         for part in slices(batches, "__text", SLICE_BYTES):
@@ -329,8 +387,11 @@ def train_on(docs: DataFrame, subwords: Subwords, model: Model, batch: int = 192
                 held = held[batch:]
         if len(held):
             fit(held)
+        if len(ids) > 1:  # the last window is shorter
+            fit(ids[None])
         if n:
-            sums = [total[i : i + CHUNK].tobytes() for i in range(0, len(total), CHUNK)]
+            flat = np.concatenate([v.ravel() for v in total.values()])
+            sums = [flat[i : i + CHUNK].tobytes() for i in range(0, len(flat), CHUNK)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(np.full(len(sums), n)), pa.array(sums, pa.binary())], names=["chunk", "n", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,9 +477,10 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
 
     Words are counted over all training rows, those whose key's crc32 modulo 7 isn't 2 (a null key counts
     as an empty text), and the counts are half of the model: a word's probability is the mean of the network's
-    and its share of the training words; those beyond the FREQUENT most frequent get theirs by a join. The network
-    starts from at most ``sample`` of them, those whose hashes are lowest, whole texts until they have ``sample_chars``
-    characters; then it is trained on every window of one in ONE_IN of all training texts. A null
+    and its share of the training words; those beyond the FREQUENT most frequent get theirs by a join. The network's
+    classes come from the neighbours of all ids of all training texts. It is trained first on at most ``sample`` of them,
+    those whose hashes are lowest, whole texts until they have ``sample_chars`` characters, which gives the tasks a common
+    beginning, and then on every window of all training texts. A null
     text counts as empty: it is one end. Rows with one key are rows of their own.
     """
     subwords = Subwords(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids)
@@ -438,12 +500,13 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
     training = docs.where((crc % 7 != 2) & (F.length("__text") > 0)).select("__text", F.xxhash64("__key", "__text").alias("__h"))
     texts = _start(training, sample, sample_chars)
     data, offsets = text_bytes(pa.array(texts, pa.string()))
-    model = train(subwords.encode(words(data, offsets), data).texts()[0], ids + 1, **options)
-    model, _ = train_on(training.where(F.pmod("__h", F.lit(ONE_IN)) == 0), subwords, model)
+    model = train(subwords.encode(words(data, offsets), data).texts()[0], ids + 1, counts=neighbours(training, subwords), **options)
+    model, _ = train_on(training, subwords, model)
     shared = df.sparkSession.sparkContext.broadcast((model, hashes[order], n_top[order]))
     end = float(np.log10(n_texts + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         model, hashes, counts = shared.value
         logs = np.log10(counts + 1.0)
         at_row = TaskContext.get().partitionId() << 36

@@ -203,3 +203,25 @@ def test_mixed_score_against_a_plain_loop(spark):
             own = sum(x for x, o in zip(logs, [*of, len(words(t))], strict=True) if o == k)
             total += math.log10((1 - lm.MIXED) * math.exp(own) + lm.MIXED * counts[w] / sum(counts.values()))
         assert math.isclose(out[d], total, rel_tol=1e-3, abs_tol=1e-3), (d, t)
+
+
+def test_the_network_learns_from_every_training_text(spark, monkeypatch):
+    """All windows of all training texts are trained on, and the classes come from all of their neighbours, however small the start is."""
+    docs = [(i, f"{chr(97 + i % 26)}{i} some words of a text, " * (1 + i % 7)) for i in range(300)] + [(300, None), (301, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    subwords = lm.Subwords(lm.public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), 4096)
+    encoding, _ = lm._encoding(subwords.path, subwords.ids)
+    training = [t for d, t in docs if t and zlib.crc32(str(d).encode()) % 7 != 2]
+    ids = [[i for w in words(t) for i in encoding.encode_ordinary(" " + w)] + [4096] for t in training]
+    pairs = Counter(p for row in ids for p in zip(row[1:], row[:-1], strict=True))
+    pairs.update((row[0], 4096) for row in ids)
+    found = lm.neighbours(spark.createDataFrame([(t,) for t in training], "__text string").repartition(4), subwords)
+    assert {(int(a), int(b)): int(found[a, b]) for a, b in zip(*found.nonzero(), strict=True)} == pairs
+    windows, given = [], []
+    train, train_on = lm.train, lm.train_on
+    monkeypatch.setattr(lm, "train_on", lambda *args, **kwargs: (made := train_on(*args, **kwargs), windows.append(made[1]))[0])
+    monkeypatch.setattr(lm, "train", lambda *args, **kwargs: (given.append(kwargs["counts"]), train(*args, **kwargs))[1])
+    lm.score(df, sample=5, steps=2, batch=8, dims=8, hidden=8).count()
+    total = sum(map(len, ids))
+    assert 0 <= windows[0] - -(-total // lm.LENGTH) < df.rdd.getNumPartitions()  # the last window of a task may be shorter
+    assert (given[0] == found).all()
