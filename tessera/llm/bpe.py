@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,9 +31,11 @@ SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 FAMILIAR = regex.compile(r"\A[!-~¡-ɏ]*+\Z")
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 #: Chunks between white space that a task remembers in each of two generations; when the younger is full, the older goes.
-REMEMBERED = 300_000
-#: Texts coded together.
-BATCH_BYTES = 6 << 20
+REMEMBERED = 150_000
+#: Marks of chunks met once; one is remembered when it is met again, as most come once only.
+MARKS = 1 << 22
+#: Texts coded together; what is made of them on the way is some 20 times as large.
+BATCH_BYTES = 2 << 20
 
 OUTPUTS = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_text": pa.string(), "decoded": pa.string()}
 _TYPES = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "ids_text": T.StringType(), "decoded": T.StringType()}
@@ -99,36 +102,42 @@ class Tokenizer:
         vocabulary = model["vocab"]
         end = model["end_of_word_suffix"] or ""
         self.merges = Merges(model["merges"], vocabulary)
-        self.strings = {i: s for s, i in vocabulary.items()}
         letters = byte_letters()
         self.inner, self.last = [vocabulary[x] for x in letters], [vocabulary[x + end] for x in letters]
         split = next(p for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.plain = regex.compile(split["pattern"]["Regex"]).findall
         self.pieces = Library.from_file(path).pre_tokenizer.pre_tokenize_str
         self.byte_of = {x: b for b, x in enumerate(letters)}
-        self.merged: dict[bytes, list[int]] = {}
+        self.merged: dict[bytes, bytes] = {}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        strings = {i: s for s, i in (vocabulary | self.special).items()}
+        #: Each id's vocabulary string, and the id in decimal.
+        self.strings = pa.array([strings.get(i, "") for i in range(max(strings) + 1)], pa.string())
+        self.decimals = pa.array(map(str, range(len(self.strings))), pa.string())
         longest = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, longest))) if longest else None
-        self.young: dict[str, tuple[str, str, int]] = {}
-        self.old: dict[str, tuple[str, str, int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.met = bytearray(MARKS)
 
-    def chunk(self, chunk: str) -> list[int]:
-        """The ids of a normalized chunk without white space."""
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a normalized chunk without white space, four bytes each."""
         if FAMILIAR.search(chunk):
             pieces = [p.encode() for p in self.plain(chunk)]
         else:  # which letters there are depends on the Unicode version; the library's own decides
             pieces = [bytes(map(self.byte_of.__getitem__, p)) for p, _ in self.pieces(chunk)]
-        out: list[int] = []
+        out = []
         for piece in pieces:
             if (ids := self.merged.get(piece)) is None:
                 symbols = [*map(self.inner.__getitem__, piece)]
                 symbols[-1] = self.last[piece[-1]]
-                if len(self.merged) > REMEMBERED:
-                    self.merged.clear()
-                ids = self.merged[piece] = self.merges.apply(symbols)
-            out += ids
-        return out
+                ids = array("i", self.merges.apply(symbols)).tobytes()
+                if self.again(piece):
+                    if len(self.merged) > REMEMBERED:
+                        self.merged.clear()
+                    self.merged[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def normalized(self, text: str) -> str:
         if not text.isascii():
@@ -139,53 +148,68 @@ class Tokenizer:
         text = self.normalized(text)
         return [c for c in SPACE.split(text) if c] if ODD_SPACE.search(text) else text.split()
 
-    def chunk_codes(self, chunk: str) -> tuple[str, str, int]:
-        """A chunk's ids in decimal, its vocabulary strings, both joined with one space, and their number."""
+    def chunk_codes(self, chunk: str) -> bytes:
+        """As ``chunk``, which is asked for those only that aren't remembered."""
         if (found := self.young.get(chunk)) is None:
             if (found := self.old.get(chunk)) is None:
-                ids = self.chunk(chunk)
-                found = " ".join(map(str, ids)), " ".join(map(self.strings.__getitem__, ids)), len(ids)
+                found = self.chunk(chunk)
+                if not self.again(chunk):
+                    return found
             if len(self.young) >= REMEMBERED:
                 self.young, self.old = {}, self.young
             self.young[chunk] = found
         return found
 
+    def again(self, key: str | bytes) -> bool:
+        """Whether the key has been met before, or one with the same mark."""
+        mark = hash(key) % MARKS
+        met, self.met[mark] = self.met[mark], 1
+        return bool(met)
+
     def forget(self) -> None:
         """Gives the memory of what is remembered back: a worker outlives its task, beside others."""
         self.young, self.old, self.merged = {}, {}, {}
+        self.met = bytearray(MARKS)
         release()
 
-    def encode(self, text: str) -> tuple[str, str]:
-        """Ids in decimal and vocabulary strings, both joined with one space."""
-        ids, strings, at = [], [], 0
+    def codes(self, text: str) -> np.ndarray:
+        """The ids of a text, in which special tokens may stand."""
+        ids, at = [], 0
         for m in [*(self.specials.finditer(text) if self.specials else ()), None]:
-            for chunk in self.chunks(text[at : m.start() if m else len(text)]):
-                found = self.chunk_codes(chunk)
-                ids.append(found[0])
-                strings.append(found[1])
+            ids += map(self.chunk_codes, self.chunks(text[at : m.start() if m else len(text)]))
             if m:
-                ids.append(str(self.special[m[0]]))
-                strings.append(m[0])
+                ids.append(array("i", [self.special[m[0]]]).tobytes())
                 at = m.end()
-        return " ".join(ids), " ".join(strings)
+        return np.frombuffer(b"".join(ids), np.int32)
+
+    def encode(self, text: str) -> tuple[str, str]:
+        """Ids in decimal and vocabulary strings, both joined with one space."""
+        ids = self.codes(text)
+        rows = np.array([0, len(ids)], np.int32)
+        return joined(self.decimals, ids, rows)[0].as_py(), joined(self.strings, ids, rows)[0].as_py()
 
-    def encode_batch(self, texts: list[str | None]) -> tuple[pa.Array, pa.Array, pa.Array]:
-        """Ids, vocabulary strings and numbers of tokens of many texts; each distinct chunk is looked up once."""
+    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many texts one after the other, and where each text's begin (one more than texts); each distinct chunk is looked up once."""
         special = {i for i, t in enumerate(texts) if t and self.specials and "<" in t and self.specials.search(t)}
         spaced = pa.array([" ".join(self.chunks(t)) if t and i not in special else "" for i, t in enumerate(texts)], pa.large_string())
         lists = pc.split_pattern(spaced, " ")
         coded = lists.values.dictionary_encode()
-        ids, strings, counts = zip(*[self.chunk_codes(c) if c else ("", "", 0) for c in coded.dictionary.to_pylist()], strict=True) if len(coded.dictionary) else ((), (), ())
-        join = lambda parts: pc.binary_join(pa.ListArray.from_arrays(lists.offsets.cast(pa.int32()), pa.array(parts, pa.string()).take(coded.indices)), " ")
-        sums = np.concatenate([[0], np.cumsum(np.array(counts, np.int64)[coded.indices.to_numpy()])])
-        offsets = lists.offsets.to_numpy()
-        out = [join(ids), join(strings), pa.array(sums[offsets[1:]] - sums[offsets[:-1]])]
+        parts = [self.chunk_codes(c) if c else b"" for c in coded.dictionary.to_pylist()]
+        pool, sizes = np.frombuffer(b"".join(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        which = coded.indices.to_numpy()
+        ends = np.cumsum(sizes[which])
+        place = np.arange(int(ends[-1]) if len(ends) else 0)
+        place += np.repeat((np.cumsum(sizes) - sizes)[which] - ends + sizes[which], sizes[which])
+        ids, rows = pool[place], np.concatenate([[0], ends])[lists.offsets.to_numpy()]
         if special:
-            own = {i: self.encode(texts[i]) for i in special}
-            for k in (0, 1):
-                out[k] = pa.array([own[i][k] if i in own else v for i, v in enumerate(out[k].to_pylist())], pa.string())
-            out[2] = pa.array([own[i][0].count(" ") + 1 if i in own else v for i, v in enumerate(out[2].to_pylist())])
-        return tuple(out)
+            own = [self.codes(t) if i in special else ids[rows[i] : rows[i + 1]] for i, t in enumerate(texts)]
+            ids, rows = np.concatenate(own), np.cumsum([0, *map(len, own)])
+        return ids, rows.astype(np.int32)
+
+
+def joined(strings: pa.Array, ids: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """The ids' strings, those of each row joined with one space."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(rows), strings.take(pa.array(ids))), " ")
 
 
 @lru_cache(maxsize=2)
@@ -210,12 +234,12 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", outputs: tuple[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in slices(batches, "__text", BATCH_BYTES):
-            ids, decoded, counts = bpe.encode_batch(batch.column("__text").to_pylist())
+            ids, rows = bpe.encode_batch(batch.column("__text").to_pylist())
             made = {
-                "n_tokens": lambda: counts,
-                "ids": lambda: pa.array([[*map(int, row.split())] for row in ids.to_pylist()], OUTPUTS["ids"]),
-                "ids_text": lambda: ids,
-                "decoded": lambda: decoded,
+                "n_tokens": lambda: pa.array(np.diff(rows).astype(np.int64)),
+                "ids": lambda: pa.ListArray.from_arrays(pa.array(rows), pa.array(ids)),
+                "ids_text": lambda: joined(bpe.decimals, ids, rows),
+                "decoded": lambda: joined(bpe.strings, ids, rows),
             }
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *(made[c]() for c in outputs)], names=[*names, *outputs])
         bpe.forget()

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -50,3 +51,29 @@ def test_query(spark):
     for r in op9_bpe(spark, d).collect():
         n, ids, decoded = expected(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (n, sha(ids), sha(decoded))
+
+
+def test_batches_as_the_library():
+    """Ids and rows of a batch, with special tokens and nulls between, whichever chunks are remembered."""
+    tokenizer = bpe.Tokenizer(PATH)
+    for texts in (ODD, [None, *ODD, "x<|endoftext|>y", None], [None], []):
+        ids, rows = tokenizer.encode_batch(texts)
+        parts = [ids[a:b].tolist() for a, b in zip(rows[:-1], rows[1:], strict=True)]
+        assert parts == [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert bpe.joined(tokenizer.strings, ids, rows).to_pylist() == [expected(t)[2] for t in texts]
+
+
+def test_memory_of_what_is_remembered():
+    """300,000 distinct chunks, each met twice and then once more, leave less than 100 MB behind, and what is met once nothing."""
+    tokenizer = bpe.Tokenizer(PATH)
+    tracemalloc.start()
+    try:
+        for chunk in range(300_000):
+            tokenizer.chunk_codes(f"q{chunk:x}z")
+        once = len(tokenizer.young) + len(tokenizer.old)
+        for chunk in range(600_000):
+            tokenizer.chunk_codes(f"q{chunk // 2:x}z")
+        assert once < 30_000 < len(tokenizer.young) + len(tokenizer.old)
+        assert tracemalloc.get_traced_memory()[0] < 100 << 20
+    finally:
+        tracemalloc.stop()
