@@ -225,3 +225,55 @@ def test_the_network_learns_from_every_training_text(spark, monkeypatch):
     total = sum(map(len, ids))
     assert 0 <= windows[0] - -(-total // lm.LENGTH) < df.rdd.getNumPartitions()  # the last window of a task may be shorter
     assert (given[0] == found).all()
+
+
+def test_texts_are_coded_once(spark, monkeypatch):
+    """Neighbours and training read the ids that one pass has stored, and no text again."""
+    given = []
+    neighbours, train_on = lm.neighbours, lm.train_on
+    monkeypatch.setattr(lm, "neighbours", lambda docs, *args, **kwargs: (given.append(docs.columns), neighbours(docs, *args, **kwargs))[1])
+    monkeypatch.setattr(lm, "train_on", lambda docs, *args, **kwargs: (given.append(docs.columns), train_on(docs, *args, **kwargs))[1])
+    df = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string")
+    assert lm.score(df, steps=2, batch=8, dims=8, hidden=8).count() == 20
+    assert given == [["__ids"], ["__ids"]]
+
+
+def test_stored_ids():
+    import pyarrow as pa
+
+    from tessera.llm.batches import text_bytes
+
+    texts = ["The  cat, the\nHat ", "", None, "é\u00a0x \u2003y \u3000 日本", "a\u00a0 \u00a0b c's 12", "x" * 3000 + " THE cat"]
+    for ids in (4096, 40000):
+        s = lm.Subwords(lm.public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids)
+        data, offsets = text_bytes(pa.array(texts))
+        want, cuts, word = s.encode(lm.words(data, offsets), data).texts()
+        for k in (0, 3):  # a slice begins inside the buffers
+            got, at, first = s.loaded(s.stored(pa.array(texts)).slice(k))
+            assert (got == want[cuts[k] :]).all() and (at == cuts[k:] - cuts[k]).all()
+            assert (first == np.flatnonzero(np.diff(word[cuts[k] :], prepend=-1))).all()
+        whole, at, first = s.loaded(s.stored(pa.array(texts)))
+        hashes = s.hashes(whole, first)[whole[first] != ids]
+        spelled = [w for t in texts for w in words(t)]
+        assert len(hashes) == len(spelled) and len({*zip(hashes.tolist(), spelled, strict=True)}) == len({*spelled}) == len({*hashes.tolist()})
+    # a word that came as other subwords has the same hash
+    encoding, _ = lm._encoding(s.path, s.ids)
+    one, other = encoding.encode_ordinary(" cat"), [encoding.encode_single_token(bytes([b])) for b in b" cat"]
+    assert one != other and (lambda h: h[0] == h[1])(s.hashes(np.array(one + other), np.array([0, len(one)])))
+
+
+def test_steps_against_plain_adam():
+    model, texts = small()
+    first = {k: 0.0 for k in model.weights}
+    second = dict(first)
+    model.moments, model.steps = None, 0
+    want = {k: v.astype(float) for k, v in model.weights.items()}
+    for i in range(4):
+        x, y = np.stack([t[i : 16 + i] for t in texts]), np.stack([t[1 + i : 17 + i] for t in texts])
+        plain = lm.Model({k: v.astype(np.float64) for k, v in want.items()}, model.class_of, model.place_of)
+        for k, g in plain.step(x, y)[1].items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            want[k] = want[k] - 0.001 * (first[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(second[k] / (1 - 0.99 ** (i + 1))) + 1e-8)
+        model.fit(x, y, 0.001)
+    assert all(np.allclose(model.weights[k], v, atol=2e-4) for k, v in want.items())
