@@ -18,7 +18,7 @@ from tessera.core import QR, column
 from tessera.functions import colors
 
 from .geometry import sizes
-from .windows import blur, neighbours, rectangle
+from .windows import blur, convolve, near
 
 
 def whole(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], key: str = "image_id") -> DataFrame:
@@ -320,9 +320,8 @@ def modulate(df: DataFrame, brightness: float, saturation: float, hue: float) ->
 
 def magnify(df: DataFrame, key: str = "image_id") -> DataFrame:
     """Scale2x: each pixel becomes four, that take after the neighbours where these agree."""
-    near = neighbours(df, [(-1, 0, 1.0), (0, 1, 2.0), (0, -1, 3.0), (1, 0, 4.0), (0, 0, 5.0)], key=key)
-    at = lambda i: F.max(F.when(F.col("k") == i, F.col("n")))
-    p = near.groupBy(key, "y", "x").agg(*(at(i).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "p"))))
+    pixels, samples = near(df, [(-1, 0), (0, 1), (0, -1), (1, 0), (0, 0)], key=key)
+    p = pixels.select(key, "y", "x", *(s["n"].alias(n) for s, n in zip(samples, "abcdp", strict=True)))
     pick = lambda s, t, u, w: F.when((F.col(s) == F.col(t)) & (F.col(s) != F.col(w)) & (F.col(t) != F.col(u)), F.col(t)).otherwise(F.col("p"))
     four = F.array(
         F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx"), pick("c", "a", "b", "d").alias("v")), F.struct(F.lit(0).alias("dy"), F.lit(1).alias("dx"), pick("a", "b", "d", "c").alias("v")),
@@ -339,8 +338,7 @@ def vignette(df: DataFrame, inner: float = 0.5) -> DataFrame:
 
 def charcoal(df: DataFrame, key: str = "image_id") -> DataFrame:
     """Edges, blurred, stretched and inverted."""
-    near = neighbours(df, [(dy, dx, 8.0 if dy == dx == 0 else -1.0) for dy, dx, _ in rectangle(3, 3)], key=key)
-    edges = near.groupBy(key, "y", "x").agg(F.sum(F.col("n") * F.col("k")).alias("v"))
+    edges = convolve(df, [[-1.0] * 3, [-1.0, 8.0, -1.0], [-1.0] * 3], key)
     soft = blur(edges.withColumn("v", F.abs(F.col("v"))), 1, 1.0, key)
     m = soft.groupBy(key).agg(F.max("v").alias("m"))
     return soft.join(m, key).withColumn("v", QR - F.when(F.col("m") > 0, QR * F.col("v") / F.col("m")).otherwise(0.0)).drop("m")

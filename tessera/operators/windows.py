@@ -1,7 +1,7 @@
 """Neighbourhoods. Edges repeat the outermost pixel.
 
-Extremes, means and Gaussians of rectangles run as two window passes over rows and columns; other kernels and statistics as an
-equi-join of the pixels with the kernel's offsets, r x r rows per pixel, so keep kernels small there.
+All run as two window passes over rows and columns, in which a pixel stays one row: extremes of rectangles, and of what rectangles
+around the pixel make up, means and Gaussians by themselves; other kernels and statistics over the samples that near() puts beside a pixel.
 """
 
 from __future__ import annotations
@@ -15,43 +15,89 @@ from pyspark.sql import Window as W
 from .geometry import sizes
 
 
-def neighbours(df: DataFrame, offsets: list[tuple[int, int, float]], v: str = "v", key: str = "image_id") -> DataFrame:
-    """Per pixel and offset (dy, dx, k) the sample there: y, x, k, n."""
-    cells = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(float(k)).alias("k")) for dy, dx, k in offsets))
-    at = sizes(df.select(key, "y", "x"), key).select(key, "y", "x", "h", "w", F.explode(cells).alias("c"))
-    at = at.select(key, "y", "x", F.col("c.k").alias("k"), F.expr("int(greatest(0, least(h - 1, y + c.dy)))").alias("ny"), F.expr("int(greatest(0, least(w - 1, x + c.dx)))").alias("nx"))
-    there = df.select(key, F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(v).alias("n"))
-    return at.join(there, [key, "ny", "nx"]).drop("ny", "nx")
+def _along(v: str, d: int, along: str, across: str, size: str, key: str) -> Column:
+    """The value d pixels further along a line; beyond its ends that of the image's edge. Null where there is no pixel."""
+    if not d:
+        return F.col(v)
+    line = W.partitionBy(key, across).orderBy(along)
+    edge = F.lit(0) if d < 0 else F.col(size) - 1
+    last = F.first(F.when(F.col(along) == edge, F.col(v)), ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return F.when(F.col(along) + d < 0 if d < 0 else F.col(along) + d > edge, last).otherwise(F.first(v).over(line.rangeBetween(d, d)))
+
+
+def _bridged(df: DataFrame, v: str, along: str, reach: tuple[int, int], key: str) -> DataFrame:
+    """The pixels with h, w and here, and where a line has a gap, rows without a sample (here is false) as far as the reach back and ahead, so that what a first pass finds there is met by the second. Whole images get none."""
+    across, size = {"x": ("y", "w"), "y": ("x", "h")}[along]
+    df = sizes(df.select(key, "y", "x", v), key).repartition(key, across)  # else sizes() may leave all of an image in one task
+    line, at = W.partitionBy(key, across).orderBy(along), F.col(along)
+    first = F.least(at, F.greatest(F.coalesce(F.lag(along).over(line) + reach[0] + 1, F.lit(0)), at - reach[1]))
+    last = F.greatest(at, F.least(F.coalesce(F.lead(along).over(line), F.col(size)) - 1, at + reach[0]))
+    df = df.withColumns({"first": first, "last": last}).withColumn("place", F.explode(F.sequence("first", "last")))
+    return df.select(key, across, F.col("place").alias(along), "h", "w", (F.col("place") == at).alias("here"), F.when(F.col("place") == at, F.col(v)).alias(v))
+
+
+def near(df: DataFrame, offsets: list[tuple], v: str = "v", key: str = "image_id") -> tuple[DataFrame, list[Column]]:
+    """The pixels, and per offset (dy, dx, ...) the sample there as a struct of n, null where the image has no pixel.
+
+    A pixel is one row in both passes: the first puts the samples of its row beside it, the second these lists of
+    the rows above and below. Pixels with no neighbour at any offset are left out.
+    """
+    ys, xs = (sorted({o[i] for o in offsets}) for i in (0, 1))
+    df = _bridged(df.select(key, "y", "x", F.struct(F.col(v).alias("n")).alias("p")), "p", "x", (max(0, -xs[0]), max(0, xs[-1])) if any(ys) else (0, 0), key)
+    df = df.select(key, "y", "x", "h", "here", F.array(*(_along("p", dx, "x", "y", "w", key) for dx in xs)).alias("p"))
+    df = df.select(key, "y", "x", "here", *(_along("p", dy, "y", "x", "h", key).alias(f"p{i}") for i, dy in enumerate(ys))).where("here")
+    found = [F.get(F.col(f"p{ys.index(o[0])}"), F.lit(xs.index(o[1]))) for o in offsets]
+    return df if (0, 0) in {o[:2] for o in offsets} else df.where(F.coalesce(*found).isNotNull()), found
+
+
+def _sum(samples: list[Column], weights: list[float]) -> Column:
+    """The weighted sum of those that there are."""
+    total = F.lit(0.0)
+    for p, k in zip(samples, weights, strict=True):
+        total = total + F.coalesce(p["n"] * k, F.lit(0.0))
+    return F.when(F.coalesce(*(p["n"] for p in samples)).isNotNull(), total)
+
+
+def _best(columns: list[Column], kind: str) -> Column:
+    """The least (min) or largest (max) of columns."""
+    return columns[0] if len(columns) == 1 else {"min": F.least, "max": F.greatest}[kind](*columns)
 
 
 def rectangle(width: int, height: int) -> list[tuple[int, int, float]]:
     return [(dy, dx, 1.0) for dy in range(-(height // 2), height - height // 2) for dx in range(-(width // 2), width - width // 2)]
 
 
-#: The median; where that is the least or the largest of the samples, the next one inwards.
-_NONPEAK = "transform(array(named_struct('s', array_sort(collect_list(n)), 'm', element_at(array_sort(collect_list(n)), int(count(n) div 2) + 1))), t -> CASE WHEN t.m = t.s[0] THEN coalesce(array_min(filter(t.s, e -> e > t.m)), t.m) WHEN t.m = element_at(t.s, -1) THEN coalesce(array_max(filter(t.s, e -> e < t.m)), t.m) ELSE t.m END)[0]"
-#: Sliding statistics over the samples n of a window.
+#: Sliding statistics over the sorted samples s of a window; of nonpeak the median m, or where that is the least or the largest, the next one inwards.
 STATISTICS = {
-    "mean": "avg(n)",
-    "minimum": "min(n)",
-    "maximum": "max(n)",
-    "gradient": "abs(max(n) - min(n))",
-    "contrast": "abs((max(n) - min(n)) / greatest(max(n) + min(n), 1.0e-12))",
-    "rms": "sqrt(avg(n * n))",
-    "standard_deviation": "sqrt(greatest(avg(n * n) - avg(n) * avg(n), 0e0))",
-    "median": "element_at(array_sort(collect_list(n)), int(count(n) div 2) + 1)",
-    "nonpeak": _NONPEAK,
-    "mode": "min_by(n, n)",
+    "rms": "sqrt(aggregate(s, 0D, (t, e) -> t + e * e) / nullif(size(s), 0))",
+    "standard_deviation": "transform(array(aggregate(s, 0D, (t, e) -> t + e) / nullif(size(s), 0)), m -> sqrt(aggregate(s, 0D, (t, e) -> t + (e - m) * (e - m)) / nullif(size(s), 0)))[0]",
+    "median": "get(s, int(size(s) div 2))",
+    "nonpeak": "transform(array(get(s, int(size(s) div 2))), m -> CASE WHEN m = s[0] THEN coalesce(array_min(filter(s, e -> e > m)), m) WHEN m = s[size(s) - 1] THEN coalesce(array_max(filter(s, e -> e < m)), m) ELSE m END)[0]",
 }
 
 
-def passes(df: DataFrame, kind: str, up: int, down: int, left: int, right: int, key: str = "image_id", rows_first: bool = True) -> DataFrame:
-    """Least (min) or largest (max) samples of the rectangle around each pixel, as a window over rows and one over columns. An edge repeats its pixels, which a minimum doesn't count twice."""
-    of, out = {"min": F.min, "max": F.max}[kind], df.select(key, "y", "x", "v")
-    for along, across, a, b in (("x", "y", left, right), ("y", "x", up, down))[:: 1 if rows_first else -1]:
-        if a or b:
-            out = out.withColumn("v", of("v").over(W.partitionBy(key, across).orderBy(along).rangeBetween(-a, b)))
-    return out
+def _mode(s: Column) -> Column:
+    """The most frequent of samples that fall, of equals the least: the last of the longest runs."""
+
+    def step(t: Column, e: Column) -> Column:
+        run = F.when(e.eqNullSafe(t["of"]), t["run"] + 1).otherwise(1)
+        return F.struct(F.when((run > t["c"]) | ((run == t["c"]) & e.isNotNull()), e).otherwise(t["v"]).alias("v"), F.greatest(run, t["c"]).alias("c"), run.alias("run"), e.alias("of"))
+
+    none = F.lit(None).cast("double")
+    return F.aggregate(s, F.struct(none.alias("v"), F.lit(0).alias("c"), F.lit(0).alias("run"), none.alias("of")), step, lambda t: t["v"])
+
+
+def passes(df: DataFrame, kind: str, rectangles: list[tuple[int, int, int, int]], key: str = "image_id", rows_first: bool = True, gaps: bool = False) -> DataFrame:
+    """Least (min) or largest (max) samples of rectangles (up, down, left, right) around each pixel, as windows over rows and windows over columns. An edge repeats its pixels, which an extreme doesn't count twice. gaps: images may lack pixels."""
+
+    def over(v: str, along: str, across: str, reach: tuple[int, int]) -> Column:
+        return {"min": F.min, "max": F.max}[kind](v).over(W.partitionBy(key, across).orderBy(along).rangeBetween(-reach[0], reach[1])) if any(reach) else F.col(v)
+
+    (a, first), (b, second) = (("x", [r[2:] for r in rectangles]), ("y", [r[:2] for r in rectangles]))[:: 1 if rows_first else -1]
+    reaches = sorted(set(first))
+    df = _bridged(df, "v", a, tuple(map(max, zip(*first, strict=True))), key) if gaps else df.withColumn("here", F.lit(True))
+    df = df.select(key, "y", "x", "here", *(over("v", a, b, r).alias(f"v{i}") for i, r in enumerate(reaches)))
+    return df.select(key, "y", "x", "here", _best([over(f"v{reaches.index(p)}", b, a, q) for p, q in zip(first, second, strict=True)], kind).alias("v")).where("here").drop("here")
 
 
 def _box(df: DataFrame, width: int, height: int, key: str) -> DataFrame:
@@ -70,27 +116,28 @@ def _box(df: DataFrame, width: int, height: int, key: str) -> DataFrame:
 
 def statistic(df: DataFrame, name: str, width: int = 3, height: int = 3, key: str = "image_id") -> DataFrame:
     """One of STATISTICS over width x height windows; mode is the most frequent sample, the lowest of equals."""
-    reach = (height // 2, height - height // 2 - 1, width // 2, width - width // 2 - 1)
+    reach = [(height // 2, height - height // 2 - 1, width // 2, width - width // 2 - 1)]
     if name in ("minimum", "maximum"):
-        return passes(df, name[:3], *reach, key)
+        return passes(df, name[:3], reach, key)
     if name in ("gradient", "contrast"):
-        low, high = passes(df, "min", *reach, key).withColumnRenamed("v", "low"), passes(df, "max", *reach, key).withColumnRenamed("v", "high")
+        low, high = passes(df, "min", reach, key).withColumnRenamed("v", "low"), passes(df, "max", reach, key).withColumnRenamed("v", "high")
         spread = F.col("high") - F.col("low")
         return low.join(high, [key, "y", "x"]).select(key, "y", "x", F.abs(spread if name == "gradient" else spread / F.greatest(F.col("high") + F.col("low"), F.lit(1.0e-12))).alias("v"))
     if name == "mean":
         return _box(df, width, height, key)
-    near = neighbours(df, rectangle(width, height), key=key)
-    if name == "mode":
-        counted = near.groupBy(key, "y", "x", "n").agg(F.count(F.lit(1)).alias("c"))
-        return counted.groupBy(key, "y", "x").agg(F.max(F.struct("c", -F.col("n"))).alias("m")).select(key, "y", "x", (-F.col("m")["col2"]).alias("v"))
-    return near.groupBy(key, "y", "x").agg(F.expr(STATISTICS[name]).alias("v"))
+    pixels, samples = near(df, rectangle(width, height), key=key)
+    if name == "mode":  # a null counts as a sample, a place without a pixel doesn't
+        here = F.transform(F.filter(F.array(*samples), lambda p: p.isNotNull()), lambda p: p["n"])
+        return pixels.select(key, "y", "x", _mode(F.sort_array(here, asc=False)).alias("v"))
+    return pixels.select(key, "y", "x", F.sort_array(F.array_compact(F.array(*(p["n"] for p in samples)))).alias("s")).select(key, "y", "x", F.expr(STATISTICS[name]).alias("v"))
 
 
 def convolve(df: DataFrame, kernel: list[list[float]], key: str = "image_id") -> DataFrame:
     """The weighted sum of the neighbours, the kernel reflected about its middle."""
     h, w = len(kernel), len(kernel[0])
     cells = [(h // 2 - i, w // 2 - j, kernel[i][j]) for i in range(h) for j in range(w) if kernel[i][j]]
-    return neighbours(df, cells, key=key).groupBy(key, "y", "x").agg(F.sum(F.col("n") * F.col("k")).alias("v"))
+    pixels, samples = near(df, cells, key=key)
+    return pixels.select(key, "y", "x", _sum(samples, [k for _, _, k in cells]).alias("v"))
 
 
 def gaussian(radius: int, sigma: float) -> list[float]:
@@ -120,27 +167,32 @@ def unsharp(df: DataFrame, radius: int = 1, sigma: float = 1.0, gain: float = 1.
     return df.join(soft, [key, "y", "x"]).withColumn("v", F.when(F.abs(d) * 2 < threshold * 65535.0, F.col("v")).otherwise(F.col("v") + gain * d)).drop("soft")
 
 
-def _reach(cells: list[tuple[int, int, float]]) -> tuple[int, int, int, int] | None:
-    """How far up, down, left and right a full rectangle of offsets goes; None if it isn't one around the pixel."""
-    ys, xs = [c[0] for c in cells], [c[1] for c in cells]
-    if not cells or len(set(zip(ys, xs, strict=True))) != (max(ys) - min(ys) + 1) * (max(xs) - min(xs) + 1) or not (min(ys) <= 0 <= max(ys) and min(xs) <= 0 <= max(xs)):
+def _rectangles(cells: list[tuple[int, int, float]]) -> list[tuple[int, int, int, int]] | None:
+    """The rectangles (up, down, left, right) around the pixel that together are the cells, none within another; None if there are no such."""
+    there = {c[:2] for c in cells}
+    span = lambda d: range(min(0, d), max(0, d) + 1)
+    if not there or any((y, x) not in there for dy, dx in there for y in span(dy) for x in span(dx)):
         return None
-    return -min(ys), max(ys), -min(xs), max(xs)
+    reach = {dy: (-min(x for y, x in there if y == dy), max(x for y, x in there if y == dy)) for dy, _ in there}
+    found = {(u, d, *(min(reach[y][i] for y in range(-u, d + 1)) for i in (0, 1))) for u in range(1 - min(reach)) for d in range(max(reach) + 1)}
+    return sorted(r for r in found if not any(r != o and all(a <= b for a, b in zip(r, o, strict=True)) for o in found))
+
+
+def _extreme(df: DataFrame, kind: str, cells: list[tuple[int, int, float]], key: str, rows_first: bool, gaps: bool) -> DataFrame:
+    rectangles = _rectangles(cells)
+    if rectangles:
+        return passes(df, kind, rectangles, key, rows_first, gaps or len(rectangles) > 1)
+    pixels, samples = near(df, cells, key=key)
+    return pixels.select(key, "y", "x", _best([p["n"] for p in samples], kind).alias("v"))
 
 
-def dilate(df: DataFrame, cells: list[tuple[int, int, float]], key: str = "image_id") -> DataFrame:
-    """Columns before rows, so that after erode() no shuffle comes between their passes over columns."""
-    reach = _reach([(-dy, -dx, k) for dy, dx, k in cells if k > 0.5])
-    if reach:
-        return passes(df, "max", *reach, key, rows_first=False)
-    return neighbours(df, [(-dy, -dx, k) for dy, dx, k in cells if k > 0.5], key=key).groupBy(key, "y", "x").agg(F.max("n").alias("v"))
+def dilate(df: DataFrame, cells: list[tuple[int, int, float]], key: str = "image_id", gaps: bool = False) -> DataFrame:
+    """Columns before rows, so that after erode() no shuffle comes between their passes over columns. gaps: one rectangle looks beyond missing pixels too, as other cells always do."""
+    return _extreme(df, "max", [(-dy, -dx, k) for dy, dx, k in cells if k > 0.5], key, False, gaps)
 
 
-def erode(df: DataFrame, cells: list[tuple[int, int, float]], key: str = "image_id") -> DataFrame:
-    reach = _reach([c for c in cells if c[2] >= 0.5])
-    if reach:
-        return passes(df, "min", *reach, key)
-    return neighbours(df, [c for c in cells if c[2] >= 0.5], key=key).groupBy(key, "y", "x").agg(F.min("n").alias("v"))
+def erode(df: DataFrame, cells: list[tuple[int, int, float]], key: str = "image_id", gaps: bool = False) -> DataFrame:
+    return _extreme(df, "min", [c for c in cells if c[2] >= 0.5], key, True, gaps)
 
 
 #: Small structuring elements: (dy, dx, 1).
@@ -192,16 +244,16 @@ def turned(pattern: list[list]) -> list[list[list]]:
 
 
 def hit_and_miss(df: DataFrame, patterns: list[list[list]], key: str = "image_id") -> DataFrame:
-    """How far the least of a pattern's set neighbours is above the largest of its unset ones, 0 at least; of several patterns the largest. One join with the cells of all patterns."""
+    """How far the least of a pattern's set neighbours is above the largest of its unset ones, 0 at least; of several patterns the largest."""
     offsets = [[(i - len(p) // 2, j - len(p[0]) // 2, c) for i, row in enumerate(p) for j, c in enumerate(row) if c is not None] for p in patterns]
     cells = sorted({c[:2] for o in offsets for c in o})
-    near = neighbours(df, [(dy, dx, float(i)) for i, (dy, dx) in enumerate(cells)], key=key)
+    pixels, samples = near(df, cells, key=key)
 
-    def side(offset: list[tuple], value: int) -> Column:
-        return F.when(F.col("k").isin([float(cells.index(c[:2])) for c in offset if c[2] == value]), F.col("n"))
+    def side(offset: list[tuple], value: int, kind: str, without: float) -> Column:
+        return F.coalesce(*([_best(own, kind)] if (own := [samples[cells.index(c[:2])]["n"] for c in offset if c[2] == value]) else []), F.lit(without))
 
-    fits = [F.coalesce(F.min(side(o, 1)), F.lit(65535.0)) - F.coalesce(F.max(side(o, 0)), F.lit(0.0)) for o in offsets]
-    return near.groupBy(key, "y", "x").agg(F.greatest(F.lit(0.0), F.lit(0.0), *fits).alias("v"))
+    fits = [side(o, 1, "min", 65535.0) - side(o, 0, "max", 0.0) for o in offsets]
+    return pixels.select(key, "y", "x", F.greatest(F.lit(0.0), F.lit(0.0), *fits).alias("v"))
 
 
 def thinned(df: DataFrame, patterns: list[list[list]], thicken: bool = False, key: str = "image_id") -> DataFrame:
@@ -214,12 +266,9 @@ def thinned(df: DataFrame, patterns: list[list[list]], thicken: bool = False, ke
 
 def by_intensity(df: DataFrame, method: str, shape: str = "square", key: str = "image_id") -> DataFrame:
     """dilate, erode, open, close by whole pixels: the neighbour whose luma of r, g, b is the largest or least replaces the pixel. Of equal ones the largest or least colour."""
-    steps = {"dilate": ("max",), "erode": ("min",), "open": ("min", "max"), "close": ("max", "min")}[method]
-    for step in steps:
-        sign = -1 if step == "max" else 1
-        whole = df.select(key, "y", "x", F.struct((0.212656 * F.col("r") + 0.715158 * F.col("g") + 0.072186 * F.col("b")).alias("i"), "r", "g", "b").alias("p"))
-        near = neighbours(whole, [(sign * dy, sign * dx, k) for dy, dx, k in SHAPES[shape]], "p", key)
-        df = near.groupBy(key, "y", "x").agg({"max": F.max, "min": F.min}[step]("n").alias("p")).select(key, "y", "x", "p.r", "p.g", "p.b")
+    for step in {"dilate": (dilate,), "erode": (erode,), "open": (erode, dilate), "close": (dilate, erode)}[method]:
+        luma = 0.212656 * F.col("r") + 0.715158 * F.col("g") + 0.072186 * F.col("b")
+        df = step(df.select(key, "y", "x", F.struct(luma.alias("i"), "r", "g", "b").alias("v")), SHAPES[shape], key, gaps=True).select(key, "y", "x", "v.r", "v.g", "v.b")
     return df
 
 
@@ -249,9 +298,8 @@ def integral(df: DataFrame, key: str = "image_id") -> DataFrame:
 def shade(df: DataFrame, azimuth: float, elevation: float, key: str = "image_id") -> DataFrame:
     """Light from a direction on the surface that the samples make."""
     lx, ly, lz = math.cos(math.radians(azimuth)) * math.cos(math.radians(elevation)), math.sin(math.radians(azimuth)) * math.cos(math.radians(elevation)), math.sin(math.radians(elevation))
-    near = neighbours(df, [(dy, dx, 3 * (dy + 1) + dx + 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], key=key)
-    at = lambda i: F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0.0))
-    n = near.groupBy(key, "y", "x").agg(*(at(i).alias(f"n{i}") for i in range(9)))
+    pixels, samples = near(df, rectangle(3, 3), key=key)
+    n = pixels.select(key, "y", "x", *(F.coalesce(p["n"], F.lit(0.0)).alias(f"n{i}") for i, p in enumerate(samples)))
     n = n.selectExpr(key, "y", "x", "(n0 + n3 + n6 - n2 - n5 - n8) / 65535e0 as nx", "(n6 + n7 + n8 - n0 - n1 - n2) / 65535e0 as ny", "2e0 as nz")
     dot = F.col("nx") * lx + F.col("ny") * ly + F.col("nz") * lz
     return n.select(key, "y", "x", (65535.0 * F.greatest(dot / F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2), F.lit(0.0))).alias("v"))
