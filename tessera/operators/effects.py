@@ -1,38 +1,41 @@
 """Further per-pixel and per-image effects.
 
 What is a function of a pixel, of its place or of a small neighbourhood is an expression; what walks over
-a whole image (edge-preserving filters, thinning, distances, error diffusion) runs in numpy, one image per group.
+a whole image (edge-preserving filters, thinning, distances, error diffusion) runs in numpy, many whole images a task.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.core import QR, column
 from tessera.functions import colors
+from tessera.stacks import by_image, stacks, whole_images
 
 from .geometry import sizes
 from .windows import blur, convolve, near
 
 
 def whole(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], key: str = "image_id") -> DataFrame:
-    """A function of the whole image, a float array, in one task per image."""
+    """A function of the whole image, a float array. A task takes many images at a time; those in STACKED do so too."""
+    many = f in STACKED
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        a = np.zeros((h, w))
-        a[pdf["y"], pdf["x"]] = pdf["v"]
-        out = np.asarray(f(a), dtype=float)
-        y, x = np.divmod(np.arange(out.size), out.shape[1])
-        return pd.DataFrame({key: pdf[key].iloc[0], "y": y.astype("int32"), "x": x.astype("int32"), "v": out.ravel()})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_images(batches, key):
+            for ids, a in stacks(table, key, ["v"]):
+                a = a[..., 0]
+                out = [np.asarray(o, dtype=float) for o in (f(a) if many else map(f, a))]
+                y, x = (np.concatenate([np.indices(o.shape, np.int32)[i].ravel() for o in out]) for i in (0, 1))
+                of = ids.take(pa.array(np.repeat(np.arange(len(out)), [o.size for o in out])))
+                yield pa.RecordBatch.from_arrays([of.cast(pa.int64()), pa.array(y), pa.array(x), pa.array(np.concatenate([o.ravel() for o in out]), from_pandas=True)], names=[key, "y", "x", "v"])
 
-    return df.select(key, "y", "x", "v").groupBy(key).applyInPandas(run, f"{key} long, y int, x int, v double")
+    return by_image(df.select(key, "y", "x", F.col("v").cast("double").alias("v")), key).mapInArrow(run, f"{key} long, y int, x int, v double")
 
 
 def _windows(a: np.ndarray, r: int) -> np.ndarray:
@@ -197,11 +200,15 @@ def distance(a: np.ndarray, euclidean: bool = False) -> np.ndarray:
 
 
 def hit_and_miss(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """max(0, least of the cells of 1 - largest of the cells of 0); cells of NaN don't count."""
-    near = _windows(a, kernel.shape[0] // 2)
-    k = kernel.ravel()
-    fore = near[..., k > 0.7].min(-1) if (k > 0.7).any() else np.full(a.shape, QR)
-    back = near[..., k < 0.3].max(-1) if (k < 0.3).any() else np.zeros(a.shape)
+    """max(0, least of the cells of 1 - largest of the cells of 0); cells of NaN don't count. One image or a stack of them."""
+    r = kernel.shape[0] // 2
+    h, w = a.shape[-2:]
+    p = np.pad(a, [(0, 0)] * (a.ndim - 2) + [(r, r)] * 2, mode="edge")
+    fore, back = np.full(a.shape, QR), np.zeros(a.shape)
+    for side, cells, best in ((fore, kernel > 0.7, np.minimum), (back, kernel < 0.3, np.maximum)):
+        for i, (dy, dx) in enumerate(np.argwhere(cells)):
+            own = p[..., dy : dy + h, dx : dx + w]
+            side[...] = best(side, own) if i else own
     return np.maximum(0, fore - back)
 
 
@@ -211,7 +218,7 @@ _CORNER = np.array([[_X, 0, 0], [1, 1, 0], [_X, 1, _X]])
 
 
 def thinning(a: np.ndarray, rounds: int = 10) -> np.ndarray:
-    """Peels edges off until only lines are left."""
+    """Peels edges off until only lines are left. One image or a stack of them; what a round leaves as it was, later ones do too."""
     out = a.copy()
     for _ in range(rounds):
         before = out.copy()
@@ -264,6 +271,10 @@ WHOLE: dict[str, Callable[[np.ndarray], np.ndarray]] = {
 }
 
 
+#: Those of them that take a stack of images.
+STACKED = {thinning}
+
+
 def gradient(df: DataFrame, radial: bool = False) -> DataFrame:
     """From 0 at the top to QR at the bottom, or from QR in the middle outwards."""
     s = sizes(df)
