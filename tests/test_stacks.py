@@ -6,6 +6,7 @@ import pytest
 
 from tessera import stacks
 from tessera.operators import effects
+from tessera.sources import formats, images
 
 SIZES = [(8, 8), (1, 5), (8, 8), (3, 2), (1, 1), (40, 30), (8, 8)]
 
@@ -54,3 +55,20 @@ def test_effects_of_many_sizes(spark, name):
     pictures = {k: a for k, a in _pictures().items() if min(a.shape) > 1}
     back = _back(effects.whole(_pixels(spark, pictures), effects.WHOLE[name]).collect(), "v")
     assert back == {k: dict(np.ndenumerate(effects.WHOLE[name](a))) for k, a in pictures.items()}
+
+
+@pytest.mark.parametrize("kind", ["viff", "k", "c", "m", "tiff", "tiff_lzw", "icodib", "rgba", "pgm"])
+def test_files_of_many_sizes(spark, kind):
+    """A file without an id keeps the ids beside it whole."""
+    pictures = _pictures()
+    files = images.encode(_pixels(spark, pictures), kind).coalesce(1)
+    back = _back(images.decode(files).collect(), "c0")
+    want = {k: formats.decode(formats.encode(a[:, :, None], kind), kind, *a.shape)[:, :, 0] for k, a in pictures.items()}
+    assert back == {k: dict(np.ndenumerate(a)) for k, a in want.items()}
+
+
+def test_sizes_that_some_files_lack(spark):
+    a = np.arange(6.0).reshape(2, 3, 1) * 257
+    rows = [(1, "gray", 2, 3, formats.encode(a, "gray")), (2, None, None, None, formats.encode(a, "pgm")), (3, None, None, None, None)]
+    files = spark.createDataFrame(rows, "image_id long, format string, height int, width int, content binary").coalesce(1)
+    assert _back(images.decode(files).collect(), "c0") == {k: dict(np.ndenumerate(a[:, :, 0])) for k in (1, 2)}
